@@ -54,7 +54,9 @@ def _at_samples(steps: DataFrame, sums: list[str], counts: list[str], grid_ms: i
     """
     width = max(chunk_ms // grid_ms, 1) * grid_ms
     at = steps.groupBy("time").agg(*[F.sum(c).alias(c) for c in [*sums, *counts, "arrivals"]])
-    levels = running(at.withColumn("_bucket", F.floor(F.col("time") / grid_ms)),
+    # At most one row per millisecond is left, and it is read twice.
+    at = materialise(at)
+    levels = running(at.withColumn("_bucket", time_chunk("time", grid_ms)),
                      keys=[], chunk=time_chunk("time", width), order=["time"],
                      sums={f"_{c}": F.col(c) for c in sums}, keep_chunk="_part")
     bucket = Window.partitionBy("_part", "_bucket")
@@ -67,7 +69,7 @@ def _at_samples(steps: DataFrame, sums: list[str], counts: list[str], grid_ms: i
 
 def sample_counts(starts: DataFrame, grid_ms: int = SAMPLE_MS) -> DataFrame:
     """Invocations and cold starts since the previous sample."""
-    return (starts.groupBy(F.floor(F.col("ts_ms") / grid_ms).alias("_bucket"))
+    return (starts.groupBy(time_chunk("ts_ms", grid_ms).alias("_bucket"))
             .agg(F.max("ts_ms").alias("ts_ms"), F.count("*").alias("invocations"),
                  F.count_if("cold").alias("cold")).drop("_bucket"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 def time_chunk(time: str, chunk_ms: int) -> Column:
-    return F.floor(F.col(time) / F.lit(chunk_ms)).cast("bigint")
+    return F.call_function("div", F.col(time), F.lit(chunk_ms))
 
 
 def running(df: DataFrame, *, keys: Sequence[str], chunk: Column, order: Sequence[str],

@@ -6,6 +6,8 @@ to SQL over the same tables, written without this package's operators.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import (clean_numbers, convert_units, hash32, median_memory,
@@ -18,10 +20,13 @@ from ..operators import gauges as ga
 from ..operators import language as lang
 from ..operators import series as ser
 from ..operators import starts as st
+from ..operators.running import running, time_chunk
+from ..operators.stages import shared_folder
 from ..sources import readers as rd
 from ..sources import writers as wr
+from ..streaming import operators as strm
 from . import pipelines as pipe
-from .event_trace import based_trace, event_trace
+from .event_trace import as_event_trace, based_trace, event_trace
 
 QUERIES, ORACLES = {}, {}
 
@@ -60,7 +65,7 @@ def trace(spark, sf_dir):
 
 
 def minute_counts(spark, sf_dir):
-    minute = 1 + F.floor(F.col("ts_ms") / MINUTE) % 1440
+    minute = 1 + time_chunk("ts_ms", MINUTE) % 1440
     return (based_trace(spark, sf_dir).groupBy("owner", "app", "function", minute.alias("minute"))
             .agg(F.count("*").alias("count")))
 
@@ -69,6 +74,19 @@ def big(*names):
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
 
+def _sparse_line(items, width, blank):
+    """Comma-separated cells from sorted ``pos, v`` items, ``blank`` elsewhere."""
+    def fill(cells):
+        return F.repeat(F.lit(blank + ","), cells.cast("int"))
+
+    line = F.aggregate(
+        items, F.struct(F.lit(0).cast("bigint").alias("next"), F.lit("").alias("text")),
+        lambda a, x: F.struct((x["pos"] + 1).alias("next"), F.concat(
+            a["text"], fill(x["pos"] - a["next"]), x["v"], F.lit(",")).alias("text")),
+        lambda a: F.concat(a["text"], fill(width - a["next"])))
+    return F.left(line, F.length(line) - 1)
+
+
 def hash_sql(*parts):
     return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
 
@@ -79,11 +97,10 @@ def hash_sql(*parts):
 SELECT owner, app, function, CAST(minute AS BIGINT) AS minute, count FROM counts""")
 def _(spark, sf_dir):
     per = minute_counts(spark, sf_dir).groupBy("owner", "app", "function").agg(
-        F.map_from_entries(F.collect_list(F.struct("minute", "count"))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(1440).cast("bigint")),
-                        lambda m: F.coalesce(F.try_element_at("m", m), F.lit(0)).cast("string"))
+        F.array_sort(F.collect_list(F.struct((F.col("minute") - 1).alias("pos"),
+                                             F.col("count").cast("string").alias("v")))).alias("items"))
     lines = per.select(F.concat_ws(",", "owner", "app", "function", F.lit("http"),
-                                   F.concat_ws(",", cells)).alias("value"))
+                                   _sparse_line("items", F.lit(1440), "0")).alias("value"))
     counts = ex.drop_empty_minutes(rd.parse_minute_counts(lines))
     return counts.select("owner", "app", "function", *big("minute", "count"))
 
@@ -120,7 +137,7 @@ def _cells(spark, sf_dir):
     """Minute and function cells: count, delay, and memory with some blanks."""
     tr = trace(spark, sf_dir)
     ids = agg.dense_ids(tr.select("function").distinct().withColumn("seq", F.lit(0)), "function")
-    time_s = F.floor(F.col("ts_ms") / MINUTE) * 60
+    time_s = time_chunk("ts_ms", MINUTE) * 60
     return (tr.join(ids.withColumnRenamed("id", "pos"), "function")
             .groupBy(time_s.alias("time_s"), "pos")
             .agg(F.count("*").alias("n"), F.avg("duration_ms").alias("delay"), F.avg("memory_mb").alias("m"))
@@ -129,11 +146,10 @@ def _cells(spark, sf_dir):
 
 def _matrix_lines(cells, column, width):
     """Wide lines of one matrix, one per minute, blanks where nothing is known."""
+    item = F.struct("pos", F.col(column).cast("string").alias("v"))
     per = (cells.where(F.col(column).isNotNull()).groupBy("time_s")
-           .agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col(column).cast("string")))).alias("m")))
-    row = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("width") - 1),
-                      lambda p: F.coalesce(F.try_element_at("m", p), F.lit("")))
-    return per.withColumn("width", width).select(F.concat_ws(",", F.lit("x"), "time_s", F.concat_ws(",", row)).alias("value"),
+           .agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("width", width))
+    return per.select(F.concat_ws(",", F.lit("x"), "time_s", _sparse_line("items", F.col("width"), "")).alias("value"),
                       F.floor(F.col("time_s") / 86400).cast("int").alias("day"))
 
 
@@ -771,7 +787,7 @@ FROM (SELECT function, ts_ms // 86400000 AS day, count(*) AS n FROM trace GROUP
 def _(spark, sf_dir):
     counts = trace(spark, sf_dir).groupBy(
         "function", F.floor(F.col("ts_ms") / 86_400_000).alias("row_pos"),
-        (1 + F.floor(F.col("ts_ms") / MINUTE) % 1440).alias("minute")).agg(F.count("*").alias("count"))
+        (1 + time_chunk("ts_ms", MINUTE) % 1440).alias("minute")).agg(F.count("*").alias("count"))
     return agg.rate_by_function(counts, last_row=True).withColumn("per_minute", F.round("per_minute", 6))
 
 
@@ -1133,8 +1149,6 @@ def _(spark, sf_dir):
   SELECT s AS ts_ms, count(*) AS processed FROM samples JOIN trace ON ts_ms <= s GROUP BY s)
 SELECT ts_ms, processed, processed - lag(processed, 1, 0) OVER (ORDER BY ts_ms) AS invocations FROM done""")
 def _(spark, sf_dir):
-    from ..operators.running import running, time_chunk
-
     tr = trace(spark, sf_dir)
     per = tr.groupBy(F.floor(F.col("ts_ms") / 1000).alias("b")).agg(
         F.max("ts_ms").alias("ts_ms"), F.count("*").alias("n"))
@@ -1223,3 +1237,77 @@ SELECT ts_ms, vms, vms * 1024 AS footprint_mb, 3 * 1024 - vms * 1024 AS headroom
 FROM vm WHERE vms * 1024 > 3 * 1024""")
 def _(spark, sf_dir):
     return ga.capacity_check(ga.vm_footprint(trace(spark, sf_dir), "owner"), workers=3, mb=1024)
+
+
+# --- streams: all rows in one run, then what the watermark has made final --------------------
+
+def _stream_trace(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return as_event_trace(rows).select(*TRACE)
+
+
+def _finished(df):
+    """Run a stream over what is there, into a table."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = (df.writeStream.format("parquet").option("path", f"{folder}/rows")
+             .option("checkpointLocation", f"{folder}/state").outputMode("append")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+FINAL = """, mark AS (SELECT max(raw_ms) - 10000 AS w FROM raw),
+timed AS (SELECT seq, owner, function, memory_mb, duration_ms, raw_ms AS ts_ms FROM raw)"""
+
+
+@check("stream_load", BASE + """
+SELECT owner, function, CAST(memory_mb AS BIGINT) AS memory_mb, duration_ms, raw_ms AS ts_ms, seq FROM raw""")
+def _(spark, sf_dir):
+    out = _finished(_stream_trace(spark, sf_dir))
+    return out.select("owner", "function", *big("memory_mb", "duration_ms", "ts_ms", "seq"))
+
+
+@check("stream_sample_counts", BASE + FINAL + """
+SELECT max(ts_ms) AS ts_ms, count(*) AS invocations FROM timed, mark
+GROUP BY ts_ms // 1000, w HAVING (ts_ms // 1000 + 1) * 1000 <= w""")
+def _(spark, sf_dir):
+    return _finished(strm.stream_sample_counts(_stream_trace(spark, sf_dir)))
+
+
+@check("stream_classify_starts", BASE + FINAL + _starts_sql("timed") + """
+SELECT starts.function, starts.seq, cold, sim.previous, container_id
+FROM starts JOIN sim ON sim.function = starts.function AND sim.seq = starts.seq, mark WHERE ts_ms <= w""")
+def _(spark, sf_dir):
+    out = _finished(strm.stream_classify_starts(_stream_trace(spark, sf_dir), KEEPALIVE))
+    return out.select("function", "seq", "cold", "previous", "container_id")
+
+
+@check("stream_hot_functions", BASE + FINAL + f""", hits AS (
+  SELECT function, ts_ms, lag(ts_ms, {HOT_N}) OVER (PARTITION BY function ORDER BY ts_ms) >= ts_ms - 86400000 * 2 AS hit
+  FROM timed)
+SELECT function, min(ts_ms) AS hot_since FROM hits, mark WHERE hit AND ts_ms <= w GROUP BY function""")
+def _(spark, sf_dir):
+    return _finished(strm.stream_hot_functions(_stream_trace(spark, sf_dir), HOT_N, 86_400_000 * 2))
+
+
+SESSIONS = f""", gaps AS (
+  SELECT *, max(ts_ms + duration_ms + {KEEPALIVE}) OVER (PARTITION BY function ORDER BY ts_ms, owner, seq
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM timed),
+numbered AS (SELECT *, sum(CASE WHEN until IS NULL OR ts_ms > until THEN 1 ELSE 0 END)
+             OVER (PARTITION BY function ORDER BY ts_ms, owner, seq) AS n FROM gaps),
+sessions AS (SELECT function, min(ts_ms) AS first_ms, max(ts_ms + duration_ms + {KEEPALIVE}) AS until_ms,
+             count(*) AS invocations FROM numbered GROUP BY function, n)"""
+
+
+@check("active_sessions", BASE + FINAL + SESSIONS + " SELECT * FROM sessions")
+def _(spark, sf_dir):
+    timed = event_trace(spark, sf_dir).withColumn("event_time", F.timestamp_millis("ts_ms"))
+    return strm.active_sessions(timed, KEEPALIVE)
+
+
+@check("stream_active_sessions", BASE + FINAL + SESSIONS + """
+SELECT sessions.* FROM sessions, mark WHERE until_ms <= w""")
+def _(spark, sf_dir):
+    return _finished(strm.stream_active_sessions(_stream_trace(spark, sf_dir), KEEPALIVE))
