@@ -73,11 +73,12 @@ def test_stream_sessions_equal_batch(spark, tmp_path):
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
-    rows = [("o", "f", 1, 1, 100), ("o", "f", 1, 1, 60_000), ("o", "f", 1, 1, 200), ("o", "f", 1, 1, 900_000)]
+    # A row is late once the watermark has passed it in an earlier run of the query.
+    rows = [("o", "f", 1, 1, ts) for ts in (100, 60_000, 61_000, 200, 900_000)]
     tr = make_trace(spark, rows)
-    parts = [tr.where(f"seq = {i}") for i in range(4)]
+    parts = [tr.where(f"seq = {i}") for i in range(5)]
     out = run(strm.stream_classify_starts(batches(spark, tmp_path, parts), K, "5 seconds"), "late")
-    assert sorted(r.ts_ms for r in out.collect()) == [100, 60_000]
+    assert sorted(r.ts_ms for r in out.collect()) == [100, 60_000, 61_000]
 
 
 def test_stream_load_reads_trace_files(spark, tmp_path):
