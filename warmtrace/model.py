@@ -44,6 +44,13 @@ def end_ms(ts: str = "ts_ms", duration: str = "duration_ms") -> Column:
     return F.col(ts) + F.col(duration)
 
 
+def arrival_order() -> Column:
+    """``(ts_ms, seq)`` as one number, which a hash aggregate can hold."""
+    # Any two bigint seqs differ by less than the factor.
+    factor = F.lit("20000000000000000000").cast("decimal(20,0)")
+    return (F.col("ts_ms").cast("decimal(18,0)") * factor + F.col("seq")).cast("decimal(38,0)")
+
+
 def with_end(tr: DataFrame) -> DataFrame:
     return tr.withColumn("end_ms", end_ms())
 

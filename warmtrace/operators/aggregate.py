@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import MINUTES_PER_DAY
+from ..model import MINUTES_PER_DAY, arrival_order
 from .running import running, time_chunk
 
 
@@ -74,13 +74,16 @@ def replace_ids(tr: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def first_duration(tr: DataFrame) -> DataFrame:
     """Duration of each function's first invocation."""
-    when = F.struct("ts_ms", "owner", "seq")
-    return tr.groupBy("function").agg(F.min_by("duration_ms", when).alias("duration_ms"))
+    return tr.groupBy("function").agg(F.min_by("duration_ms", arrival_order()).alias("duration_ms"))
 
 
 def trace_mix(tr: DataFrame) -> DataFrame:
-    """Invocations per language and benchmark, with a subtotal per language."""
-    return (tr.rollup("language", "benchmark").agg(F.count("*").alias("invocations"))
+    """Invocations per language and benchmark, with a subtotal per language.
+
+    The subtotals are rolled up from the small table of pairs, not from the rows.
+    """
+    pairs = tr.groupBy("language", "benchmark").agg(F.count("*").alias("n"))
+    return (pairs.rollup("language", "benchmark").agg(F.sum("n").alias("invocations"))
             .where(F.col("language").isNotNull()))
 
 

@@ -59,7 +59,7 @@ def popularity_band(tr: DataFrame, n: int) -> DataFrame:
     chunk = F.struct("invocations", F.substring("_key", 1, 2).alias("part"))
     ranked = running(per, keys=[], chunk=chunk, order=["invocations", "_key", "function"],
                      sums={"rank": F.lit(1)})
-    functions = tr.agg(F.count_distinct("function")).scalar()
+    functions = per.select(F.count("*")).scalar()
     skip = F.floor(F.greatest(functions - n, F.lit(0)) / 2)
     return (ranked.where((F.col("rank") > skip) & (F.col("rank") <= skip + n))
             .select("function", "invocations", "rank"))

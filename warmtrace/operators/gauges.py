@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ceil_div
 from ..model import (CHUNK_MS, KEEPALIVE_MS, SAMPLE_MS, VM_MB, WORKER_MB, WORKERS,
-                     end_ms)
+                     arrival_order, end_ms)
 from .running import running, time_chunk
 from .stages import materialise
 
@@ -174,7 +174,7 @@ def _vm_moves(tr: DataFrame, rule: str) -> DataFrame:
         F.struct(end_ms().alias("time"), F.lit(-1).alias("move")))).alias("_m"))
     moves = moves.select("owner", "function", "_m.*")
     first = tr.groupBy("owner", "function") if rule == "owner" else tr.groupBy("function")
-    first = first.agg(F.min_by("memory_mb", F.struct("ts_ms", "owner", "seq")).alias("_mb"))
+    first = first.agg(F.min_by("memory_mb", arrival_order()).alias("_mb"))
     keys = ["owner", "function"] if rule == "owner" else ["function"]
     # The first-seen memory joins the counts per instant, not the single rows.
     at = moves.groupBy(*keys, "time").agg(F.sum("move").alias("move")).where("move != 0")

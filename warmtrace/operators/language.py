@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash32, shuffle_key
-from .aggregate import count_by_function, first_duration
+from ..model import arrival_order
 from .running import running
 
 # Share of invocations per language, in assignment order.
@@ -46,11 +46,13 @@ def assign_language(tr: DataFrame, shares: Mapping[str, int] = LANGUAGE_SHARES,
     last language if none.  The running total is cut by the leading hex digits of
     the random key, so no task holds all functions.
     """
-    per = (count_by_function(tr).join(first_duration(tr), "function")
+    per = (tr.groupBy("function")
+           .agg(F.count("*").alias("invocations"),
+                F.min_by("duration_ms", arrival_order()).alias("duration_ms"))
            .withColumn("_key", shuffle_key(F.col("function"), seed)))
     ranked = running(per, keys=[], chunk=F.substring("_key", 1, 2),
                      order=["_key", "function"], sums={"upto": F.col("invocations")})
-    total = tr.select(F.count("*")).scalar()
+    total = per.select(F.sum("invocations")).scalar()
     limits = language_thresholds(total, shares)
     language = F.lit(limits[-1][0])
     for name, limit in reversed(limits[:-1]):

@@ -28,10 +28,9 @@ def series_cdf(s: DataFrame, width: float = 100.0) -> DataFrame:
     ``width`` is the value range handled by one task.
     """
     totals = s.groupBy("series").agg(F.count("*").alias("total"))
-    steps = (unfold(_ranked(s, width), "n", "_copy")
-             .withColumn("i", F.col("upto") - F.col("n") + F.col("_copy") - 1))
-    return steps.join(totals, "series").select(
-        "series", "value", "i", (F.col("i") / F.col("total")).alias("fraction"))
+    steps = unfold(_ranked(s, width).join(totals, "series"), "n", "_copy")
+    i = F.col("upto") - F.col("n") + F.col("_copy") - 1
+    return steps.select("series", "value", i.alias("i"), (i / F.col("total")).alias("fraction"))
 
 
 def series_percentiles(s: DataFrame, shares: Sequence[float] = (0.5, 0.95),

@@ -24,6 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there.
 
@@ -32,4 +35,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables this session wrote; call it once their results are read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _written:
+        path = hadoop(_written.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped

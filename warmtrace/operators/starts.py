@@ -144,10 +144,10 @@ def _resolved(pool: DataFrame) -> DataFrame:
     """Arrivals with ``cold`` and, when warm, the rank ``taken`` of the container they take."""
     arrivals = pool.where("kind = 0")
     # The clamp of a whole chunk is that of its last arrival.
-    whole = F.struct(F.least(F.greatest("lo_before", "lo"), "hi").alias("lo"),
-                     F.least(F.greatest("hi_before", "lo"), "hi").alias("hi"))
-    chunks = (arrivals.groupBy("function", "chunk").agg(F.max_by(whole, "arrived").alias("_c"))
-              .select("function", "chunk", "_c.lo", "_c.hi")
+    low = F.least(F.greatest("lo_before", "lo"), "hi")
+    high = F.least(F.greatest("hi_before", "lo"), "hi")
+    chunks = (arrivals.groupBy("function", "chunk")
+              .agg(F.max_by(low, "arrived").alias("lo"), F.max_by(high, "arrived").alias("hi"))
               .repartition("function").sortWithinPartitions("function", "chunk"))
     start = _scanned(chunks, ["function"]).select(
         "function", "chunk",
