@@ -19,21 +19,21 @@ def rows_for(seed, n=600, span=4_000, longest=120):
 @pytest.mark.parametrize("limit", [1, 6, 14, 60])
 def test_cap_concurrency_exact(spark, limit):
     rows = rows_for(limit)
-    got = [r.seq for r in down.cap_concurrency(make_trace(spark, rows), limit, chunk_ms=300).collect()]
+    got = [r.seq for r in down.cap_concurrency(make_trace(spark, rows), limit, chunk_rows=40).collect()]
     assert sorted(got) == sorted(cap_model([(*r, i) for i, r in enumerate(rows)], limit, lambda r: 1))
 
 
 @pytest.mark.parametrize("limit", [100, 1_000, 3_000])
 def test_cap_memory_exact(spark, limit):
     rows = rows_for(limit)
-    got = [r.seq for r in down.cap_memory(make_trace(spark, rows), limit, chunk_ms=300).collect()]
+    got = [r.seq for r in down.cap_memory(make_trace(spark, rows), limit, chunk_rows=40).collect()]
     assert sorted(got) == sorted(cap_model([(*r, i) for i, r in enumerate(rows)], limit, lambda r: r[2]))
 
 
 def test_cap_by_owner(spark):
     rows = rows_for(77)
     full = [(*r, i) for i, r in enumerate(rows)]
-    got = [r.seq for r in down.cap_concurrency(make_trace(spark, rows), 2, by=["owner"], chunk_ms=300).collect()]
+    got = [r.seq for r in down.cap_concurrency(make_trace(spark, rows), 2, by=["owner"], chunk_rows=40).collect()]
     want = [s for o in {r[0] for r in rows} for s in cap_model([r for r in full if r[0] == o], 2, lambda r: 1)]
     assert sorted(got) == sorted(want)
 

@@ -55,7 +55,7 @@ def test_random_traces_match_pool(spark, keepalive):
     rows = random_rows(keepalive, 150, 25, 60, 30)
     model = pool_model([(*r, i) for i, r in enumerate(rows)], keepalive)
     tr = make_trace(spark, rows)
-    for chunk in (4, 1000):
+    for chunk in (4, 100_000):
         assert results(st.classify_starts(tr, keepalive, chunk, containers=True)) == model
     cold = {(r.function, r.seq) for r in st.cold_starts(tr, keepalive, 4).where("cold").collect()}
     assert cold == {k for k, v in model.items() if v[0]}
@@ -83,9 +83,12 @@ def test_hot_function_over_many_batches(spark, partitions):
 def test_hot_function_is_spread_over_chunks(spark):
     """No shuffle of rows is keyed by the function alone."""
     rows = [("o1", "hot", 128, 50, t * 10) for t in range(400)]
-    pool = st._pool(make_trace(spark, rows), K, 100)
-    sizes = pool.groupBy("function", "chunk").count().agg(F.max("count")).first()[0]
-    assert sizes <= 20
+    rows += [("o1", "rare", 128, 50, t * 100) for t in range(40)]
+    pool = st._pool(make_trace(spark, rows), K, 50)
+    sizes = {r.function: (r.n, r.chunks) for r in pool.groupBy("function", "chunk").count().groupBy("function")
+             .agg(F.max("count").alias("n"), F.count("*").alias("chunks")).collect()}
+    assert sizes["rare"] == (80, 1)
+    assert sizes["hot"][0] <= 110 and sizes["hot"][1] >= 8
 
 
 def test_keepalive_boundary(spark):
@@ -146,7 +149,7 @@ def test_hot_functions_match_ring(spark, zero_fill):
         first = ring_model(times, 4, 30, zero_fill)
         if first is not None:
             expected[f"f{case}"] = first
-    got = st.hot_functions(make_trace(spark, rows), 4, 30, zero_fill, chunk_ms=30)
+    got = st.hot_functions(make_trace(spark, rows), 4, 30, zero_fill, chunk_rows=5)
     assert {r.function: r.hot_since for r in got.collect()} == expected
 
 
@@ -180,7 +183,7 @@ def test_gauges_match_model(spark):
     full = [(*r, i) for i, r in enumerate(rows)]
     model = pool_model(full, 4_000)
     tr = make_trace(spark, rows)
-    got = ga.gauges(st.classify_starts(tr, 4_000, 5_000), 4_000, chunk_ms=5_000).collect()
+    got = ga.gauges(st.classify_starts(tr, 4_000, 5_000), 4_000, chunk_rows=50).collect()
     instants = {}
     for r in rows:
         instants[r[4] // 1000] = max(r[4], instants.get(r[4] // 1000, 0))

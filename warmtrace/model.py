@@ -35,9 +35,6 @@ VM_MB = 1_024
 WORKERS = 100
 WORKER_MB = 106_496
 
-# Width of the time chunks that spread one long history over many tasks.
-CHUNK_MS = 3_600_000
-
 
 def end_ms(ts: str = "ts_ms", duration: str = "duration_ms") -> Column:
     """First instant at which an invocation no longer runs."""

@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash32, shuffle_key
-from ..model import CHUNK_MS, ORDER, end_ms
+from ..model import ORDER, end_ms
 from .aggregate import count_by_function
 from .expand import keep_selected
-from .running import running, time_chunk
+from .running import CHUNK_ROWS, chunk_of, running, with_widths
 from .stages import materialise
 from .starts import _ddl
 
@@ -114,28 +114,28 @@ def _greedy(keys: list[str], max_piece_rows: int, schema: str):
     return steps, schema + ", `_admitted` boolean"
 
 
-def _arrival_load(rows: DataFrame, weight: Column, by: list[str], chunk_ms: int, name: str) -> DataFrame:
+def _arrival_load(rows: DataFrame, weight: Column, by: list[str], name: str) -> DataFrame:
     """Add to each row the weight running when it arrives, itself included."""
     columns = rows.columns
     moves = (rows.withColumn("_w", weight)
              .select("*", F.posexplode(F.array("ts_ms", end_ms())).alias("_kind", "_time"))
              .withColumn("_move", F.when(F.col("_kind") == 0, F.col("_w")).otherwise(-F.col("_w"))))
-    loaded = running(moves, keys=by, chunk=time_chunk("_time", chunk_ms),
+    loaded = running(moves, keys=by, chunk=chunk_of("_time"),
                      order=["_time", *ORDER, "_kind"], sums={name: F.col("_move")})
     return loaded.where("_kind = 0").select(*columns, name)
 
 
-def _admit(tr: DataFrame, weight: Column, by: list[str], chunk_ms: int, max_piece_rows: int) -> DataFrame:
+def _admit(tr: DataFrame, weight: Column, by: list[str], chunk_rows: int, max_piece_rows: int) -> DataFrame:
     """Rows admitted under the cap in column ``_limit``, one cap per ``by``."""
     columns = [c for c in tr.columns if c != "_limit"]
-    rows = tr.withColumn("_weight", weight.cast("bigint"))
-    load = _arrival_load(rows, F.col("_weight"), by, chunk_ms, "_load")
+    rows = with_widths(tr, by, chunk_rows=chunk_rows).withColumn("_weight", weight.cast("bigint"))
+    load = _arrival_load(rows, F.col("_weight"), by, "_load")
     load = materialise(load.withColumn("_contested", F.col("_load") > F.col("_limit")).drop("_load"))
     sure = load.where(~F.col("_contested"))
     known = _arrival_load(load, F.when(F.col("_contested"), 0).otherwise(F.col("_weight")),
-                          by, chunk_ms, "_sure_load")
+                          by, "_sure_load")
     contested = materialise(known.where("_contested").withColumn("_end", end_ms()))
-    chunk = time_chunk("ts_ms", chunk_ms)
+    chunk = chunk_of("ts_ms")
     after = running(contested, keys=by, chunk=chunk, order=ORDER,
                     maxes={"_until": F.col("_end")}, exclusive=True)
     free = F.col("_until").isNull() | (F.col("ts_ms") >= F.col("_until"))
@@ -149,20 +149,20 @@ def _admit(tr: DataFrame, weight: Column, by: list[str], chunk_ms: int, max_piec
 
 
 def _cap(tr: DataFrame, limit: int, weight: Column, mode: str, by: Sequence[str] | None,
-         shards: int, seed: int, chunk_ms: int, max_piece_rows: int) -> DataFrame:
+         shards: int, seed: int, chunk_rows: int, max_piece_rows: int) -> DataFrame:
     if mode == "sharded":
         shard = (hash32(F.col("function"), F.col("seq"), seed) % shards).cast("int")
         quota = F.lit(limit // shards) + (F.col("_shard") < limit % shards).cast("int")
         rows = tr.withColumn("_shard", shard).withColumn("_limit", quota.cast("bigint"))
-        return _admit(rows, weight, [*(by or []), "_shard"], chunk_ms, max_piece_rows).drop("_shard")
+        return _admit(rows, weight, [*(by or []), "_shard"], chunk_rows, max_piece_rows).drop("_shard")
     if mode != "exact":
         raise ValueError(f"unknown mode {mode!r}")
     rows = tr.withColumn("_limit", F.lit(limit).cast("bigint"))
-    return _admit(rows, weight, list(by or []), chunk_ms, max_piece_rows)
+    return _admit(rows, weight, list(by or []), chunk_rows, max_piece_rows)
 
 
 def cap_concurrency(tr: DataFrame, n: int, mode: str = "exact", by: Sequence[str] | None = None,
-                    shards: int = 8, seed: int = 0, chunk_ms: int = CHUNK_MS,
+                    shards: int = 8, seed: int = 0, chunk_rows: int = CHUNK_ROWS,
                     max_piece_rows: int = MAX_PIECE_ROWS) -> DataFrame:
     """Drop rows that would make more than ``n`` run at once.
 
@@ -171,14 +171,14 @@ def cap_concurrency(tr: DataFrame, n: int, mode: str = "exact", by: Sequence[str
     one task.  ``sharded`` splits the cap over hashed shards: never exceeded and
     always parallel, but it admits another, smaller selection.
     """
-    return _cap(tr, n, F.lit(1), mode, by, shards, seed, chunk_ms, max_piece_rows)
+    return _cap(tr, n, F.lit(1), mode, by, shards, seed, chunk_rows, max_piece_rows)
 
 
 def cap_memory(tr: DataFrame, mb: int, mode: str = "exact", by: Sequence[str] | None = None,
-               shards: int = 8, seed: int = 0, chunk_ms: int = CHUNK_MS,
+               shards: int = 8, seed: int = 0, chunk_rows: int = CHUNK_ROWS,
                max_piece_rows: int = MAX_PIECE_ROWS) -> DataFrame:
     """Drop rows that would make running memory exceed ``mb``; modes as above."""
-    return _cap(tr, mb, F.col("memory_mb"), mode, by, shards, seed, chunk_ms, max_piece_rows)
+    return _cap(tr, mb, F.col("memory_mb"), mode, by, shards, seed, chunk_rows, max_piece_rows)
 
 
 def downscale(tr: DataFrame, functions: int = 0, concurrency: int = 0, users: int = 0,

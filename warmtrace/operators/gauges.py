@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ceil_div
-from ..model import (CHUNK_MS, KEEPALIVE_MS, SAMPLE_MS, VM_MB, WORKER_MB, WORKERS,
+from ..model import (KEEPALIVE_MS, SAMPLE_MS, VM_MB, WORKER_MB, WORKERS,
                      arrival_order, end_ms)
-from .running import running, time_chunk
+from .running import CHUNK_ROWS, WIDTH, chunk_of, running, time_chunk, with_widths
 from .stages import materialise
 
 GAUGES = ["ts_ms", "invocations", "cold", "running_users", "running_functions",
@@ -28,14 +28,15 @@ OPTIMISED_GAUGES = ["optimised_cold", "running_optimised_functions"]
 
 
 def level_steps(moves: DataFrame, keys: list[str], value: Callable[[Column], Column],
-                chunk_ms: int) -> DataFrame:
+                chunk_rows: int) -> DataFrame:
     """Steps of ``value(level)`` where each key's level is the running sum of its moves.
 
     ``moves`` has ``keys``, ``time`` and ``move``; moves at one instant count
     together.  The result has ``keys``, ``time`` and a non-zero ``step``.
     """
     at = moves.groupBy(*keys, "time").agg(F.sum("move").alias("move")).where("move != 0")
-    levels = running(at, keys=keys, chunk=time_chunk("time", chunk_ms), order=["time"],
+    cut = with_widths(at, keys, "time", chunk_rows)
+    levels = running(cut, keys=keys, chunk=chunk_of("time"), order=["time"],
                      sums={"level": F.col("move")})
     step = value(F.col("level")) - value(F.col("level") - F.col("move"))
     return levels.select(*keys, "time", step.alias("step")).where("step != 0")
@@ -46,18 +47,18 @@ def is_active(level: Column) -> Column:
 
 
 def _at_samples(steps: DataFrame, sums: list[str], counts: list[str], grid_ms: int,
-                chunk_ms: int) -> DataFrame:
+                chunk_rows: int) -> DataFrame:
     """Accumulate steps per instant and read them at the last arrival of each grid bucket.
 
     ``sums`` are levels; ``counts`` are totals of the bucket.  ``steps`` has one
     row per change with ``time``, those columns and ``arrivals``.
     """
-    width = max(chunk_ms // grid_ms, 1) * grid_ms
     at = steps.groupBy("time").agg(*[F.sum(c).alias(c) for c in [*sums, *counts, "arrivals"]])
     # At most one row per millisecond is left, and it is read twice.
     at = materialise(at)
-    levels = running(at.withColumn("_bucket", time_chunk("time", grid_ms)),
-                     keys=[], chunk=time_chunk("time", width), order=["time"],
+    cut = with_widths(at.withColumn("_bucket", time_chunk("time", grid_ms)), [], "time",
+                      chunk_rows, multiple_of=grid_ms)
+    levels = running(cut, keys=[], chunk=chunk_of("time"), order=["time"],
                      sums={f"_{c}": F.col(c) for c in sums}, keep_chunk="_part")
     bucket = Window.partitionBy("_part", "_bucket")
     last = F.max(F.when(F.col("arrivals") > 0, F.col("time"))).over(bucket)
@@ -74,15 +75,15 @@ def sample_counts(starts: DataFrame, grid_ms: int = SAMPLE_MS) -> DataFrame:
                  F.count_if("cold").alias("cold")).drop("_bucket"))
 
 
-def per_sample_delta(samples: DataFrame, total: str, name: str, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def per_sample_delta(samples: DataFrame, total: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Difference of a cumulative column from one sample to the next (from 0 at the first)."""
-    before = running(samples, keys=[], chunk=time_chunk("ts_ms", chunk_ms), order=["ts_ms"],
-                     maxes={"_before": F.col(total)}, exclusive=True)
+    before = running(with_widths(samples, [], chunk_rows=chunk_rows), keys=[], chunk=chunk_of("ts_ms"),
+                     order=["ts_ms"], maxes={"_before": F.col(total)}, exclusive=True)
     return (before.withColumn(name, F.col(total) - F.coalesce("_before", F.lit(0)))
-            .drop("_before"))
+            .drop("_before", WIDTH))
 
 
-def running_gauges(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def running_gauges(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Running invocations and memory at each sample."""
     changes = tr.select(F.explode(F.array(
         F.struct(F.col("ts_ms").alias("time"), F.lit(1).alias("n"),
@@ -90,7 +91,7 @@ def running_gauges(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_ms: int = CHUN
         F.struct(end_ms().alias("time"), F.lit(-1).alias("n"),
                  (-F.col("memory_mb")).cast("bigint").alias("mb"), F.lit(0).alias("arrivals"))))
         .alias("_c")).select("_c.*")
-    out = _at_samples(changes, ["n", "mb"], [], grid_ms, chunk_ms)
+    out = _at_samples(changes, ["n", "mb"], [], grid_ms, chunk_rows)
     return out.select("ts_ms", F.col("n").alias("running_invocations"), F.col("mb").alias("running_mb"))
 
 
@@ -98,13 +99,13 @@ def _arrival_marks(tr: DataFrame) -> DataFrame:
     return tr.select(F.col("ts_ms").alias("time"), F.lit(1).alias("arrivals"))
 
 
-def running_distinct(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def running_distinct(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Distinct users and functions running at each sample."""
     moves = _key_moves(tr, {"running": ("ts_ms", end_ms())})
-    steps = level_steps(moves, ["gauge", "key"], is_active, chunk_ms)
+    steps = level_steps(moves, ["gauge", "key"], is_active, chunk_rows)
     wide = _by_gauge(steps, ["running_users", "running_functions"])
     marked = wide.unionByName(_arrival_marks(tr), allowMissingColumns=True)
-    return _at_samples(marked, ["running_users", "running_functions"], [], grid_ms, chunk_ms)
+    return _at_samples(marked, ["running_users", "running_functions"], [], grid_ms, chunk_rows)
 
 
 def _key_moves(tr: DataFrame, intervals: dict) -> DataFrame:
@@ -125,7 +126,7 @@ def _by_gauge(steps: DataFrame, names: list[str]) -> DataFrame:
 
 
 def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = SAMPLE_MS,
-           chunk_ms: int = CHUNK_MS) -> DataFrame:
+           chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """All gauges from classified starts; with optimised gauges when the starts have them."""
     starts = materialise(starts)
     optimised = "optimised" in starts.columns
@@ -138,7 +139,7 @@ def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = S
         flagged = starts.where("optimised")
         moves = moves.unionByName(_key_moves(flagged, {"running_optimised": ("ts_ms", end_ms())})
                                   .where("gauge = 'running_optimised_functions'"))
-    by_key = _by_gauge(level_steps(moves, ["gauge", "key"], is_active, chunk_ms), names)
+    by_key = _by_gauge(level_steps(moves, ["gauge", "key"], is_active, chunk_rows), names)
 
     mb = F.col("memory_mb").cast("bigint")
     flags = {"cold": F.col("cold").cast("int")}
@@ -161,7 +162,7 @@ def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = S
     sums = ["running_invocations", "running_mb", "cached_mb"]
     counts = ["invocations", *flags]
     both = per_row.unionByName(by_key, allowMissingColumns=True)
-    at = _at_samples(both.fillna(0), [*sums, *names], counts, grid_ms, chunk_ms)
+    at = _at_samples(both.fillna(0), [*sums, *names], counts, grid_ms, chunk_rows)
     out = (at.withColumn("cached_users", F.col("held_users") - F.col("running_users"))
            .withColumn("cached_functions", F.col("held_functions") - F.col("running_functions")))
     return out.select(*GAUGES, *(OPTIMISED_GAUGES if optimised else []))
@@ -183,21 +184,21 @@ def _vm_moves(tr: DataFrame, rule: str) -> DataFrame:
 
 
 def vm_footprint(tr: DataFrame, rule: str = "owner", vm_mb: int = VM_MB,
-                 grid_ms: int = SAMPLE_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
+                 grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Memory taken by VMs at each sample under an isolation rule.
 
     ``invocation``: the plain sum.  ``function`` and ``owner``: the group's
     running memory, each function at its first-seen size, in whole VMs.
     """
     if rule == "invocation":
-        plain = running_gauges(tr, grid_ms, chunk_ms)
+        plain = running_gauges(tr, grid_ms, chunk_rows)
         return plain.select("ts_ms", F.floor(F.col("running_mb") / vm_mb).alias("vms"),
                             F.col("running_mb").alias("footprint_mb"))
     moves = _vm_moves(tr, rule)
-    steps = level_steps(moves, [rule], lambda mb: ceil_div(mb, vm_mb), chunk_ms)
+    steps = level_steps(moves, [rule], lambda mb: ceil_div(mb, vm_mb), chunk_rows)
     marked = steps.select("time", F.col("step").alias("vms")).unionByName(
         _arrival_marks(tr), allowMissingColumns=True).fillna(0)
-    at = _at_samples(marked, ["vms"], [], grid_ms, chunk_ms)
+    at = _at_samples(marked, ["vms"], [], grid_ms, chunk_rows)
     return at.select("ts_ms", "vms", (F.col("vms") * vm_mb).alias("footprint_mb"))
 
 
@@ -207,7 +208,7 @@ def capacity_check(footprint: DataFrame, workers: int = WORKERS, mb: int = WORKE
             .where("headroom_mb < 0"))
 
 
-def worker_summary(log: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def worker_summary(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per worker: distinct functions and owners, requests and peak running memory.
 
     ``log`` is a trace with a ``worker`` column.
@@ -222,7 +223,7 @@ def worker_summary(log: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
         F.struct(F.col("ts_ms").alias("time"), mb.alias("move")),
         F.struct(end_ms().alias("time"), (-mb).alias("move")))).alias("_m")).select("worker", "_m.*")
     at = moves.groupBy("worker", "time").agg(F.sum("move").alias("move"))
-    peak = (running(at, keys=["worker"], chunk=time_chunk("time", chunk_ms), order=["time"],
-                    sums={"level": F.col("move")})
+    peak = (running(with_widths(at, ["worker"], "time", chunk_rows), keys=["worker"],
+                    chunk=chunk_of("time"), order=["time"], sums={"level": F.col("move")})
             .groupBy("worker").agg(F.max("level").alias("peak_mb")))
     return seen.join(owners, "worker").join(peak, "worker")

@@ -4,7 +4,8 @@ A window over ``(keys)`` puts every row of a busy key in one task, and a window
 without keys puts the whole table there.  Here the order is cut into chunks:
 each chunk is summarised with map-side combining, the few chunk totals are
 accumulated, and each chunk then starts from a single carry row.  Rows are
-shuffled once, by (keys, chunk).
+shuffled once, by (keys, chunk).  Only long histories are cut, into chunks of
+about equal size; short ones stay whole.
 """
 
 from __future__ import annotations
@@ -15,8 +16,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_chunk(time: str, chunk_ms: int) -> Column:
-    return F.call_function("div", F.col(time), F.lit(chunk_ms))
+# A history longer than this many rows is cut into chunks of about this size.
+CHUNK_ROWS = 1_000_000
+# No more keys than this are ever cut, so their widths are safe to broadcast.
+MOST_CUT_KEYS = 100_000
+WIDTH = "_width"
+
+
+def time_chunk(time: str, width_ms: int) -> Column:
+    """Number of the fixed-width time chunk."""
+    return F.call_function("div", F.col(time), F.lit(width_ms))
+
+
+def with_widths(df: DataFrame, keys: Sequence[str], time: str = "ts_ms",
+                chunk_rows: int = CHUNK_ROWS, multiple_of: int = 1) -> DataFrame:
+    """Add the chunk width that suits the history of each key, null where one chunk will do.
+
+    Only keys with more than ``chunk_rows`` rows, and with more than a
+    ``MOST_CUT_KEYS``-th of all rows, are cut: at most ``MOST_CUT_KEYS`` keys
+    have a width, whatever the data.
+    """
+    keys = list(keys)
+    stats = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(time).alias("_lo"),
+                                  F.max(time).alias("_hi"))
+    limit = F.lit(chunk_rows).cast("double")
+    if keys:
+        total = stats.select(F.sum("_n")).scalar()
+        limit = F.greatest(limit, total / F.lit(MOST_CUT_KEYS))
+    span = (F.col("_hi") - F.col("_lo") + 1) * limit / F.col("_n")
+    width = F.greatest(F.lit(1), F.ceil(span / F.lit(multiple_of))) * F.lit(multiple_of)
+    cut = stats.where(F.col("_n") > limit).select(*keys, width.cast("bigint").alias(WIDTH))
+    if keys:
+        return df.join(F.broadcast(cut), keys, "left")
+    return df.withColumn(WIDTH, cut.scalar())
+
+
+def chunk_of(time: str) -> Column:
+    """Chunk number of a row that has a width."""
+    return F.when(F.col(WIDTH).isNull(), F.lit(0).cast("bigint")).otherwise(
+        F.call_function("div", F.col(time), F.col(WIDTH)))
 
 
 def running(df: DataFrame, *, keys: Sequence[str], chunk: Column, order: Sequence[str],

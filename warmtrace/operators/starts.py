@@ -21,28 +21,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import optimised_footprint
-from ..model import (CHUNK_MS, FUNCTION_ORDER, HOT_COLD_STARTS, HOT_PERIOD_MS,
-                     KEEPALIVE_MS, end_ms)
-from .running import running, time_chunk
+from ..model import FUNCTION_ORDER, HOT_COLD_STARTS, HOT_PERIOD_MS, KEEPALIVE_MS, end_ms
+from .running import CHUNK_ROWS, WIDTH, chunk_of, running, with_widths
 from .stages import materialise
 
 WIDEST = 1 << 62
 
 
 def active_segments(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS,
-                    chunk_ms: int = CHUNK_MS) -> DataFrame:
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Number each function's stretches without an idle gap.
 
     A new segment starts when every earlier container of the function is past
     its keep-alive.
     """
-    past = running(tr, keys=["function"], chunk=time_chunk("ts_ms", chunk_ms),
-                   order=FUNCTION_ORDER, maxes={"_until": end_ms() + F.lit(keepalive_ms)},
-                   exclusive=True)
+    cut = with_widths(tr, ["function"], chunk_rows=chunk_rows)
+    past = running(cut, keys=["function"], chunk=chunk_of("ts_ms"), order=FUNCTION_ORDER,
+                   maxes={"_until": end_ms() + F.lit(keepalive_ms)}, exclusive=True)
     begins = F.col("_until").isNull() | (F.col("ts_ms") >= F.col("_until"))
-    return running(past.withColumn("_begins", begins.cast("int")).drop("_until"),
-                   keys=["function"], chunk=time_chunk("ts_ms", chunk_ms), order=FUNCTION_ORDER,
-                   sums={"segment": F.col("_begins")}).drop("_begins")
+    numbered = running(past.withColumn("_begins", begins.cast("int")).drop("_until"),
+                       keys=["function"], chunk=chunk_of("ts_ms"), order=FUNCTION_ORDER,
+                       sums={"segment": F.col("_begins")})
+    return numbered.select(*tr.columns, "segment")
 
 
 def _clamp_scan(keys: list[str], schema: str):
@@ -109,7 +109,7 @@ def _scanned(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.mapInArrow(step, schema)
 
 
-def _pool(tr: DataFrame, keepalive_ms: int, chunk_ms: int) -> DataFrame:
+def _pool(tr: DataFrame, keepalive_ms: int, chunk_rows: int) -> DataFrame:
     """Arrivals with a cold flag and the rank of the container they take; idle containers with theirs.
 
     One row per arrival (``kind`` 0) and per end (``kind`` 1).
@@ -118,11 +118,12 @@ def _pool(tr: DataFrame, keepalive_ms: int, chunk_ms: int) -> DataFrame:
     # Kinds 0, 1, 2: arrival, end, end of the keep-alive.
     moments = F.array("ts_ms", end_ms(), end_ms() + F.lit(keepalive_ms))
     # Only arrivals carry the payload through the shuffle.
-    events = (tr.select("*", F.posexplode(moments).alias("kind", "time"))
-              .select("function", "owner", "ts_ms", "seq", "kind", "time",
+    events = (with_widths(tr, ["function"], chunk_rows=chunk_rows)
+              .select("*", F.posexplode(moments).alias("kind", "time"))
+              .select("function", "owner", "ts_ms", "seq", "kind", "time", WIDTH,
                       *[F.when(F.col("kind") == 0, F.col(c)).alias(c) for c in payload]))
     counted = running(
-        events, keys=["function"], chunk=time_chunk("time", chunk_ms),
+        events, keys=["function"], chunk=chunk_of("time"),
         order=["time", "ts_ms", "owner", "seq", "kind"], keep_chunk="chunk",
         sums={"arrived": (F.col("kind") == 0).cast("bigint"),
               "idle": (F.col("kind") == 1).cast("bigint"),
@@ -137,7 +138,7 @@ def _pool(tr: DataFrame, keepalive_ms: int, chunk_ms: int) -> DataFrame:
                .withColumn("hi", F.when(arrival, high).otherwise(F.lit(WIDEST)))
                .drop("expired")
                .sortWithinPartitions("function", "chunk", "time", "ts_ms", "owner", "seq", "kind"))
-    return materialise(_scanned(bounded, ["function", "chunk"]).drop("time"))
+    return materialise(_scanned(bounded, ["function", "chunk"]).drop("time", WIDTH))
 
 
 def _resolved(pool: DataFrame) -> DataFrame:
@@ -159,15 +160,15 @@ def _resolved(pool: DataFrame) -> DataFrame:
 
 
 def cold_starts(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS,
-                chunk_ms: int = CHUNK_MS) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The trace with a ``cold`` flag only; cheaper than ``classify_starts``."""
-    found = _resolved(_pool(tr, keepalive_ms, chunk_ms))
+    found = _resolved(_pool(tr, keepalive_ms, chunk_rows))
     return found.select(*tr.columns, "cold")
 
 
-def _linked(tr: DataFrame, keepalive_ms: int, chunk_ms: int, previous: bool) -> DataFrame:
+def _linked(tr: DataFrame, keepalive_ms: int, chunk_rows: int, previous: bool) -> DataFrame:
     """Cold flags, when each container is taken again, and from which row it was taken."""
-    pool = _pool(tr, keepalive_ms, chunk_ms)
+    pool = _pool(tr, keepalive_ms, chunk_rows)
     found = _resolved(pool)
     idle = pool.where("kind = 1").select("function", F.col("idle").alias("_rank"), "seq")
     takers = found.where(~F.col("cold")).select(
@@ -220,14 +221,16 @@ def _head_step(keys: list[str], follow: str, kept: str | None, schema: str):
     return steps, schema + ", head bigint"
 
 
-def _chains(linked: DataFrame, chunk_ms: int) -> tuple[DataFrame, DataFrame]:
+def _chains(linked: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows with the first row of their container in their time chunk, and a table of those first rows.
 
     Each chunk is followed apart; then only the first rows, one per container
     and chunk, are followed through a function's chunks.
     """
     keys = ["function", "chunk"]
-    rows = (linked.withColumn("chunk", time_chunk("ts_ms", chunk_ms))
+    linked = materialise(linked)
+    rows = (with_widths(linked, ["function"], chunk_rows=chunk_rows)
+            .withColumn("chunk", chunk_of("ts_ms")).drop(WIDTH)
             .withColumn("_kept", F.col("reused_by").isNotNull())
             .repartition(*keys).sortWithinPartitions(*keys, "ts_ms", "owner", "seq"))
     step, schema = _head_step(keys, "previous", "_kept", _ddl(rows))
@@ -246,7 +249,7 @@ def _chains(linked: DataFrame, chunk_ms: int) -> tuple[DataFrame, DataFrame]:
     return rows, begun.unionByName(entered)
 
 
-def classify_starts(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS, chunk_ms: int = CHUNK_MS,
+def classify_starts(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS, chunk_rows: int = CHUNK_ROWS,
                     containers: bool = False) -> DataFrame:
     """Add ``cold`` and ``reused_at`` (when the container is next taken, null if never).
 
@@ -254,26 +257,27 @@ def classify_starts(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS, chunk_ms: i
     container began with.  ``(function, seq)`` must identify a row and durations
     must not be negative.
     """
-    linked = _linked(tr, keepalive_ms, chunk_ms, containers)
+    linked = _linked(tr, keepalive_ms, chunk_rows, containers)
     if not containers:
         return linked.select(*tr.columns, "cold", "reused_at")
-    rows, heads = _chains(linked, chunk_ms)
+    rows, heads = _chains(linked, chunk_rows)
     return (rows.join(heads, ["function", "head"])
             .select(*tr.columns, "cold", "reused_at", "container_id"))
 
 
 def hot_cold_starts(cold: DataFrame, n: int = HOT_COLD_STARTS, period_ms: int = HOT_PERIOD_MS,
-                    zero_fill: bool = False, chunk_ms: int = CHUNK_MS) -> DataFrame:
+                    zero_fill: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``hot``: the function had ``n`` cold starts within ``period_ms`` before, now or earlier.
 
     A chunk also sees the cold starts up to ``period_ms`` before it, which is
     all the rule can reach.  ``zero_fill`` counts missing predecessors as
     starts at time 0.
     """
-    width = max(chunk_ms, period_ms)
-    own = time_chunk("ts_ms", width)
-    reaches_next = (own + 1) * F.lit(width) - F.col("ts_ms") <= F.lit(period_ms)
-    seen = cold.withColumn("_w", F.explode(F.when(reaches_next, F.array(own, own + 1))
+    wide = with_widths(cold, ["function"], chunk_rows=chunk_rows).withColumn(
+        WIDTH, F.when(F.col(WIDTH).isNotNull(), F.greatest(F.col(WIDTH), F.lit(period_ms))))
+    own = chunk_of("ts_ms")
+    reaches_next = F.coalesce((own + 1) * F.col(WIDTH) - F.col("ts_ms") <= F.lit(period_ms), F.lit(False))
+    seen = wide.withColumn("_w", F.explode(F.when(reaches_next, F.array(own, own + 1))
                                            .otherwise(F.array(own))))
     w = Window.partitionBy("function", "_w").orderBy(*FUNCTION_ORDER)
     since = F.col("ts_ms") - F.lit(period_ms)
@@ -283,30 +287,30 @@ def hot_cold_starts(cold: DataFrame, n: int = HOT_COLD_STARTS, period_ms: int =
     else:
         hit = F.coalesce(nth >= since, F.lit(False))
     hits = (seen.withColumn("_hit", hit.cast("int")).where(F.col("_w") == own).drop("_w"))
-    return (running(hits, keys=["function"], chunk=time_chunk("ts_ms", chunk_ms),
-                    order=FUNCTION_ORDER, maxes={"_hot": F.col("_hit")})
-            .withColumn("hot", F.col("_hot") == 1).drop("_hot", "_hit"))
+    return (running(hits, keys=["function"], chunk=chunk_of("ts_ms"), order=FUNCTION_ORDER,
+                    maxes={"_hot": F.col("_hit")})
+            .withColumn("hot", F.col("_hot") == 1).drop("_hot", "_hit", WIDTH))
 
 
 def hot_functions(cold: DataFrame, n: int = HOT_COLD_STARTS, period_ms: int = HOT_PERIOD_MS,
-                  zero_fill: bool = False, chunk_ms: int = CHUNK_MS) -> DataFrame:
+                  zero_fill: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Functions that became hot, with the time of the cold start that made them so."""
-    flags = hot_cold_starts(cold, n, period_ms, zero_fill, chunk_ms)
+    flags = hot_cold_starts(cold, n, period_ms, zero_fill, chunk_rows)
     return (flags.where("hot").groupBy("function")
             .agg(F.min("ts_ms").alias("hot_since"), F.count("*").alias("hot_cold_starts")))
 
 
 def classify_optimised(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS, n: int = HOT_COLD_STARTS,
                        period_ms: int = HOT_PERIOD_MS, zero_fill: bool = False,
-                       chunk_ms: int = CHUNK_MS) -> DataFrame:
+                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Starts where cold starts of hot functions run optimised, in less memory.
 
     A container keeps the memory and the ``optimised`` flag it began with, so
     warm rows take both from the cold start of their container.
     """
-    rows, heads = _chains(_linked(tr, keepalive_ms, chunk_ms, True), chunk_ms)
+    rows, heads = _chains(_linked(tr, keepalive_ms, chunk_rows, True), chunk_rows)
     cold = rows.where("cold").select("function", "owner", "ts_ms", "seq", "memory_mb")
-    flagged = hot_cold_starts(cold, n, period_ms, zero_fill, chunk_ms).select(
+    flagged = hot_cold_starts(cold, n, period_ms, zero_fill, chunk_rows).select(
         "function", F.col("seq").alias("container_id"), F.col("hot").alias("optimised"),
         F.when(F.col("hot"), optimised_footprint(F.col("memory_mb")))
         .otherwise(F.col("memory_mb")).alias("memory_mb"))
