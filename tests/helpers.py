@@ -16,19 +16,19 @@ def make_trace(spark, rows):
 def pool_model(rows, keepalive):
     """(function, seq) -> [cold, reused_at, container_id] for trace tuples with seq."""
     out, pools = {}, defaultdict(list)
-    for owner, function, _, duration, ts, seq in sorted(rows, key=lambda r: (r[4], r[0], r[5])):
+    for owner, function, _, duration, ts, seq in sorted(rows, key=lambda r: (r[4], r[5])):
         pool = pools[function]
         while pool and ts >= pool[0][0] + keepalive:
             heapq.heappop(pool)
         if pool and pool[0][0] <= ts:
             taken = heapq.heappop(pool)
-            out[function, taken[3]][1] = ts
-            root = taken[4]
+            out[function, taken[2]][1] = ts
+            root = taken[3]
             out[function, seq] = [False, None, root]
         else:
             root = seq
             out[function, seq] = [True, None, root]
-        heapq.heappush(pool, (ts + duration, ts, owner, seq, root))
+        heapq.heappush(pool, (ts + duration, ts, seq, root))
     return out
 
 

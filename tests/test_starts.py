@@ -117,7 +117,7 @@ def test_segments_start_after_everything_expired(spark):
     got = {(r.function, r.seq): r.segment for r in
            st.active_segments(make_trace(spark, rows), keepalive, 9).collect()}
     by_function = {}
-    for i, r in sorted(enumerate(rows), key=lambda x: (x[1][4], x[1][0], x[0])):
+    for i, r in sorted(enumerate(rows), key=lambda x: (x[1][4], x[0])):
         until, n = by_function.get(r[1], (None, 0))
         if until is None or r[4] >= until:
             n += 1

@@ -2,8 +2,9 @@
 
 A *trace* is a DataFrame ``owner string, function string, memory_mb int,
 duration_ms bigint, ts_ms bigint, seq bigint``.  ``(function, seq)`` identifies
-a row; rows are ordered by ``(ts_ms, owner, function, seq)`` wherever order
-matters, so results do not depend on partitioning.
+a row; rows of one function are ordered by ``(ts_ms, seq)`` and rows of a whole
+trace by ``(ts_ms, owner, function, seq)``, so results do not depend on
+partitioning.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 TRACE = ["owner", "function", "memory_mb", "duration_ms", "ts_ms", "seq"]
 ORDER = ["ts_ms", "owner", "function", "seq"]
-FUNCTION_ORDER = ["ts_ms", "owner", "seq"]
+FUNCTION_ORDER = ["ts_ms", "seq"]
 
 # The file formats and the defaults of the published tools.
 TRACE_HEADER = "HashOwner,HashFunction,AverageAllocatedMb,AverageDuration,Timestamp"

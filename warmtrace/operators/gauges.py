@@ -27,19 +27,23 @@ GAUGES = ["ts_ms", "invocations", "cold", "running_users", "running_functions",
 OPTIMISED_GAUGES = ["optimised_cold", "running_optimised_functions"]
 
 
-def level_steps(moves: DataFrame, keys: list[str], value: Callable[[Column], Column],
-                chunk_rows: int) -> DataFrame:
-    """Steps of ``value(level)`` where each key's level is the running sum of its moves.
+def level_steps(moves: DataFrame, keys: list[str], names: list[str],
+                value: Callable[[Column], Column], chunk_rows: int) -> DataFrame:
+    """Steps of ``value(level)`` where each key's levels are the running sums of its moves.
 
-    ``moves`` has ``keys``, ``time`` and ``move``; moves at one instant count
-    together.  The result has ``keys``, ``time`` and a non-zero ``step``.
+    ``moves`` has ``keys``, ``time`` and one column of moves per name; the result
+    has the steps in those columns.  Moves at one instant may come in any order:
+    their steps add up to the same.
     """
-    at = moves.groupBy(*keys, "time").agg(F.sum("move").alias("move")).where("move != 0")
-    cut = with_widths(at, keys, "time", chunk_rows)
+    cut = with_widths(moves, keys, "time", chunk_rows)
     levels = running(cut, keys=keys, chunk=chunk_of("time"), order=["time"],
-                     sums={"level": F.col("move")})
-    step = value(F.col("level")) - value(F.col("level") - F.col("move"))
-    return levels.select(*keys, "time", step.alias("step")).where("step != 0")
+                     sums={f"_{n}": F.col(n) for n in names})
+    steps = levels.select(*keys, "time", *[
+        (value(F.col(f"_{n}")) - value(F.col(f"_{n}") - F.col(n))).alias(n) for n in names])
+    changed = F.lit(False)
+    for n in names:
+        changed = changed | (F.col(n) != 0)
+    return steps.where(changed)
 
 
 def is_active(level: Column) -> Column:
@@ -101,28 +105,32 @@ def _arrival_marks(tr: DataFrame) -> DataFrame:
 
 def running_distinct(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Distinct users and functions running at each sample."""
-    moves = _key_moves(tr, {"running": ("ts_ms", end_ms())})
-    steps = level_steps(moves, ["gauge", "key"], is_active, chunk_rows)
-    wide = _by_gauge(steps, ["running_users", "running_functions"])
+    moves = _key_moves(tr, [("ts_ms", {"running": 1}), (end_ms(), {"running": -1})], ["running"])
+    wide = _active_steps(moves, ["running"], chunk_rows)
     marked = wide.unionByName(_arrival_marks(tr), allowMissingColumns=True)
     return _at_samples(marked, ["running_users", "running_functions"], [], grid_ms, chunk_rows)
 
 
-def _key_moves(tr: DataFrame, intervals: dict) -> DataFrame:
-    """+1 and -1 moves per gauge and key (owner, function) for each named interval."""
+def _key_moves(rows: DataFrame, changes: list, names: list[str]) -> DataFrame:
+    """One row per change of a row's owner (``users``) and of its function (``functions``)."""
     moves = []
-    for name, (start, stop) in intervals.items():
-        start = F.col(start) if isinstance(start, str) else start
-        for kind, key in (("users", "owner"), ("functions", "function")):
-            for time, move in ((start, 1), (stop, -1)):
-                moves.append(F.struct(F.lit(f"{name}_{kind}").alias("gauge"), F.col(key).alias("key"),
-                                      time.alias("time"), F.lit(move).alias("move")))
-    return tr.select(F.explode(F.array(*moves)).alias("_m")).select("_m.*")
+    for kind, key in (("users", "owner"), ("functions", "function")):
+        for time, by in changes:
+            time = F.col(time) if isinstance(time, str) else time
+            moves.append(F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), time.alias("time"),
+                                  *[_as_move(by.get(n, 0)).alias(n) for n in names]))
+    return rows.select(F.explode(F.array(*moves)).alias("_m")).select("_m.*")
+
 
+def _as_move(by) -> Column:
+    return by.cast("int") if isinstance(by, Column) else F.lit(by)
 
-def _by_gauge(steps: DataFrame, names: list[str]) -> DataFrame:
-    return steps.select("time", *[F.when(F.col("gauge") == n, F.col("step")).otherwise(0).alias(n)
-                                  for n in names])
+
+def _active_steps(moves: DataFrame, names: list[str], chunk_rows: int) -> DataFrame:
+    """Steps of the number of active users and functions, one column each per name."""
+    steps = level_steps(moves, ["kind", "key"], names, is_active, chunk_rows)
+    return steps.select("time", *[F.when(F.col("kind") == kind, F.col(n)).otherwise(0).alias(f"{n}_{kind}")
+                                  for n in names for kind in ("users", "functions")])
 
 
 def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = SAMPLE_MS,
@@ -132,14 +140,18 @@ def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = S
     optimised = "optimised" in starts.columns
     freed = F.least(F.coalesce("reused_at", end_ms() + F.lit(keepalive_ms)),
                     end_ms() + F.lit(keepalive_ms))
+    levels = ["running", "held"]
+    begins, ends = {"running": 1, "held": 1}, {"running": -1}
+    if optimised:
+        levels.append("running_optimised")
+        begins["running_optimised"] = F.col("optimised").cast("int")
+        ends["running_optimised"] = -F.col("optimised").cast("int")
+    moves = _key_moves(starts, [("ts_ms", begins), (end_ms(), ends), (freed, {"held": -1})], levels)
+    by_key = _active_steps(moves, levels, chunk_rows)
     names = ["running_users", "running_functions", "held_users", "held_functions"]
-    moves = _key_moves(starts, {"running": ("ts_ms", end_ms()), "held": ("ts_ms", freed)})
     if optimised:
         names.append("running_optimised_functions")
-        flagged = starts.where("optimised")
-        moves = moves.unionByName(_key_moves(flagged, {"running_optimised": ("ts_ms", end_ms())})
-                                  .where("gauge = 'running_optimised_functions'"))
-    by_key = _by_gauge(level_steps(moves, ["gauge", "key"], is_active, chunk_rows), names)
+        by_key = by_key.drop("running_optimised_users")
 
     mb = F.col("memory_mb").cast("bigint")
     flags = {"cold": F.col("cold").cast("int")}
@@ -169,18 +181,13 @@ def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = S
 
 
 def _vm_moves(tr: DataFrame, rule: str) -> DataFrame:
-    """Moves of the level each VM count is taken from, per isolation group."""
-    moves = tr.select("owner", "function", "ts_ms", "seq", F.explode(F.array(
-        F.struct(F.col("ts_ms").alias("time"), F.lit(1).alias("move")),
-        F.struct(end_ms().alias("time"), F.lit(-1).alias("move")))).alias("_m"))
-    moves = moves.select("owner", "function", "_m.*")
-    first = tr.groupBy("owner", "function") if rule == "owner" else tr.groupBy("function")
-    first = first.agg(F.min_by("memory_mb", arrival_order()).alias("_mb"))
+    """Moves of the level each VM count is taken from, each function at its first-seen size."""
     keys = ["owner", "function"] if rule == "owner" else ["function"]
-    # The first-seen memory joins the counts per instant, not the single rows.
-    at = moves.groupBy(*keys, "time").agg(F.sum("move").alias("move")).where("move != 0")
-    at = at.join(first, keys)
-    return at.withColumn("move", F.col("move") * F.col("_mb").cast("bigint")).drop("_mb")
+    first = tr.groupBy(*keys).agg(F.min_by("memory_mb", arrival_order()).cast("bigint").alias("_mb"))
+    sized = tr.select("owner", "function", "ts_ms", "duration_ms").join(first, keys)
+    return sized.select(rule, F.explode(F.array(
+        F.struct(F.col("ts_ms").alias("time"), F.col("_mb").alias("vms")),
+        F.struct(end_ms().alias("time"), (-F.col("_mb")).alias("vms")))).alias("_m")).select(rule, "_m.*")
 
 
 def vm_footprint(tr: DataFrame, rule: str = "owner", vm_mb: int = VM_MB,
@@ -194,9 +201,8 @@ def vm_footprint(tr: DataFrame, rule: str = "owner", vm_mb: int = VM_MB,
         plain = running_gauges(tr, grid_ms, chunk_rows)
         return plain.select("ts_ms", F.floor(F.col("running_mb") / vm_mb).alias("vms"),
                             F.col("running_mb").alias("footprint_mb"))
-    moves = _vm_moves(tr, rule)
-    steps = level_steps(moves, [rule], lambda mb: ceil_div(mb, vm_mb), chunk_rows)
-    marked = steps.select("time", F.col("step").alias("vms")).unionByName(
+    steps = level_steps(_vm_moves(tr, rule), [rule], ["vms"], lambda mb: ceil_div(mb, vm_mb), chunk_rows)
+    marked = steps.select("time", "vms").unionByName(
         _arrival_marks(tr), allowMissingColumns=True).fillna(0)
     at = _at_samples(marked, ["vms"], [], grid_ms, chunk_rows)
     return at.select("ts_ms", "vms", (F.col("vms") * vm_mb).alias("footprint_mb"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 # A history longer than this many rows is cut into chunks of about this size.
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 100_000
 # No more keys than this are ever cut, so their widths are safe to broadcast.
 MOST_CUT_KEYS = 100_000
 WIDTH = "_width"

@@ -114,17 +114,17 @@ def _pool(tr: DataFrame, keepalive_ms: int, chunk_rows: int) -> DataFrame:
 
     One row per arrival (``kind`` 0) and per end (``kind`` 1).
     """
-    payload = [c for c in tr.columns if c not in ("function", "owner", "ts_ms", "seq")]
+    payload = [c for c in tr.columns if c not in ("function", "ts_ms", "seq")]
     # Kinds 0, 1, 2: arrival, end, end of the keep-alive.
     moments = F.array("ts_ms", end_ms(), end_ms() + F.lit(keepalive_ms))
     # Only arrivals carry the payload through the shuffle.
     events = (with_widths(tr, ["function"], chunk_rows=chunk_rows)
               .select("*", F.posexplode(moments).alias("kind", "time"))
-              .select("function", "owner", "ts_ms", "seq", "kind", "time", WIDTH,
+              .select("function", "ts_ms", "seq", "kind", "time", WIDTH,
                       *[F.when(F.col("kind") == 0, F.col(c)).alias(c) for c in payload]))
     counted = running(
         events, keys=["function"], chunk=chunk_of("time"),
-        order=["time", "ts_ms", "owner", "seq", "kind"], keep_chunk="chunk",
+        order=["time", "ts_ms", "seq", "kind"], keep_chunk="chunk",
         sums={"arrived": (F.col("kind") == 0).cast("bigint"),
               "idle": (F.col("kind") == 1).cast("bigint"),
               "expired": (F.col("kind") == 2).cast("bigint")}).where("kind < 2")
@@ -137,7 +137,7 @@ def _pool(tr: DataFrame, keepalive_ms: int, chunk_rows: int) -> DataFrame:
                .withColumn("lo", F.when(arrival, low).otherwise(F.lit(-WIDEST)))
                .withColumn("hi", F.when(arrival, high).otherwise(F.lit(WIDEST)))
                .drop("expired")
-               .sortWithinPartitions("function", "chunk", "time", "ts_ms", "owner", "seq", "kind"))
+               .sortWithinPartitions("function", "chunk", "time", "ts_ms", "seq", "kind"))
     return materialise(_scanned(bounded, ["function", "chunk"]).drop("time", WIDTH))
 
 
@@ -232,15 +232,15 @@ def _chains(linked: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
     rows = (with_widths(linked, ["function"], chunk_rows=chunk_rows)
             .withColumn("chunk", chunk_of("ts_ms")).drop(WIDTH)
             .withColumn("_kept", F.col("reused_by").isNotNull())
-            .repartition(*keys).sortWithinPartitions(*keys, "ts_ms", "owner", "seq"))
+            .repartition(*keys).sortWithinPartitions(*keys, *FUNCTION_ORDER))
     step, schema = _head_step(keys, "previous", "_kept", _ddl(rows))
     rows = materialise(rows.mapInArrow(step, schema).drop("_kept"))
     enter = rows.where(F.col("previous").isNotNull() & (F.col("head") == F.col("seq")))
     above = rows.select("function", F.col("seq").alias("previous"), F.col("head").alias("above"))
-    enter = (enter.select("function", "ts_ms", "owner", "seq", "previous")
+    enter = (enter.select("function", "ts_ms", "seq", "previous")
              .join(above, ["function", "previous"])
-             .select("function", "ts_ms", "owner", "seq", "above")
-             .repartition("function").sortWithinPartitions("function", "ts_ms", "owner", "seq"))
+             .select("function", "ts_ms", "seq", "above")
+             .repartition("function").sortWithinPartitions("function", *FUNCTION_ORDER))
     step, schema = _head_step(["function"], "above", None, _ddl(enter))
     entered = enter.mapInArrow(step, schema).select(
         "function", F.col("seq").alias("head"), F.col("head").alias("container_id"))
@@ -309,7 +309,7 @@ def classify_optimised(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS, n: int =
     warm rows take both from the cold start of their container.
     """
     rows, heads = _chains(_linked(tr, keepalive_ms, chunk_rows, True), chunk_rows)
-    cold = rows.where("cold").select("function", "owner", "ts_ms", "seq", "memory_mb")
+    cold = rows.where("cold").select("function", "ts_ms", "seq", "memory_mb")
     flagged = hot_cold_starts(cold, n, period_ms, zero_fill, chunk_rows).select(
         "function", F.col("seq").alias("container_id"), F.col("hot").alias("optimised"),
         F.when(F.col("hot"), optimised_footprint(F.col("memory_mb")))

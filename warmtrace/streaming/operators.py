@@ -55,7 +55,7 @@ def stream_active_sessions(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS,
     return active_sessions(with_event_time(tr, delay), keepalive_ms)
 
 
-START_FIELDS = ["ts_ms", "owner", "seq", "memory_mb", "duration_ms"]
+START_FIELDS = ["ts_ms", "seq", "owner", "memory_mb", "duration_ms"]
 
 
 def stream_classify_starts(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS,
@@ -82,21 +82,21 @@ def stream_classify_starts(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS,
             ready += 1
         out = []
         heapq.heapify(pool)
-        for ts, owner, seq, memory, duration in held[:ready]:
+        for ts, seq, owner, memory, duration in held[:ready]:
             while pool and ts >= pool[0][0] + keepalive:
                 heapq.heappop(pool)
             if pool and pool[0][0] <= ts:
-                _, _, _, previous, container = heapq.heappop(pool)
+                _, _, previous, container = heapq.heappop(pool)
             else:
                 previous, container = None, seq
-            heapq.heappush(pool, (ts + duration, ts, owner, seq, container))
+            heapq.heappush(pool, (ts + duration, ts, seq, container))
             out.append((key[0], ts, owner, seq, memory, duration, previous is None, previous, container))
         held = held[ready:]
         while pool and watermark >= pool[0][0] + keepalive:
             heapq.heappop(pool)
         if held or pool:
             state.update(tuple([list(c) for c in zip(*held)] or [[]] * 5)
-                         + tuple([list(c) for c in zip(*pool)] or [[]] * 5))
+                         + tuple([list(c) for c in zip(*pool)] or [[]] * 4))
             wake = min([held[0][0]] if held else [pool[0][0] + keepalive])
             state.setTimeoutTimestamp(max(wake, watermark + 1))
         elif state.exists:
@@ -111,9 +111,9 @@ def stream_classify_starts(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS,
 
     result = ("function string, ts_ms bigint, owner string, seq bigint, memory_mb int, "
               "duration_ms bigint, cold boolean, previous bigint, container_id bigint")
-    saved = ("held_ts array<bigint>, held_owner array<string>, held_seq array<bigint>, "
+    saved = ("held_ts array<bigint>, held_seq array<bigint>, held_owner array<string>, "
              "held_mb array<int>, held_ms array<bigint>, pool_end array<bigint>, "
-             "pool_ts array<bigint>, pool_owner array<string>, pool_seq array<bigint>, "
+             "pool_ts array<bigint>, pool_seq array<bigint>, "
              "pool_container array<bigint>")
     timed = with_event_time(tr, delay)
     return (timed.select("event_time", "function", *fields).groupBy("function")
