@@ -513,7 +513,7 @@ def _nearest_sql():
 
 
 LANGUAGES = f""", shuffled AS (
-  SELECT function, count(*) AS invocations, arg_min(duration_ms, (ts_ms, owner, seq)) AS duration_ms,
+  SELECT function, count(*) AS invocations, arg_min(duration_ms, (ts_ms, seq)) AS duration_ms,
          md5(concat_ws('|', function, '7')) AS key FROM trace GROUP BY function),
 totals AS (SELECT *, sum(invocations) OVER (ORDER BY key, function) AS upto,
                   sum(invocations) OVER () AS total FROM shuffled),
@@ -843,7 +843,7 @@ def _(spark, sf_dir):
 
 
 @check("first_duration", BASE + """
-SELECT function, arg_min(duration_ms, (ts_ms, owner, seq)) AS duration_ms FROM trace GROUP BY function""")
+SELECT function, arg_min(duration_ms, (ts_ms, seq)) AS duration_ms FROM trace GROUP BY function""")
 def _(spark, sf_dir):
     return agg.first_duration(trace(spark, sf_dir))
 
@@ -1056,7 +1056,7 @@ def _(spark, sf_dir):
 def _starts_sql(source="trace", keepalive=KEEPALIVE):
     """The pool of each function, one row at a time."""
     return f""", ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY function ORDER BY ts_ms, owner, seq) AS rn FROM {source}),
+  SELECT *, row_number() OVER (PARTITION BY function ORDER BY ts_ms, seq) AS rn FROM {source}),
 sim AS (
   SELECT function, rn, seq, CAST(NULL AS BIGINT) AS previous, seq AS root,
          [{{'e': ts_ms + duration_ms, 't': ts_ms, 's': seq, 'root': seq}}] AS pool FROM ordered WHERE rn = 1
@@ -1088,18 +1088,18 @@ def _(spark, sf_dir):
 
 
 @check("active_segments", BASE + f""", gaps AS (
-  SELECT *, max(ts_ms + duration_ms + {KEEPALIVE}) OVER (PARTITION BY function ORDER BY ts_ms, owner, seq
+  SELECT *, max(ts_ms + duration_ms + {KEEPALIVE}) OVER (PARTITION BY function ORDER BY ts_ms, seq
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM trace)
 SELECT function, seq, CAST(sum(CASE WHEN until IS NULL OR ts_ms >= until THEN 1 ELSE 0 END)
-       OVER (PARTITION BY function ORDER BY ts_ms, owner, seq) AS BIGINT) AS segment FROM gaps""")
+       OVER (PARTITION BY function ORDER BY ts_ms, seq) AS BIGINT) AS segment FROM gaps""")
 def _(spark, sf_dir):
     return st.active_segments(trace(spark, sf_dir), KEEPALIVE).select("function", "seq", "segment")
 
 
 HOT = f""", cold AS (SELECT * FROM starts WHERE cold),
 hits AS (SELECT *, lag(ts_ms, {HOT_N}) OVER w >= ts_ms - {HOT_PERIOD} AS hit
-         FROM cold WINDOW w AS (PARTITION BY function ORDER BY ts_ms, owner, seq)),
-flags AS (SELECT *, coalesce(bool_or(hit) OVER (PARTITION BY function ORDER BY ts_ms, owner, seq), FALSE) AS hot
+         FROM cold WINDOW w AS (PARTITION BY function ORDER BY ts_ms, seq)),
+flags AS (SELECT *, coalesce(bool_or(hit) OVER (PARTITION BY function ORDER BY ts_ms, seq), FALSE) AS hot
           FROM hits)"""
 
 
@@ -1112,8 +1112,8 @@ def _(spark, sf_dir):
 
 @check("hot_functions_zero_fill", BASE + f""", hits AS (
   SELECT *, row_number() OVER w > 1 AND coalesce(lag(ts_ms, 3) OVER w, 0) >= ts_ms - 86400000 AS hit
-  FROM trace WINDOW w AS (PARTITION BY function ORDER BY ts_ms, owner, seq)),
-flags AS (SELECT *, bool_or(hit) OVER (PARTITION BY function ORDER BY ts_ms, owner, seq) AS hot FROM hits)
+  FROM trace WINDOW w AS (PARTITION BY function ORDER BY ts_ms, seq)),
+flags AS (SELECT *, bool_or(hit) OVER (PARTITION BY function ORDER BY ts_ms, seq) AS hot FROM hits)
 SELECT function, min(ts_ms) AS hot_since, count(*) AS hot_cold_starts FROM flags WHERE hot GROUP BY function""")
 def _(spark, sf_dir):
     return st.hot_functions(trace(spark, sf_dir), 3, 86_400_000, zero_fill=True)
@@ -1205,7 +1205,7 @@ def _(spark, sf_dir):
 
 def _vm_sql(inner):
     return SAMPLES + f""", sized AS (
-  SELECT *, first_value(memory_mb) OVER (PARTITION BY owner, function ORDER BY ts_ms, owner, seq) AS mb FROM trace),
+  SELECT *, first_value(memory_mb) OVER (PARTITION BY owner, function ORDER BY ts_ms, seq) AS mb FROM trace),
 live AS (SELECT s, owner, function, mb, seq FROM samples JOIN sized ON ts_ms <= s AND s < ts_ms + duration_ms),
 grouped AS ({inner}),
 vm AS (SELECT s AS ts_ms, CAST(coalesce(sum(ceil(load / 1024)), 0) AS BIGINT) AS vms
@@ -1293,10 +1293,10 @@ def _(spark, sf_dir):
 
 
 SESSIONS = f""", gaps AS (
-  SELECT *, max(ts_ms + duration_ms + {KEEPALIVE}) OVER (PARTITION BY function ORDER BY ts_ms, owner, seq
+  SELECT *, max(ts_ms + duration_ms + {KEEPALIVE}) OVER (PARTITION BY function ORDER BY ts_ms, seq
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM timed),
 numbered AS (SELECT *, sum(CASE WHEN until IS NULL OR ts_ms > until THEN 1 ELSE 0 END)
-             OVER (PARTITION BY function ORDER BY ts_ms, owner, seq) AS n FROM gaps),
+             OVER (PARTITION BY function ORDER BY ts_ms, seq) AS n FROM gaps),
 sessions AS (SELECT function, min(ts_ms) AS first_ms, max(ts_ms + duration_ms + {KEEPALIVE}) AS until_ms,
              count(*) AS invocations FROM numbered GROUP BY function, n)"""
 
