@@ -99,10 +99,11 @@ def read_app_memory(spark: SparkSession, path) -> DataFrame:
 
 def parse_minute_matrix(lines: DataFrame, day: Column, first: int = 0, last: int = 1439) -> DataFrame:
     """Long matrix cells (time_s, pos, value) of the given day and minutes; blanks are missing."""
-    rows = lines.select("*", _cells().alias("_c")).withColumn("time_s", _int(F.get("_c", F.lit(1))))
-    second = F.col("time_s") - offset_days(day)
-    minute = F.floor(second / 60)
-    inside = rows.where((second >= 0) & (second < 86_400) & minute.between(first, last))
+    # A minute within the range lies within the day; only rows inside it are cut into cells.
+    time_s = _int(F.split_part("value", F.lit(","), F.lit(2)))
+    minute = F.floor((time_s - offset_days(day)) / 60)
+    inside = (lines.where(minute.between(first, last))
+              .select(time_s.alias("time_s"), _cells().alias("_c")))
     cells = F.slice("_c", F.lit(3), F.size("_c") - 2)
     return (inside.select("time_s", F.posexplode(cells).alias("pos", "_v"))
             .select(F.col("time_s").cast("bigint").alias("time_s"), "pos",
