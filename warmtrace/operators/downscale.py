@@ -120,7 +120,7 @@ def _arrival_load(rows: DataFrame, weight: Column, by: list[str], name: str) ->
     moves = (rows.withColumn("_w", weight)
              .select("*", F.posexplode(F.array("ts_ms", end_ms())).alias("_kind", "_time"))
              .withColumn("_move", F.when(F.col("_kind") == 0, F.col("_w")).otherwise(-F.col("_w"))))
-    loaded = running(moves, keys=by, chunk=chunk_of("_time"),
+    loaded = running(moves, keys=by, chunk=chunk_of(moves, "_time"),
                      order=["_time", *ORDER, "_kind"], sums={name: F.col("_move")})
     return loaded.where("_kind = 0").select(*columns, name)
 
@@ -128,14 +128,14 @@ def _arrival_load(rows: DataFrame, weight: Column, by: list[str], name: str) ->
 def _admit(tr: DataFrame, weight: Column, by: list[str], chunk_rows: int, max_piece_rows: int) -> DataFrame:
     """Rows admitted under the cap in column ``_limit``, one cap per ``by``."""
     columns = [c for c in tr.columns if c != "_limit"]
-    rows = with_widths(tr, by, chunk_rows=chunk_rows).withColumn("_weight", weight.cast("bigint"))
+    rows = with_widths(tr, by, chunk_rows=chunk_rows, most=tr.count()).withColumn("_weight", weight.cast("bigint"))
     load = _arrival_load(rows, F.col("_weight"), by, "_load")
     load = materialise(load.withColumn("_contested", F.col("_load") > F.col("_limit")).drop("_load"))
     sure = load.where(~F.col("_contested"))
     known = _arrival_load(load, F.when(F.col("_contested"), 0).otherwise(F.col("_weight")),
                           by, "_sure_load")
     contested = materialise(known.where("_contested").withColumn("_end", end_ms()))
-    chunk = chunk_of("ts_ms")
+    chunk = chunk_of(contested, "ts_ms")
     after = running(contested, keys=by, chunk=chunk, order=ORDER,
                     maxes={"_until": F.col("_end")}, exclusive=True)
     free = F.col("_until").isNull() | (F.col("ts_ms") >= F.col("_until"))

@@ -28,15 +28,16 @@ OPTIMISED_GAUGES = ["optimised_cold", "running_optimised_functions"]
 
 
 def level_steps(moves: DataFrame, keys: list[str], names: list[str],
-                value: Callable[[Column], Column], chunk_rows: int) -> DataFrame:
+                value: Callable[[Column], Column], chunk_rows: int,
+                most: int | None = None) -> DataFrame:
     """Steps of ``value(level)`` where each key's levels are the running sums of its moves.
 
     ``moves`` has ``keys``, ``time`` and one column of moves per name; the result
     has the steps in those columns.  Moves at one instant may come in any order:
     their steps add up to the same.
     """
-    cut = with_widths(moves, keys, "time", chunk_rows)
-    levels = running(cut, keys=keys, chunk=chunk_of("time"), order=["time"],
+    cut = with_widths(moves, keys, "time", chunk_rows, most=most)
+    levels = running(cut, keys=keys, chunk=chunk_of(cut, "time"), order=["time"],
                      sums={f"_{n}": F.col(n) for n in names})
     steps = levels.select(*keys, "time", *[
         (value(F.col(f"_{n}")) - value(F.col(f"_{n}") - F.col(n))).alias(n) for n in names])
@@ -61,8 +62,8 @@ def _at_samples(steps: DataFrame, sums: list[str], counts: list[str], grid_ms: i
     # At most one row per millisecond is left, and it is read twice.
     at = materialise(at)
     cut = with_widths(at.withColumn("_bucket", time_chunk("time", grid_ms)), [], "time",
-                      chunk_rows, multiple_of=grid_ms)
-    levels = running(cut, keys=[], chunk=chunk_of("time"), order=["time"],
+                      chunk_rows, multiple_of=grid_ms, most=at.count())
+    levels = running(cut, keys=[], chunk=chunk_of(cut, "time"), order=["time"],
                      sums={f"_{c}": F.col(c) for c in sums}, keep_chunk="_part")
     bucket = Window.partitionBy("_part", "_bucket")
     last = F.max(F.when(F.col("arrivals") > 0, F.col("time"))).over(bucket)
@@ -81,8 +82,8 @@ def sample_counts(starts: DataFrame, grid_ms: int = SAMPLE_MS) -> DataFrame:
 
 def per_sample_delta(samples: DataFrame, total: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Difference of a cumulative column from one sample to the next (from 0 at the first)."""
-    before = running(with_widths(samples, [], chunk_rows=chunk_rows), keys=[], chunk=chunk_of("ts_ms"),
-                     order=["ts_ms"], maxes={"_before": F.col(total)}, exclusive=True)
+    cut = with_widths(samples, [], chunk_rows=chunk_rows)
+    before = running(cut, keys=[], chunk=chunk_of(cut, "ts_ms"), order=["ts_ms"], maxes={"_before": F.col(total)}, exclusive=True)
     return (before.withColumn(name, F.col(total) - F.coalesce("_before", F.lit(0)))
             .drop("_before", WIDTH))
 
@@ -126,9 +127,10 @@ def _as_move(by) -> Column:
     return by.cast("int") if isinstance(by, Column) else F.lit(by)
 
 
-def _active_steps(moves: DataFrame, names: list[str], chunk_rows: int) -> DataFrame:
+def _active_steps(moves: DataFrame, names: list[str], chunk_rows: int,
+                  most: int | None = None) -> DataFrame:
     """Steps of the number of active users and functions, one column each per name."""
-    steps = level_steps(moves, ["kind", "key"], names, is_active, chunk_rows)
+    steps = level_steps(moves, ["kind", "key"], names, is_active, chunk_rows, most)
     return steps.select("time", *[F.when(F.col("kind") == kind, F.col(n)).otherwise(0).alias(f"{n}_{kind}")
                                   for n in names for kind in ("users", "functions")])
 
@@ -147,7 +149,8 @@ def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = S
         begins["running_optimised"] = F.col("optimised").cast("int")
         ends["running_optimised"] = -F.col("optimised").cast("int")
     moves = _key_moves(starts, [("ts_ms", begins), (end_ms(), ends), (freed, {"held": -1})], levels)
-    by_key = _active_steps(moves, levels, chunk_rows)
+    # A key has at most three moves per row.
+    by_key = _active_steps(moves, levels, chunk_rows, 3 * starts.count())
     names = ["running_users", "running_functions", "held_users", "held_functions"]
     if optimised:
         names.append("running_optimised_functions")
@@ -229,7 +232,7 @@ def worker_summary(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         F.struct(F.col("ts_ms").alias("time"), mb.alias("move")),
         F.struct(end_ms().alias("time"), (-mb).alias("move")))).alias("_m")).select("worker", "_m.*")
     at = moves.groupBy("worker", "time").agg(F.sum("move").alias("move"))
-    peak = (running(with_widths(at, ["worker"], "time", chunk_rows), keys=["worker"],
-                    chunk=chunk_of("time"), order=["time"], sums={"level": F.col("move")})
+    cut = with_widths(at, ["worker"], "time", chunk_rows)
+    peak = (running(cut, keys=["worker"], chunk=chunk_of(cut, "time"), order=["time"], sums={"level": F.col("move")})
             .groupBy("worker").agg(F.max("level").alias("peak_mb")))
     return seen.join(owners, "worker").join(peak, "worker")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 # A history longer than this many rows is cut into chunks of about this size.
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 1_000_000
 # No more keys than this are ever cut, so their widths are safe to broadcast.
 MOST_CUT_KEYS = 100_000
 WIDTH = "_width"
@@ -29,13 +29,17 @@ def time_chunk(time: str, width_ms: int) -> Column:
 
 
 def with_widths(df: DataFrame, keys: Sequence[str], time: str = "ts_ms",
-                chunk_rows: int = CHUNK_ROWS, multiple_of: int = 1) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS, multiple_of: int = 1,
+                most: int | None = None) -> DataFrame:
     """Add the chunk width that suits the history of each key, null where one chunk will do.
 
     Only keys with more than ``chunk_rows`` rows, and with more than a
     ``MOST_CUT_KEYS``-th of all rows, are cut: at most ``MOST_CUT_KEYS`` keys
-    have a width, whatever the data.
+    have a width, whatever the data.  Where ``most``, a counted bound on the rows
+    of any key, shows that none is cut, no width is added and nothing is looked at.
     """
+    if most is not None and most <= chunk_rows:
+        return df
     keys = list(keys)
     stats = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(time).alias("_lo"),
                                   F.max(time).alias("_hi"))
@@ -51,23 +55,32 @@ def with_widths(df: DataFrame, keys: Sequence[str], time: str = "ts_ms",
     return df.withColumn(WIDTH, cut.scalar())
 
 
-def chunk_of(time: str) -> Column:
-    """Chunk number of a row that has a width."""
+def chunk_of(df: DataFrame, time: str) -> Column | None:
+    """Chunk number of the rows, None where ``with_widths`` found nothing to cut."""
+    if WIDTH not in df.columns:
+        return None
     return F.when(F.col(WIDTH).isNull(), F.lit(0).cast("bigint")).otherwise(
         F.call_function("div", F.col(time), F.col(WIDTH)))
 
 
-def running(df: DataFrame, *, keys: Sequence[str], chunk: Column, order: Sequence[str],
+def running(df: DataFrame, *, keys: Sequence[str], chunk: Column | None, order: Sequence[str],
             sums: Mapping[str, Column] | None = None,
             maxes: Mapping[str, Column] | None = None,
             exclusive: bool = False, keep_chunk: str | None = None) -> DataFrame:
     """Add running sums and maxima in ``order`` within ``keys``.
 
-    ``chunk`` must not decrease along ``order``.  With ``exclusive`` the row
-    itself is left out.  A maximum over no rows is null, a sum is 0.
+    ``chunk`` must not decrease along ``order``; None means that every history
+    fits one task.  With ``exclusive`` the row itself is left out.  A maximum
+    over no rows is null, a sum is 0.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     keys = list(keys)
+    last = -1 if exclusive else Window.currentRow
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        out = df.select("*", *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(n) for n, c in sums.items()],
+                        *[F.max(c).over(whole).alias(n) for n, c in maxes.items()])
+        return out.withColumn(keep_chunk, F.lit(0).cast("bigint")) if keep_chunk else out
     marked = df.withColumn("_chunk", chunk)
     totals = marked.groupBy(*keys, "_chunk").agg(
         *[F.sum(c).alias(n) for n, c in sums.items()],
@@ -82,7 +95,7 @@ def running(df: DataFrame, *, keys: Sequence[str], chunk: Column, order: Sequenc
     rows = marked.select("*", *[c.alias(n) for n, c in {**sums, **maxes}.items()],
                          F.lit(1).alias("_row"))
     upto = (Window.partitionBy(*keys, "_chunk").orderBy("_row", *order)
-            .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
+            .rowsBetween(Window.unboundedPreceding, last))
     plain = [c for c in rows.columns if c not in sums and c not in maxes]
     out = rows.unionByName(carry, allowMissingColumns=True).select(
         *plain,

@@ -36,11 +36,11 @@ def active_segments(tr: DataFrame, keepalive_ms: int = KEEPALIVE_MS,
     its keep-alive.
     """
     cut = with_widths(tr, ["function"], chunk_rows=chunk_rows)
-    past = running(cut, keys=["function"], chunk=chunk_of("ts_ms"), order=FUNCTION_ORDER,
+    past = running(cut, keys=["function"], chunk=chunk_of(cut, "ts_ms"), order=FUNCTION_ORDER,
                    maxes={"_until": end_ms() + F.lit(keepalive_ms)}, exclusive=True)
     begins = F.col("_until").isNull() | (F.col("ts_ms") >= F.col("_until"))
     numbered = running(past.withColumn("_begins", begins.cast("int")).drop("_until"),
-                       keys=["function"], chunk=chunk_of("ts_ms"), order=FUNCTION_ORDER,
+                       keys=["function"], chunk=chunk_of(cut, "ts_ms"), order=FUNCTION_ORDER,
                        sums={"segment": F.col("_begins")})
     return numbered.select(*tr.columns, "segment")
 
@@ -118,12 +118,13 @@ def _pool(tr: DataFrame, keepalive_ms: int, chunk_rows: int) -> DataFrame:
     # Kinds 0, 1, 2: arrival, end, end of the keep-alive.
     moments = F.array("ts_ms", end_ms(), end_ms() + F.lit(keepalive_ms))
     # Only arrivals carry the payload through the shuffle.
-    events = (with_widths(tr, ["function"], chunk_rows=chunk_rows)
-              .select("*", F.posexplode(moments).alias("kind", "time"))
-              .select("function", "ts_ms", "seq", "kind", "time", WIDTH,
+    cut = with_widths(tr, ["function"], chunk_rows=chunk_rows, most=tr.count())
+    events = (cut.select("*", F.posexplode(moments).alias("kind", "time"))
+              .select("function", "ts_ms", "seq", "kind", "time",
+                      *[c for c in cut.columns if c == WIDTH],
                       *[F.when(F.col("kind") == 0, F.col(c)).alias(c) for c in payload]))
     counted = running(
-        events, keys=["function"], chunk=chunk_of("time"),
+        events, keys=["function"], chunk=chunk_of(events, "time"),
         order=["time", "ts_ms", "seq", "kind"], keep_chunk="chunk",
         sums={"arrived": (F.col("kind") == 0).cast("bigint"),
               "idle": (F.col("kind") == 1).cast("bigint"),
@@ -229,8 +230,8 @@ def _chains(linked: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
     """
     keys = ["function", "chunk"]
     linked = materialise(linked)
-    rows = (with_widths(linked, ["function"], chunk_rows=chunk_rows)
-            .withColumn("chunk", chunk_of("ts_ms")).drop(WIDTH)
+    cut = with_widths(linked, ["function"], chunk_rows=chunk_rows)
+    rows = (cut.withColumn("chunk", chunk_of(cut, "ts_ms")).drop(WIDTH)
             .withColumn("_kept", F.col("reused_by").isNotNull())
             .repartition(*keys).sortWithinPartitions(*keys, *FUNCTION_ORDER))
     step, schema = _head_step(keys, "previous", "_kept", _ddl(rows))
@@ -275,7 +276,7 @@ def hot_cold_starts(cold: DataFrame, n: int = HOT_COLD_STARTS, period_ms: int =
     """
     wide = with_widths(cold, ["function"], chunk_rows=chunk_rows).withColumn(
         WIDTH, F.when(F.col(WIDTH).isNotNull(), F.greatest(F.col(WIDTH), F.lit(period_ms))))
-    own = chunk_of("ts_ms")
+    own = chunk_of(wide, "ts_ms")
     reaches_next = F.coalesce((own + 1) * F.col(WIDTH) - F.col("ts_ms") <= F.lit(period_ms), F.lit(False))
     seen = wide.withColumn("_w", F.explode(F.when(reaches_next, F.array(own, own + 1))
                                            .otherwise(F.array(own))))
@@ -287,7 +288,7 @@ def hot_cold_starts(cold: DataFrame, n: int = HOT_COLD_STARTS, period_ms: int =
     else:
         hit = F.coalesce(nth >= since, F.lit(False))
     hits = (seen.withColumn("_hit", hit.cast("int")).where(F.col("_w") == own).drop("_w"))
-    return (running(hits, keys=["function"], chunk=chunk_of("ts_ms"), order=FUNCTION_ORDER,
+    return (running(hits, keys=["function"], chunk=chunk_of(hits, "ts_ms"), order=FUNCTION_ORDER,
                     maxes={"_hot": F.col("_hit")})
             .withColumn("hot", F.col("_hot") == 1).drop("_hot", "_hit", WIDTH))
 
