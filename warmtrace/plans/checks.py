@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import (clean_numbers, convert_units, hash32, median_memory,
+from ..functions import (clean_numbers, convert_units, median_memory,
                          optimised_footprint, round_java, round_py)
 from ..model import TRACE, end_ms, with_end
 from ..operators import aggregate as agg

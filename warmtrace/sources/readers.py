@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import convert_units, median_memory, round_java
-from ..model import ENRICHED_HEADER, EVENT_ROWS_HEADER, TRACE_HEADER
+from ..model import EVENT_ROWS_HEADER, TRACE_HEADER
 from ..operators.expand import offset_days, offset_weeks
 from ..operators.running import running
 
@@ -24,6 +24,7 @@ EVENT_ARRAYS_SCHEMA = ("NamespaceHash string, AppHash string, InvocationTimes ar
                        "AppExecTimes array<double>")
 APP_CONFIG_SCHEMA = ("NamespaceHash string, AppHash string, "
                      "AppContainerRequestMemory array<double>")
+# Fixed value: the fields of a catalogue entry.
 CATALOGUE_ENTRY = ("struct<language:string,benchmarkName:string,code:string,entryPoint:string,"
                    "payload:string,memory:int,duration:int,hydraSandbox:string,svmId:string>")
 
