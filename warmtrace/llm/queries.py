@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmtrace.llm import packing
+from warmtrace.llm import packing, simhash
 from warmtrace.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,5 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, words=3, seed=42)
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash}
 ORACLES: dict[str, str] = {}
