@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmtrace.llm import packing, simhash
+from warmtrace.llm import packing, secret_scan, simhash
 from warmtrace.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,5 +22,43 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash}
-ORACLES: dict[str, str] = {}
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind_number"] < len(secret_scan.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, rule.kind))).cast("bigint").alias(f"n_{rule.kind}")
+        for rule in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def _secrets_sql() -> str:
+    """Lists of every rule's matches with what is skipped before them, and sums of their lengths."""
+    steps, kinds = [], []
+    for n, rule in enumerate(secret_scan.RULES):
+        pattern = f"(?s).*?({rule.pattern})".replace("'", "''")
+        steps.append(f"""SELECT doc_id, row_id, {n} AS kind_number, '{rule.kind}' AS kind, UNNEST(range(1, len(skipped) + 1)) AS i,
+            skipped, found, tested FROM (SELECT doc_id, row_id, regexp_extract_all(text, '{pattern}', 0) AS skipped,
+            regexp_extract_all(text, '{pattern}', 1) AS found, regexp_extract_all(text, '{pattern}', {1 + rule.group}) AS tested
+            FROM texts)""")
+        kinds.append(f"WHEN {n} THEN {rule.least}")
+    return f"""
+        WITH texts AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents),
+        matches AS ({' UNION ALL '.join(steps)}),
+        spans AS (SELECT row_id, kind_number, kind, ends - length(found[i]) AS start, ends FROM
+            (SELECT *, list_sum(list_transform(skipped[1:i], lambda x: length(x))) AS ends FROM matches)
+            WHERE length(tested[i]) >= CASE kind_number {' '.join(kinds)} END),
+        listed AS (SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+            count(*) FILTER (kind = 'hex') AS n_hex,
+            string_agg(kind || ':' || start || ':' || ends, ',' ORDER BY start, kind_number) AS spans,
+            string_agg(kind || ':' || start || ':' || ends, ',' ORDER BY start, kind_number)
+                FILTER (kind_number < {len(secret_scan.BASE)}) AS base
+            FROM (SELECT row_id, kind_number, kind, start::BIGINT AS start, ends::BIGINT AS ends FROM spans) GROUP BY row_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM texts LEFT JOIN listed USING (row_id)"""
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op10_secrets": op10_secrets}
+ORACLES: dict[str, str] = {"op10_secrets": _secrets_sql()}
