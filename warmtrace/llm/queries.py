@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmtrace.llm import packing, secret_scan, simhash
-from warmtrace.llm.common import table
+from warmtrace.llm import language_id, packing, secret_scan, simhash
+from warmtrace.llm.common import remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,6 +23,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    samples = language_id.learn(docs.where(~held_out).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), samples)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind_number"] < len(secret_scan.BASE))
@@ -60,5 +68,6 @@ def _secrets_sql() -> str:
         FROM texts LEFT JOIN listed USING (row_id)"""
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op10_secrets": op10_secrets}
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op4_language": op4_language,
+           "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op10_secrets": _secrets_sql()}
