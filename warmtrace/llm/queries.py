@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmtrace.llm import language_id, packing, secret_scan, simhash
+from warmtrace.llm import language_id, packing, secret_scan, simhash, suffix_tree_lm
 from warmtrace.llm.common import remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 10) == 0
+    model, counts = suffix_tree_lm.learn(docs.where(~held_out).select("text"))
+    found = suffix_tree_lm.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, counts)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind_number"] < len(secret_scan.BASE))
@@ -69,5 +77,5 @@ def _secrets_sql() -> str:
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op4_language": op4_language,
-           "op10_secrets": op10_secrets}
+           "op8_lm": op8_lm, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op10_secrets": _secrets_sql()}
