@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmtrace.llm import language_id, packing, secret_scan, simhash, suffix_tree_lm
+from warmtrace.llm import decontaminate, language_id, packing, secret_scan, simhash, suffix_tree_lm, token_output
 from warmtrace.llm.common import remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "matched", "first_word", "words", F.sha2("passage", 256).alias("passage_sha256"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 3) == 1
@@ -31,6 +36,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_output.matrices(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path(TOKENIZER))
+    return rows.select("sequence_id", "doc_ids", "starts", "cu_seqlens", "tokens", F.crc32("input_ids").alias("ids_crc32"),
+                       F.crc32("position_ids").alias("positions_crc32"))
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 10) == 0
@@ -76,6 +87,7 @@ def _secrets_sql() -> str:
         FROM texts LEFT JOIN listed USING (row_id)"""
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op4_language": op4_language,
+QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash,
+           "op3_decontamination": op3_decontamination, "op4_language": op4_language, "op5_token_output": op5_token_output,
            "op8_lm": op8_lm, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op10_secrets": _secrets_sql()}
