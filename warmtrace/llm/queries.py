@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmtrace.llm import decontaminate, language_id, packing, secret_scan, simhash, suffix_tree_lm, token_output
-from warmtrace.llm.common import remainder, table
+from warmtrace.llm import decontaminate, language_id, packing, quality, secret_scan, simhash, suffix_tree_lm, token_output
+from warmtrace.llm.common import materialise, remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -42,6 +42,15 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.crc32("position_ids").alias("positions_crc32"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    measured = materialise(quality.features(docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "text")))
+    trusted = (labels.where((remainder("doc_id", 5) != 0) & F.col("quality").isNotNull())
+               .groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1"))
+    model = quality.learn(measured.where("not held_out"), trusted)
+    return quality.score(measured, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 10) == 0
@@ -89,5 +98,5 @@ def _secrets_sql() -> str:
 
 QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash,
            "op3_decontamination": op3_decontamination, "op4_language": op4_language, "op5_token_output": op5_token_output,
-           "op8_lm": op8_lm, "op10_secrets": op10_secrets}
+           "op6_quality": op6_quality, "op8_lm": op8_lm, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op10_secrets": _secrets_sql()}
