@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmtrace.llm import decontaminate, language_id, packing, quality, secret_scan, simhash, suffix_tree_lm, token_output
+from warmtrace.llm import (decontaminate, language_id, licenses, neighbours, packing, quality, secret_scan, simhash,
+                           suffix_tree_lm, token_output)
 from warmtrace.llm.common import materialise, remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +52,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(measured, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, neighbours=5)
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 10) == 0
@@ -59,6 +64,11 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.lit(""), "source", "doc_id").alias("path"), "text")
+    return licenses.scan(files).select("doc_id", "path", "license", "license_score", "found", "license_path", "line")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind_number"] < len(secret_scan.BASE))
@@ -98,5 +108,7 @@ def _secrets_sql() -> str:
 
 QUERIES = {"op1_packing": op1_packing, "op2_simhash": op2_simhash,
            "op3_decontamination": op3_decontamination, "op4_language": op4_language, "op5_token_output": op5_token_output,
-           "op6_quality": op6_quality, "op8_lm": op8_lm, "op10_secrets": op10_secrets}
+           "op6_quality": op6_quality, "op7_neighbours": op7_neighbours,
+           "op8_lm": op8_lm, "op9_licenses": op9_licenses,
+           "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op10_secrets": _secrets_sql()}
