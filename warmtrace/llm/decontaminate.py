@@ -3,7 +3,9 @@
 One pass over the texts finds where word n-grams of test items occur and keeps those passages, with
 enough words on both sides for the longest item.  Counted over all documents, an n-gram is a seed of its
 item when it is rare, or the rarest of some window of the item: no item, and no stretch of it, is
-without seeds however often it leaked.  A passage is aligned with every item of which it has a seed.
+without seeds however often it leaked.  A passage is aligned with every item of which it has a seed, and
+with every item of which it has ``SEVERAL`` different n-grams, rare or not: where many copies were edited
+alike, what they still share with their item is not rare.
 
 The test items are taken in blocks of at most ``BLOCK_WORDS`` words, one pass each, so what workers hold
 has a bound for any benchmark.  Nothing is shuffled but seed counts and the best alignments.
@@ -30,6 +32,7 @@ NGRAM = 4
 RARE = 1e-4
 # Of so many neighbouring n-grams of an item the rarest is a seed in any case.
 WINDOW = 8
+SEVERAL = 3
 MATCH, MISS, GAP = 2, -1, -1
 # Punctuation at the ends of words does not count.
 MARKS = " .,;:!?\"'()[]{}<>|*#&$%-_/\\"
@@ -156,17 +159,21 @@ def _aligned(passages: DataFrame, shared) -> DataFrame:
 
         def one(raw: bytes, grams: list[int], places: list[int]) -> tuple:
             """Per item: place, score, begin and end; copies of a passage are aligned once."""
-            near: dict[int, list[int]] = defaultdict(list)
+            near: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for gram, place in zip(grams, places):
-                for k in seeds.get(gram, ()):
-                    near[k].append(place)
+                for k in block.of[gram]:
+                    near[k].append((place, gram))
             words, out = np.frombuffer(raw, np.uint64), []
             for k, hits in near.items():
                 item = block.words[k]
                 reach = len(item) * 3 // 2
+                at = np.array([place for place, _ in hits])
                 # Hits far apart are aligned apart: the longest alignment reaches no further.
-                for group in np.split(np.array(hits), np.nonzero(np.diff(hits) > 2 * reach)[0] + 1):
-                    low, high = max(0, int(group[0]) - reach), int(group[-1]) + block.n + reach
+                for group in np.split(np.arange(len(at)), np.nonzero(np.diff(at) > 2 * reach)[0] + 1):
+                    own = {hits[h][1] for h in group}
+                    if len(own) < SEVERAL and not any(k in seeds.get(gram, ()) for gram in own):
+                        continue
+                    low, high = max(0, int(at[group[0]]) - reach), int(at[group[-1]]) + block.n + reach
                     score, end = align(words[low:high], item)
                     if score >= least * MATCH * len(item):
                         _, back = align(words[low:low + end][::-1], item[::-1])

@@ -95,16 +95,16 @@ def _matches(rule: Rule, kind_number: int) -> tuple[Column, Column, Column]:
     return pattern, ends, F.transform(kept, lambda s: s.dropFields("tested"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The columns of ``docs`` and ``spans``: all matches as (start, kind_number, end, kind, text), in that order.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "spans") -> DataFrame:
+    """The columns of ``docs`` and the column ``into``: all matches as (start, kind_number, end, kind, text), in that order.
 
     Positions count code points, ends are exclusive.  Null and empty texts have no spans; the text of a
     row is searched whole.  A null id is an id like any other, and rows of one id are searched each on
-    its own.  An empty table gives no rows.  ``docs`` needs doc_id and text; a column named ``spans``
+    its own.  An empty table gives no rows.  ``docs`` needs doc_id and text; a column named ``into``
     is replaced, no other is looked at.
     """
     found = candidates(docs, rules)
-    out = docs.drop("spans")
+    out = docs.drop(into)
     if found is None:
         out = out.withColumn("_kinds", F.array().cast("array<string>"))
     else:
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             "_tested": F.when(F.col("_hit"), F.regexp_extract_all("text", pattern, F.lit(1 + rule.group)))})
         out = out.withColumn("_ends", ends).withColumn(names[-1], F.coalesce(kept, spans)).drop(
             "_hit", "_lengths", "_found", "_tested", "_ends")
-    return out.withColumn("spans", F.array_sort(F.concat(*names))).drop("_kinds", *names)
+    return out.withColumn(into, F.array_sort(F.concat(*names))).drop("_kinds", *names)
 
 
 def listed(spans: Column) -> Column:
@@ -133,13 +133,13 @@ def listed(spans: Column) -> Column:
 
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every stretch of overlapping spans replaced by ``mark``; all rows stay, null texts too."""
-    found = scan(docs, rules)
-    reach = _running(F.transform("spans", lambda s: s["end"]), F.size("spans"), F.greatest)
-    pieces = F.transform("spans", lambda s, i: F.struct(
+    found = scan(docs, rules, "_masked")
+    reach = _running(F.transform("_masked", lambda s: s["end"]), F.size("_masked"), F.greatest)
+    pieces = F.transform("_masked", lambda s, i: F.struct(
         s["start"].alias("start"), F.when(i == 0, 0).otherwise(F.get("_reach", i - 1)).alias("before")))
     kept = F.transform(F.filter("_pieces", lambda p: p["start"] >= p["before"]), lambda p: F.concat(
         F.substring("text", p["before"] + 1, p["start"] - p["before"]), F.lit(mark)))
     rest = F.substring(F.col("text"), F.element_at("_reach", -1) + 1, F.char_length("text"))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join("_kept", ""), rest))
+    text = F.when(F.size("_masked") == 0, F.col("text")).otherwise(F.concat(F.array_join("_kept", ""), rest))
     return (found.withColumn("_reach", reach).withColumn("_pieces", pieces).withColumn("_kept", kept)
-            .withColumn("text", text).drop("spans", "_reach", "_pieces", "_kept").select(*docs.columns))
+            .withColumn("text", text).select(*docs.columns))
