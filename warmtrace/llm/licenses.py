@@ -172,11 +172,12 @@ def scan(files: DataFrame, *, templates=TEMPLATES, least_header: float = 0.7, le
         F.sequence(F.lit(1), F.size(F.split("place", "/"))),
         lambda n: F.array_join(F.slice(F.split("place", "/"), F.lit(1), n), "/")))).alias("up", "above"))
     nearest = (steps.join(given, "above").groupBy("place").agg(F.min_by(F.col("from"), F.col("up")).alias("from")))
-    out = named.join(own.select(F.col("path").alias("_own"), F.col("text_hash").alias("_own_hash"), "license", "score", "found", "line"),
-                     F.col("_path").eqNullSafe(F.col("_own")) & (F.col("_hash") == F.col("_own_hash")), "left")
-    out = out.join(nearest, _directory(F.col("_path")) == nearest["place"], "left")
-    inherited = F.col("found").isNull() & F.col("from").isNotNull()
-    return out.select(*kept, F.coalesce("license", "from.license").alias("license"),
-                      F.when(inherited, -F.col("from.cost")).otherwise(F.col("score")).alias("license_score"),
-                      F.when(inherited, "inherited").otherwise(F.col("found")).alias("found"),
-                      F.when(inherited, F.col("from.path")).alias("license_path"), "line")
+    mine = own.select(*[F.col(c).alias(f"_own_{c}") for c in own.columns])
+    out = named.join(mine, F.col("_path").eqNullSafe(F.col("_own_path")) & (F.col("_hash") == F.col("_own_text_hash")), "left")
+    nearest = nearest.select(F.col("place").alias("_place"), F.col("from").alias("_from"))
+    out = out.join(nearest, _directory(F.col("_path")) == F.col("_place"), "left")
+    inherited = F.col("_own_found").isNull() & F.col("_from").isNotNull()
+    return out.select(*kept, F.coalesce("_own_license", "_from.license").alias("license"),
+                      F.when(inherited, -F.col("_from.cost")).otherwise(F.col("_own_score")).alias("license_score"),
+                      F.when(inherited, "inherited").otherwise(F.col("_own_found")).alias("found"),
+                      F.when(inherited, F.col("_from.path")).alias("license_path"), F.col("_own_line").alias("line"))

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from warmtrace.llm.common import factorised, materialise, slices
 
@@ -272,7 +273,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in [*made, "text"]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = (docs.select(*kept).schema.add("_row", "long").add("n_tokens", "long").add("n_known", "long")
+    # Rows of rare words have nulls in the other columns.
+    schema = (StructType([StructField(f.name, f.dataType) for f in docs.select(*kept).schema]).add("_row", "long").add("n_tokens", "long").add("n_known", "long")
               .add("_base", "double").add("_gain", "double").add("_word", "binary").add("_times", "long"))
 
     def scored(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
