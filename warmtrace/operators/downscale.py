@@ -25,15 +25,8 @@ from .running import CHUNK_ROWS, chunk_of, running, with_widths
 from .stages import materialise
 from .starts import _ddl
 
-# Chosen keys up to this many are broadcast; more are joined by shuffling.
-BROADCAST_KEYS = 100_000
-MAX_PIECE_ROWS = 50_000_000
-
-
-def _keep(tr: DataFrame, selected: DataFrame, key: str, n: int) -> DataFrame:
-    """Keep chosen keys; ``selected`` has at most ``n`` rows."""
-    chosen = F.broadcast(selected.select(key)) if n <= BROADCAST_KEYS else selected
-    return keep_selected(tr, chosen, key)
+# A cap is split over so many shards at most.
+MOST_SHARDS = 256
 
 
 def owners_by_functions(tr: DataFrame) -> DataFrame:
@@ -49,7 +42,7 @@ def top_owners(tr: DataFrame, n: int, basis: DataFrame | None = None) -> DataFra
     """
     ranked = owners_by_functions(tr if basis is None else basis)
     best = ranked.orderBy(F.desc("functions"), "owner").limit(n)
-    return _keep(tr, best, "owner", n)
+    return keep_selected(tr, best, "owner")
 
 
 def popularity_band(tr: DataFrame, n: int) -> DataFrame:
@@ -67,7 +60,7 @@ def popularity_band(tr: DataFrame, n: int) -> DataFrame:
 
 def middle_functions(tr: DataFrame, n: int) -> DataFrame:
     """Keep the rows of the ``n`` functions of median popularity."""
-    return _keep(tr, popularity_band(tr, n), "function", n)
+    return keep_selected(tr, popularity_band(tr, n), "function")
 
 
 def thin_random(tr: DataFrame, x: int, seed: int = 0) -> DataFrame:
@@ -75,7 +68,7 @@ def thin_random(tr: DataFrame, x: int, seed: int = 0) -> DataFrame:
     return tr.where(hash32(F.col("function"), F.col("seq"), seed) % x == 0)
 
 
-def _greedy(keys: list[str], max_piece_rows: int, schema: str):
+def _greedy(keys: list[str], schema: str):
     """Arrow step: admit contested rows in order, piece by piece."""
     names = list(keys)
 
@@ -84,7 +77,7 @@ def _greedy(keys: list[str], max_piece_rows: int, schema: str):
 
         import pyarrow as pa
 
-        piece, live, held, rows = None, [], 0, 0
+        piece, live, held = None, [], 0
         for batch in batches:
             pieces = zip(*[batch.column(n).to_pylist() for n in names])
             times = batch.column("ts_ms").to_pylist()
@@ -95,12 +88,7 @@ def _greedy(keys: list[str], max_piece_rows: int, schema: str):
             admitted = []
             for p, ts, end, weight, base, limit in zip(pieces, times, ends, weights, sure, limits):
                 if p != piece:
-                    piece, live, held, rows = p, [], 0, 0
-                rows += 1
-                if rows > max_piece_rows:
-                    raise ValueError(
-                        f"more than {max_piece_rows} rows must be admitted in one order; cap by "
-                        "keys (by=...), use mode='sharded' or raise max_piece_rows")
+                    piece, live, held = p, [], 0
                 while live and live[0][0] <= ts:
                     held -= heapq.heappop(live)[1]
                 fits = base + held + weight <= limit
@@ -125,7 +113,7 @@ def _arrival_load(rows: DataFrame, weight: Column, by: list[str], name: str) ->
     return loaded.where("_kind = 0").select(*columns, name)
 
 
-def _admit(tr: DataFrame, weight: Column, by: list[str], chunk_rows: int, max_piece_rows: int) -> DataFrame:
+def _admit(tr: DataFrame, weight: Column, by: list[str], chunk_rows: int) -> DataFrame:
     """Rows admitted under the cap in column ``_limit``, one cap per ``by``."""
     columns = [c for c in tr.columns if c != "_limit"]
     rows = with_widths(tr, by, chunk_rows=chunk_rows, most=tr.count()).withColumn("_weight", weight.cast("bigint"))
@@ -143,42 +131,53 @@ def _admit(tr: DataFrame, weight: Column, by: list[str], chunk_rows: int, max_pi
                      chunk=chunk, order=ORDER, sums={"_piece": F.col("_free")})
     keys = [*by, "_piece"]
     pieces = pieces.repartition(*keys).sortWithinPartitions(*keys, *ORDER)
-    step, schema = _greedy(keys, max_piece_rows, _ddl(pieces))
+    step, schema = _greedy(keys, _ddl(pieces))
     decided = pieces.mapInArrow(step, schema).where("_admitted")
     return sure.select(*columns).unionByName(decided.select(*columns))
 
 
+def _shards(tr: DataFrame, limit: int, weight: Column, shards: int | None) -> int:
+    """How many shards the cap may have so that each one's part holds the heaviest row that fits the cap.
+
+    A heavier part of the trace would be lost whole otherwise.  Rows over the cap fit nowhere, in either mode.
+    """
+    heaviest = tr.agg(F.max(F.when(weight <= limit, weight))).first()[0]
+    most = max(1, limit // max(1, heaviest or 1))
+    if shards is not None and shards > most:
+        raise ValueError(f"with {shards} shards a row of weight {heaviest} does not fit a shard's part of {limit}; at most {most} do")
+    return min(most, MOST_SHARDS) if shards is None else shards
+
+
 def _cap(tr: DataFrame, limit: int, weight: Column, mode: str, by: Sequence[str] | None,
-         shards: int, seed: int, chunk_rows: int, max_piece_rows: int) -> DataFrame:
+         shards: int | None, seed: int, chunk_rows: int) -> DataFrame:
     if mode == "sharded":
+        shards = _shards(tr, limit, weight, shards)
         shard = (hash32(F.col("function"), F.col("seq"), seed) % shards).cast("int")
         quota = F.lit(limit // shards) + (F.col("_shard") < limit % shards).cast("int")
         rows = tr.withColumn("_shard", shard).withColumn("_limit", quota.cast("bigint"))
-        return _admit(rows, weight, [*(by or []), "_shard"], chunk_rows, max_piece_rows).drop("_shard")
+        return _admit(rows, weight, [*(by or []), "_shard"], chunk_rows).drop("_shard")
     if mode != "exact":
         raise ValueError(f"unknown mode {mode!r}")
     rows = tr.withColumn("_limit", F.lit(limit).cast("bigint"))
-    return _admit(rows, weight, list(by or []), chunk_rows, max_piece_rows)
+    return _admit(rows, weight, list(by or []), chunk_rows)
 
 
-def cap_concurrency(tr: DataFrame, n: int, mode: str = "exact", by: Sequence[str] | None = None,
-                    shards: int = 8, seed: int = 0, chunk_rows: int = CHUNK_ROWS,
-                    max_piece_rows: int = MAX_PIECE_ROWS) -> DataFrame:
-    """Drop rows that would make more than ``n`` run at once.
+def cap_concurrency(tr: DataFrame, n: int, mode: str = "sharded", by: Sequence[str] | None = None,
+                    shards: int | None = None, seed: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Drop rows that would make more than ``n`` run at once, in all or of one ``by``.
 
-    ``exact`` admits precisely the greedy rows, with one cap or one per ``by``;
-    it fails rather than decide more than ``max_piece_rows`` contested rows in
-    one task.  ``sharded`` splits the cap over hashed shards: never exceeded and
-    always parallel, but it admits another, smaller selection.
+    ``sharded`` splits the cap over hashed shards: never exceeded and decided in parallel, but another and
+    smaller selection than the greedy one.  Each shard's part holds any row that fits the cap, so rows
+    that do not overlap all stay; a number of ``shards`` that breaks this is refused.  ``exact`` admits
+    precisely the greedy rows; where the cap is always reached that is one task's work for each ``by``.
     """
-    return _cap(tr, n, F.lit(1), mode, by, shards, seed, chunk_rows, max_piece_rows)
+    return _cap(tr, n, F.lit(1), mode, by, shards, seed, chunk_rows)
 
 
-def cap_memory(tr: DataFrame, mb: int, mode: str = "exact", by: Sequence[str] | None = None,
-               shards: int = 8, seed: int = 0, chunk_rows: int = CHUNK_ROWS,
-               max_piece_rows: int = MAX_PIECE_ROWS) -> DataFrame:
+def cap_memory(tr: DataFrame, mb: int, mode: str = "sharded", by: Sequence[str] | None = None,
+               shards: int | None = None, seed: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Drop rows that would make running memory exceed ``mb``; modes as above."""
-    return _cap(tr, mb, F.col("memory_mb"), mode, by, shards, seed, chunk_rows, max_piece_rows)
+    return _cap(tr, mb, F.col("memory_mb"), mode, by, shards, seed, chunk_rows)
 
 
 def downscale(tr: DataFrame, functions: int = 0, concurrency: int = 0, users: int = 0,

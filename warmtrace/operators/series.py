@@ -11,33 +11,43 @@ from .expand import unfold
 from .running import running
 
 
-def _ranked(s: DataFrame, width: float) -> DataFrame:
-    """Distinct values per series with the number of values up to and including them."""
+# A series is ranked in so many ranges of about equally many different values.
+RANGES = 256
+
+
+def _ranked(s: DataFrame) -> DataFrame:
+    """Distinct values per series with the number of values up to and including them; NaN is the largest.
+
+    The borders of the ranges are quantiles of each series' own values, so no range holds much more
+    than its share, however the values lie; NaN belongs to the last.
+    """
     tally = s.groupBy("series", "value").agg(F.count("*").alias("n"))
-    return running(tally, keys=["series"], chunk=F.floor(F.col("value") / F.lit(width)),
-                   order=["value"], sums={"upto": F.col("n")})
+    shares = [i / RANGES for i in range(1, RANGES)]
+    usual = F.when(~F.isnan("value"), F.col("value"))
+    borders = tally.groupBy("series").agg(F.percentile_approx(usual, shares, 20 * RANGES).alias("_borders"))
+    placed = tally.join(borders, "series")
+    chunk = F.coalesce(F.size(F.filter("_borders", lambda b: b < F.col("value"))), F.lit(0))
+    ranked = running(placed.withColumn("_range", chunk).drop("_borders"), keys=["series"], chunk=F.col("_range"),
+                     order=["value"], sums={"upto": F.col("n")})
+    return ranked.drop("_range")
 
 
 def series_max(s: DataFrame) -> DataFrame:
     return s.groupBy("series").agg(F.max("value").alias("peak"))
 
 
-def series_cdf(s: DataFrame, width: float = 100.0) -> DataFrame:
-    """Sorted values against (i - 1) / n.
-
-    ``width`` is the value range handled by one task.
-    """
+def series_cdf(s: DataFrame) -> DataFrame:
+    """Sorted values, NaN last, against (i - 1) / n."""
     totals = s.groupBy("series").agg(F.count("*").alias("total"))
-    steps = unfold(_ranked(s, width).join(totals, "series"), "n", "_copy")
+    steps = unfold(_ranked(s).join(totals, "series"), "n", "_copy")
     i = F.col("upto") - F.col("n") + F.col("_copy") - 1
     return steps.select("series", "value", i.alias("i"), (i / F.col("total")).alias("fraction"))
 
 
-def series_percentiles(s: DataFrame, shares: Sequence[float] = (0.5, 0.95),
-                       width: float = 100.0) -> DataFrame:
+def series_percentiles(s: DataFrame, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
     """Nearest-rank percentiles per series."""
     totals = s.groupBy("series").agg(F.count("*").alias("total"))
-    ranked = _ranked(s, width).join(totals, "series")
+    ranked = _ranked(s).join(totals, "series")
     picks = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("total")), F.col("value")))
              .alias(f"p{round(p * 100)}") for p in shares]
     return ranked.groupBy("series").agg(*picks)

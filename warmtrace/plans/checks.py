@@ -190,9 +190,9 @@ def _(spark, sf_dir):
         F.round(F.sum(added), 3).alias("total_s"))
 
 
-def _config(spark, sf_dir):
+def _config(spark, sf_dir, without=("purchase",)):
     gb = F.col("memory_mb") / 1024
-    records = based_trace(spark, sf_dir).where("app != 'purchase'").select(
+    records = based_trace(spark, sf_dir).where(~F.col("app").isin(*without)).select(
         F.when(F.col("app") != "error", F.col("owner")).alias("NamespaceHash"),
         F.col("function").alias("AppHash"),
         F.array(gb, gb + (F.col("seq") % 7) / 1024, F.lit(None), gb * 3).alias("AppContainerRequestMemory"),
@@ -206,9 +206,9 @@ CONFIG = """, config AS (
   FROM trace WHERE app NOT IN ('error', 'purchase') GROUP BY ALL)"""
 
 
-@check("read_app_config", BASE + CONFIG + " SELECT * FROM config")
+@check("read_app_config", BASE + CONFIG.replace("NOT IN ('error', 'purchase')", "<> 'error'") + " SELECT * FROM config")
 def _(spark, sf_dir):
-    return _config(spark, sf_dir).select("namespace", "app", *big("memory_mb"))
+    return _config(spark, sf_dir, without=()).select("namespace", "app", *big("memory_mb"))
 
 
 def _event_lines(spark, sf_dir):
@@ -606,6 +606,31 @@ def _(spark, sf_dir):
                        "language", "benchmark")
 
 
+@check("load_report", BASE + """
+SELECT count(*) AS rows, count(*) FILTER (app = 'error') AS errors, count(*) FILTER (duration_ms > 2000000) AS long FROM trace""")
+def _(spark, sf_dir):
+    """Counts that come with an action on the trace, without another pass over it."""
+    seen, report = agg.load_report(based_trace(spark, sf_dir), f"load-{uuid.uuid4().hex}",
+                                   errors=F.col("app") == "error", long=F.col("duration_ms") > 2000000)
+    seen.write.format("noop").mode("overwrite").save()
+    got = report.get
+    return spark.createDataFrame([(got["rows"], got["errors"], got["long"])], "rows bigint, errors bigint, long bigint")
+
+
+@check("count_empty_pairs", BASE + """
+SELECT count(*) FILTER (times = 1) AS skipped_records, count(*) AS records
+FROM (SELECT count(*) AS times FROM trace WHERE app <> 'error' GROUP BY function, ts_ms // 3600000)""")
+def _(spark, sf_dir):
+    short = _records(spark, sf_dir).withColumn("exec_ms", F.slice("exec_ms", F.lit(1), F.size("exec_ms") - 1))
+    return ex.count_empty_pairs(short)
+
+
+@check("rewrite_ids_own_owners", BASE + LANGUAGES + """
+SELECT t.seq, t.owner, fn.benchmark AS function FROM trace t JOIN fn USING (function)""")
+def _(spark, sf_dir):
+    return lang.rewrite_ids_by_mode(enriched(spark, sf_dir), "hy").select("seq", "owner", "function")
+
+
 @check("rewrite_ids_by_mode", BASE + LANGUAGES + """
 SELECT t.seq, 'user' AS owner, fn.benchmark AS function FROM trace t JOIN fn USING (function)""")
 def _(spark, sf_dir):
@@ -874,7 +899,7 @@ def _(spark, sf_dir):
 
 
 @check("worker_summary", BASE + """, log AS (
-  SELECT *, 'w' || (duration_ms % 4) AS worker FROM trace),
+  SELECT *, 'w' || (seq % 4) AS worker FROM trace),
 moves AS (SELECT worker, ts_ms AS time, memory_mb AS mb FROM log
           UNION ALL SELECT worker, ts_ms + duration_ms, -memory_mb FROM log),
 levels AS (SELECT worker, sum(sum(mb)) OVER (PARTITION BY worker ORDER BY time) AS level
@@ -883,7 +908,7 @@ SELECT worker, count(DISTINCT function) AS functions, count(*) AS requests, coun
        (SELECT CAST(max(level) AS BIGINT) FROM levels l WHERE l.worker = log.worker) AS peak_mb
 FROM log GROUP BY worker""")
 def _(spark, sf_dir):
-    log = trace(spark, sf_dir).withColumn("worker", F.concat(F.lit("w"), F.col("duration_ms") % 4))
+    log = trace(spark, sf_dir).withColumn("worker", F.concat(F.lit("w"), F.col("seq") % 4))
     return ga.worker_summary(log)
 
 
@@ -911,7 +936,25 @@ def _(spark, sf_dir):
     return ser.series_cdf(_series(spark, sf_dir)).withColumn("fraction", F.round("fraction", 6))
 
 
-@check("load_report", BASE + COUNTS + PROFILES + """
+@check("series_cdf_nan", """
+SELECT series, value, i, round(i / n, 6) AS fraction FROM (
+  SELECT series, value, row_number() OVER (PARTITION BY series ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY series) AS n
+  FROM (SELECT event_type AS series, CASE WHEN event_id % 9 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value FROM events))
+WHERE NOT isnan(value)
+UNION ALL SELECT event_type, -1.0, count(*) FILTER (event_id % 9 <> 0), round(count(*) FILTER (event_id % 9 = 0) / count(*), 6)
+FROM events GROUP BY event_type""")
+def _(spark, sf_dir):
+    """NaN compares with nothing, so its rows are told by their first rank and their share."""
+    named = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_type").alias("series"), F.when(F.col("event_id") % 9 == 0, float("nan")).otherwise(F.col("value")).alias("value"))
+    cdf = ser.series_cdf(named)
+    odd = F.isnan("value")
+    last = cdf.groupBy("series").agg(F.min(F.when(odd, F.col("i"))).alias("i"), F.round(F.count_if(odd) / F.count("*"), 6).alias("fraction"))
+    return (cdf.where(~odd).withColumn("fraction", F.round("fraction", 6))
+            .unionByName(last.select("series", F.lit(-1.0).alias("value"), "i", "fraction")))
+
+
+@check("step_report", BASE + COUNTS + PROFILES + """
 SELECT CAST(0 AS BIGINT) AS pos, 'counts' AS step, count(*) AS rows FROM counts
 UNION ALL SELECT 1, 'profiled', count(*) FROM counts WHERE function IN (SELECT function FROM durations)
 UNION ALL SELECT 2, 'expanded', CAST(sum(count) AS BIGINT) FROM counts
@@ -1002,13 +1045,13 @@ def _longer(spark, sf_dir):
 
 @check("cap_concurrency", BASE + LONGER + _greedy_sql("longer", "15", "1") + " SELECT seq FROM admitted")
 def _(spark, sf_dir):
-    return down.cap_concurrency(_longer(spark, sf_dir), 15).select("seq")
+    return down.cap_concurrency(_longer(spark, sf_dir), 15, mode="exact").select("seq")
 
 
 @check("cap_concurrency_by", BASE + LONGER + _greedy_sql("longer", "1", "1", by="owner")
        + " SELECT seq FROM admitted")
 def _(spark, sf_dir):
-    return down.cap_concurrency(_longer(spark, sf_dir), 1, by=["owner"]).select("seq")
+    return down.cap_concurrency(_longer(spark, sf_dir), 1, mode="exact", by=["owner"]).select("seq")
 
 
 SHARDED = LONGER + f""", sharded AS (
@@ -1024,13 +1067,43 @@ def _(spark, sf_dir):
 
 @check("cap_memory", BASE + LONGER + _greedy_sql("longer", "8192", "memory_mb") + " SELECT seq FROM admitted")
 def _(spark, sf_dir):
-    return down.cap_memory(_longer(spark, sf_dir), 8192).select("seq")
+    return down.cap_memory(_longer(spark, sf_dir), 8192, mode="exact").select("seq")
 
 
 @check("cap_memory_by", BASE + LONGER + _greedy_sql("longer", "1024", "memory_mb", by="owner")
        + " SELECT seq FROM admitted")
 def _(spark, sf_dir):
-    return down.cap_memory(_longer(spark, sf_dir), 1024, by=["owner"]).select("seq")
+    return down.cap_memory(_longer(spark, sf_dir), 1024, mode="exact", by=["owner"]).select("seq")
+
+
+def _shard_sql(limit, weight):
+    """Rows with their shard and its part of the cap: as many shards as parts that hold the heaviest row."""
+    return LONGER + f""", parts AS (
+  SELECT least(256, {limit} // max({weight})) AS shards FROM longer WHERE {weight} <= {limit}),
+sharded AS (
+  SELECT l.*, {hash_sql('function', 'seq', '0')} % shards AS shard, {limit} // shards AS part, {limit} % shards AS rest, shards
+  FROM longer l, parts)"""
+
+
+PART = "part + CASE WHEN shard < rest THEN 1 ELSE 0 END"
+
+
+@check("cap_concurrency_saturated", BASE + _shard_sql(4, "1") + _greedy_sql("sharded", PART, "1", by="shard")
+       + " SELECT seq FROM admitted")
+def _(spark, sf_dir):
+    return down.cap_concurrency(_longer(spark, sf_dir), 4).select("seq")
+
+
+@check("cap_memory_sharded", BASE + _shard_sql(8500, "memory_mb") + _greedy_sql("sharded", PART, "memory_mb", by="shard")
+       + " SELECT seq FROM admitted")
+def _(spark, sf_dir):
+    return down.cap_memory(_longer(spark, sf_dir), 8500).select("seq")
+
+
+@check("cap_memory_saturated", BASE + _shard_sql(2048, "memory_mb") + _greedy_sql("sharded", PART, "memory_mb", by="shard")
+       + " SELECT seq FROM admitted")
+def _(spark, sf_dir):
+    return down.cap_memory(_longer(spark, sf_dir), 2048).select("seq")
 
 
 @check("downscale", BASE + LONGER + """, ranked AS (
@@ -1048,7 +1121,7 @@ three AS (SELECT * FROM two WHERE owner IN (SELECT owner FROM best))"""
        + " SELECT seq FROM admitted2")
 def _(spark, sf_dir):
     return down.downscale(_longer(spark, sf_dir), functions=60, concurrency=8, users=12,
-                          memory=2048).select("seq")
+                          memory=2048, mode="exact").select("seq")
 
 
 # --- starts ---------------------------------------------------------------------------
