@@ -196,6 +196,17 @@ def test_generate_with_limits_and_dense_ids(spark, day):
     assert owners.count() == 1 and functions.count() == 2
 
 
+def test_ids_follow_the_counts_file(spark, tmp_path):
+    counts = write(tmp_path / "counts.csv", wide("zed", "a1", "f9", {1: 1}), wide("abe", "a2", "f1", {1: 1}), wide("mid", "a3", "f5", {900: 1}),
+                   wide("none", "a4", "f0", {1: 1}))
+    durations = write(tmp_path / "durations.csv", "zed,a1,f9,1,1", "abe,a2,f1,1,1", "mid,a3,f5,1,1")
+    memory = write(tmp_path / "memory.csv", "zed,a1,1,64", "abe,a2,1,64", "mid,a3,1,64")
+    out, owners, functions = pipe.generate(spark, pipe.MinuteCounts(counts, durations, memory), compress=True, first=1, last=10)
+    assert {(r.owner, r.id) for r in owners.collect()} == {("zed", 0), ("abe", 1), ("mid", 2)}
+    assert {(r.function, r.id) for r in functions.collect()} == {("f9", 0), ("f1", 1), ("f5", 2)}
+    assert sorted(r.owner for r in out.collect()) == ["0", "1"]
+
+
 def test_analyse_accepts_another_start_policy(spark):
     tr = make_trace(spark, [("o", "f", 128, 50, 0), ("o", "f", 128, 50, 100)])
 

@@ -39,6 +39,16 @@ def mixed(spark, seed=1):
     return tr, [*parts, last]
 
 
+def test_equal_lines_stay_rows_of_their_own(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / "in" / name).write_text("o,f,128,50,100\n" * 3 + "o,f,128,50,200\n")
+    out = run(strm.stream_load(spark, str(tmp_path / "in")), "loaded")
+    rows = out.collect()
+    assert len(rows) == 8 and len({r.seq for r in rows}) == 8
+    assert st.classify_starts(out, K).count() == 8
+
+
 def test_stream_starts_equal_batch(spark, tmp_path):
     tr, parts = mixed(spark)
     out = run(strm.stream_classify_starts(batches(spark, tmp_path, parts), K, "5 seconds"), "starts")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import MINUTES_PER_DAY, arrival_order
-from .running import running, time_chunk
+from .running import running, with_range
 
 
 def rate_by_function(counts: DataFrame, last_row: bool = False) -> DataFrame:
@@ -58,10 +58,10 @@ def owner_summary(tr: DataFrame) -> DataFrame:
                                       F.sum("n").alias("invocations"))
 
 
-def dense_ids(tr: DataFrame, key: str, chunk: int = 1 << 20) -> DataFrame:
+def dense_ids(tr: DataFrame, key: str) -> DataFrame:
     """Number the values of ``key`` 0, 1, ... in the order they first appear in ``seq``."""
     first = tr.groupBy(key).agg(F.min("seq").alias("first_seq"))
-    numbered = running(first, keys=[], chunk=time_chunk("first_seq", chunk),
+    numbered = running(with_range(first, "first_seq"), keys=[], chunk=F.col("_range"),
                        order=["first_seq", key], sums={"id": F.lit(1)})
     return numbered.select(key, (F.col("id") - 1).alias("id"))
 

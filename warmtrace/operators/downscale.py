@@ -21,7 +21,7 @@ from ..functions import hash32, shuffle_key
 from ..model import ORDER, end_ms
 from .aggregate import count_by_function
 from .expand import keep_selected
-from .running import CHUNK_ROWS, chunk_of, running, with_widths
+from .running import CHUNK_ROWS, chunk_of, running, with_range, with_widths
 from .stages import materialise
 from .starts import _ddl
 
@@ -48,9 +48,10 @@ def top_owners(tr: DataFrame, n: int, basis: DataFrame | None = None) -> DataFra
 def popularity_band(tr: DataFrame, n: int) -> DataFrame:
     """The ``n`` functions around the median by invocations, ties in hashed order."""
     per = count_by_function(tr).withColumn("_key", shuffle_key(F.col("function")))
-    # One chunk per count and leading hex digits: many rare functions share a count.
-    chunk = F.struct("invocations", F.substring("_key", 1, 2).alias("part"))
-    ranked = running(per, keys=[], chunk=chunk, order=["invocations", "_key", "function"],
+    # Many rare functions share a count, so the ranges go on by the leading digits of the hashed order.
+    lead = F.col("invocations") * 65_536 + F.conv(F.substring("_key", 1, 4), 16, 10).cast("bigint")
+    per = with_range(per.withColumn("_lead", lead), "_lead")
+    ranked = running(per, keys=[], chunk=F.col("_range"), order=["_lead", "_key", "function"],
                      sums={"rank": F.lit(1)})
     functions = per.select(F.count("*")).scalar()
     skip = F.floor(F.greatest(functions - n, F.lit(0)) / 2)

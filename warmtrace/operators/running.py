@@ -21,6 +21,8 @@ CHUNK_ROWS = 1_000_000
 # No more keys than this are ever cut, so their widths are safe to broadcast.
 MOST_CUT_KEYS = 100_000
 WIDTH = "_width"
+# A ranking is cut into so many ranges.
+RANGES = 256
 
 
 def time_chunk(time: str, width_ms: int) -> Column:
@@ -55,6 +57,23 @@ def with_widths(df: DataFrame, keys: Sequence[str], time: str = "ts_ms",
     return df.withColumn(WIDTH, cut.scalar())
 
 
+def with_range(df: DataFrame, value: str, name: str = "_range") -> DataFrame:
+    """Add the number of the range of ``value`` among all rows."""
+    borders = df.select(borders_of(F.col(value))).scalar()
+    return (df.withColumn("_borders", borders)
+            .withColumn(name, range_of(F.col("_borders"), F.col(value))).drop("_borders"))
+
+
+def range_of(borders: Column, value: Column) -> Column:
+    """Number of the range of ``value`` between ascending borders; NaN is in the last, null in the first."""
+    return F.coalesce(F.size(F.filter(borders, lambda b: b < value)), F.lit(0))
+
+
+def borders_of(value: Column, ranges: int = RANGES) -> Column:
+    """An aggregate: borders that cut ``value`` into ranges of about equally many rows, however it lies."""
+    return F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges)
+
+
 def chunk_of(df: DataFrame, time: str) -> Column | None:
     """Chunk number of the rows, None where ``with_widths`` found nothing to cut."""
     if WIDTH not in df.columns:

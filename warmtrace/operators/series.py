@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .expand import unfold
-from .running import running
-
-
-# A series is ranked in so many ranges of about equally many different values.
-RANGES = 256
+from .running import borders_of, range_of, running
 
 
 def _ranked(s: DataFrame) -> DataFrame:
@@ -22,12 +18,9 @@ def _ranked(s: DataFrame) -> DataFrame:
     than its share, however the values lie; NaN belongs to the last.
     """
     tally = s.groupBy("series", "value").agg(F.count("*").alias("n"))
-    shares = [i / RANGES for i in range(1, RANGES)]
     usual = F.when(~F.isnan("value"), F.col("value"))
-    borders = tally.groupBy("series").agg(F.percentile_approx(usual, shares, 20 * RANGES).alias("_borders"))
-    placed = tally.join(borders, "series")
-    chunk = F.coalesce(F.size(F.filter("_borders", lambda b: b < F.col("value"))), F.lit(0))
-    ranked = running(placed.withColumn("_range", chunk).drop("_borders"), keys=["series"], chunk=F.col("_range"),
+    placed = tally.join(tally.groupBy("series").agg(borders_of(usual).alias("_borders")), "series")
+    ranked = running(placed.withColumn("_range", range_of(F.col("_borders"), F.col("value"))).drop("_borders"), keys=["series"], chunk=F.col("_range"),
                      order=["value"], sums={"upto": F.col("n")})
     return ranked.drop("_range")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, which goes with the process.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -20,31 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             named = tempfile.mkdtemp(prefix="warmtrace-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
-_written: list[str] = []
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there.
 
     The steps that follow scan only the columns they use, and a lost executor
     costs no recomputation of what came before.
     """
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stages/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stages(spark: SparkSession) -> int:
-    """Delete the tables this session wrote; call it once their results are read."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    dropped = 0
-    while _written:
-        path = hadoop(_written.pop())
-        dropped += bool(path.getFileSystem(conf).delete(path, True))
-    return dropped
+def drop_stages(spark: SparkSession) -> bool:
+    """Delete all tables that operators wrote for this application; call it once its results are read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stages")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1336,10 +1336,49 @@ timed AS (SELECT seq, owner, function, memory_mb, duration_ms, raw_ms AS ts_ms F
 
 
 @check("stream_load", BASE + """
-SELECT owner, function, CAST(memory_mb AS BIGINT) AS memory_mb, duration_ms, raw_ms AS ts_ms, seq FROM raw""")
+SELECT owner, function, CAST(memory_mb AS BIGINT) AS memory_mb, duration_ms, ts_ms,
+       CAST(sum(CASE WHEN seq % 3 = 0 THEN 3 ELSE 1 END) AS BIGINT) AS rows,
+       CAST(sum(CASE WHEN seq % 3 = 0 THEN 3 ELSE 1 END) AS BIGINT) AS positions FROM trace GROUP BY ALL""")
 def _(spark, sf_dir):
-    out = _finished(_stream_trace(spark, sf_dir))
-    return out.select("owner", "function", *big("memory_mb", "duration_ms", "ts_ms", "seq"))
+    """Trace files with equal lines: each line is a row with a position of its own."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    line = F.concat_ws(",", *[F.col(c) for c in wr.TRACE_FIELDS]).alias("value")
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("seq") % 3 == 0, 3).otherwise(1)))
+    trace(spark, sf_dir).select(line, copies).select("value").write.text(folder)
+    out = _finished(strm.stream_load(spark, folder))
+    return out.groupBy("owner", "function", F.col("memory_mb").cast("bigint").alias("memory_mb"), "duration_ms", "ts_ms").agg(
+        F.count("*").alias("rows"), F.count_distinct("seq").alias("positions"))
+
+
+@check("trace_files", BASE + """
+SELECT owner, function, CAST(memory_mb AS BIGINT) AS memory_mb, duration_ms, ts_ms, count(*) AS rows FROM trace GROUP BY ALL""")
+def _(spark, sf_dir):
+    """Written as files with a header and read again."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    wr.write_trace(trace(spark, sf_dir), folder)
+    back = rd.read_trace(spark, folder)
+    return back.groupBy("owner", "function", F.col("memory_mb").cast("bigint").alias("memory_mb"), "duration_ms", "ts_ms").agg(
+        F.count("*").alias("rows"))
+
+
+@check("generate_compressed", BASE + """
+SELECT function, row_number() OVER (ORDER BY md5(function)) - 1 AS id FROM (SELECT DISTINCT function FROM trace)""")
+def _(spark, sf_dir):
+    """Ids of all profiled functions in the order of a counts file that is not sorted by name."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    tr = trace(spark, sf_dir)
+    cells = (tr.groupBy("owner", "function", (F.floor(F.col("ts_ms") / MINUTE) % 1440 + 1).cast("int").alias("minute")).agg(F.count("*").alias("n"))
+             .groupBy("owner", "function").agg(F.map_from_entries(F.collect_list(F.struct("minute", "n"))).alias("n")))
+    wide = F.transform(F.sequence(F.lit(1), F.lit(1440)), lambda m: F.coalesce(F.try_element_at("n", m), F.lit(0)).cast("string"))
+    line = F.concat_ws(",", "owner", F.concat(F.lit("app"), "function"), "function", F.lit("http"), F.array_join(wide, ","))
+    (cells.select(line.alias("value"), F.md5("function").alias("k")).coalesce(1).sortWithinPartitions("k").select("value")
+     .write.text(f"{folder}/counts"))
+    (cells.select(F.concat_ws(",", "owner", F.concat(F.lit("app"), "function"), "function", F.lit("10")).alias("value"))
+     .write.text(f"{folder}/durations"))
+    (cells.select(F.concat_ws(",", "owner", F.concat(F.lit("app"), "function"), F.lit("1"), F.lit("128")).alias("value"))
+     .write.text(f"{folder}/memory"))
+    day = pipe.MinuteCounts(*[f"{folder}/{n}" for n in ("counts", "durations", "memory")])
+    return pipe.generate(spark, day, compress=True, first=1, last=60)[2]
 
 
 @check("stream_sample_counts", BASE + FINAL + """

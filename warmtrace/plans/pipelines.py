@@ -69,6 +69,12 @@ class MinuteCounts:
                                readers.read_function_durations(spark, self.durations),
                                readers.read_app_memory(spark, self.memory), seed)
 
+    def names(self, spark: SparkSession) -> DataFrame:
+        """The owner and function of every profiled line in file order, with or without invocations."""
+        return attach_profile(readers.read_minute_names(spark, self.counts),
+                              readers.read_function_durations(spark, self.durations),
+                              readers.read_app_memory(spark, self.memory)).select("owner", "function", "seq")
+
 
 @dataclass
 class MinuteMatrices:
@@ -115,7 +121,10 @@ class WeeklyEvents:
 
 def generate(spark: SparkSession, source: Source, limits: dict | None = None, compress: bool = False,
              **options) -> DataFrame | tuple[DataFrame, DataFrame, DataFrame]:
-    """Load a source and downscale it; with ``compress`` ids are dense and both mappings returned."""
+    """Load a source and downscale it; with ``compress`` ids are dense and both mappings returned.
+
+    Ids number what the source names, in the order of its file, where it has ``names``; else the rows of the trace.
+    """
     tr = source.load(spark, **options)
     limits = dict(limits or {})
     if limits.get("users") and limits.pop("rank_on_range", False):
@@ -123,7 +132,8 @@ def generate(spark: SparkSession, source: Source, limits: dict | None = None, co
     out = downscale(tr, **limits)
     if not compress:
         return out
-    owners, functions = dense_ids(tr, "owner"), dense_ids(tr, "function")
+    named = source.names(spark) if hasattr(source, "names") else tr
+    owners, functions = dense_ids(named, "owner"), dense_ids(named, "function")
     return replace_ids(replace_ids(out, owners, "owner"), functions, "function"), owners, functions
 
 

@@ -71,6 +71,14 @@ def read_minute_counts(spark: SparkSession, path, first: int = 1, last: int = MI
     return parse_minute_counts(text_lines(spark, path), first, last)
 
 
+def read_minute_names(spark: SparkSession, path) -> DataFrame:
+    """owner, app, function of every line of a counts file, with its position as ``seq``."""
+    lines = text_lines(spark, path).where(~F.col("value").startswith("HashOwner,"))
+    cells = F.split("value", ",", 4)
+    return lines.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(("owner", "app", "function"))],
+                        F.col("row_pos").alias("seq"))
+
+
 def _last_by_key(lines: DataFrame, key_cell: int, value_cell: int, key: str, value: str) -> DataFrame:
     c = lines.where(~F.col("value").startswith("HashOwner,")).select("row_pos", _cells().alias("_c"))
     typed = c.select("row_pos", F.get("_c", F.lit(key_cell)).alias(key),

@@ -18,11 +18,32 @@ DELAY = "10 seconds"
 TRACE_STREAM_SCHEMA = "value string"
 
 
+def _numbered(batches):
+    """Arrow step: number the lines of each block of a file; a task reads a block from its start to its end."""
+    import numpy as np
+    import pyarrow as pa
+
+    block, at = None, 0
+    for batch in batches:
+        paths, starts = batch.column("path").to_pylist(), batch.column("start").to_pylist()
+        number = np.empty(batch.num_rows, np.int64)
+        for i, key in enumerate(zip(paths, starts)):
+            block, at = key, at + 1 if key == block else 0
+            number[i] = at
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], [*batch.schema.names, "line"])
+
+
 def stream_load(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
-    """A growing folder of trace files; ``seq`` is a hash of the line and its file."""
+    """A growing folder of trace files; ``seq`` is a hash of the file, its block and the line's number in it.
+
+    Equal lines are rows of their own, and a batch that is run again numbers its lines alike.
+    """
     lines = (spark.readStream.schema(TRACE_STREAM_SCHEMA)
              .option("maxFilesPerTrigger", files_per_trigger).text(folder))
-    keyed = lines.select("value", F.xxhash64("value", "_metadata.file_path").alias("row_pos"))
+    placed = lines.select("value", F.col("_metadata.file_path").alias("path"),
+                          F.col("_metadata.file_block_start").alias("start"))
+    numbered = placed.mapInArrow(_numbered, "value string, path string, start bigint, line bigint")
+    keyed = numbered.select("value", F.xxhash64("path", "start", "line").alias("row_pos"))
     return parse_trace(keyed).drop("language", "benchmark")
 
 
