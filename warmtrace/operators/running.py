@@ -4,8 +4,8 @@ A window over ``(keys)`` puts every row of a busy key in one task, and a window
 without keys puts the whole table there.  Here the order is cut into chunks:
 each chunk is summarised with map-side combining, the few chunk totals are
 accumulated, and each chunk then starts from a single carry row.  Rows are
-shuffled once, by (keys, chunk).  Only long histories are cut, into chunks of
-about equal size; short ones stay whole.
+shuffled once, by (keys, chunk).  Every history is cut by the same rule, into
+chunks of about equal size; a short one is a single chunk.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 # A history longer than this many rows is cut into chunks of about this size.
 CHUNK_ROWS = 1_000_000
-# No more keys than this are ever cut, so their widths are safe to broadcast.
-MOST_CUT_KEYS = 100_000
 WIDTH = "_width"
 # A ranking is cut into so many ranges.
 RANGES = 256
@@ -31,29 +29,20 @@ def time_chunk(time: str, width_ms: int) -> Column:
 
 
 def with_widths(df: DataFrame, keys: Sequence[str], time: str = "ts_ms",
-                chunk_rows: int = CHUNK_ROWS, multiple_of: int = 1,
-                most: int | None = None) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS, multiple_of: int = 1) -> DataFrame:
     """Add the chunk width that suits the history of each key, null where one chunk will do.
 
-    Only keys with more than ``chunk_rows`` rows, and with more than a
-    ``MOST_CUT_KEYS``-th of all rows, are cut: at most ``MOST_CUT_KEYS`` keys
-    have a width, whatever the data.  Where ``most``, a counted bound on the rows
-    of any key, shows that none is cut, no width is added and nothing is looked at.
+    A key with more than ``chunk_rows`` rows has chunks of about as many; only such keys are in the
+    table of widths, and how it is joined is left to Spark.
     """
-    if most is not None and most <= chunk_rows:
-        return df
     keys = list(keys)
     stats = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(time).alias("_lo"),
                                   F.max(time).alias("_hi"))
-    limit = F.lit(chunk_rows).cast("double")
-    if keys:
-        total = stats.select(F.sum("_n")).scalar()
-        limit = F.greatest(limit, total / F.lit(MOST_CUT_KEYS))
-    span = (F.col("_hi") - F.col("_lo") + 1) * limit / F.col("_n")
+    span = (F.col("_hi") - F.col("_lo") + 1) * F.lit(chunk_rows).cast("double") / F.col("_n")
     width = F.greatest(F.lit(1), F.ceil(span / F.lit(multiple_of))) * F.lit(multiple_of)
-    cut = stats.where(F.col("_n") > limit).select(*keys, width.cast("bigint").alias(WIDTH))
+    cut = stats.where(F.col("_n") > chunk_rows).select(*keys, width.cast("bigint").alias(WIDTH))
     if keys:
-        return df.join(F.broadcast(cut), keys, "left")
+        return df.join(cut, keys, "left")
     return df.withColumn(WIDTH, cut.scalar())
 
 
@@ -74,32 +63,24 @@ def borders_of(value: Column, ranges: int = RANGES) -> Column:
     return F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges)
 
 
-def chunk_of(df: DataFrame, time: str) -> Column | None:
-    """Chunk number of the rows, None where ``with_widths`` found nothing to cut."""
-    if WIDTH not in df.columns:
-        return None
+def chunk_of(df: DataFrame, time: str) -> Column:
+    """Chunk number of the rows of ``with_widths``."""
     return F.when(F.col(WIDTH).isNull(), F.lit(0).cast("bigint")).otherwise(
         F.call_function("div", F.col(time), F.col(WIDTH)))
 
 
-def running(df: DataFrame, *, keys: Sequence[str], chunk: Column | None, order: Sequence[str],
+def running(df: DataFrame, *, keys: Sequence[str], chunk: Column, order: Sequence[str],
             sums: Mapping[str, Column] | None = None,
             maxes: Mapping[str, Column] | None = None,
             exclusive: bool = False, keep_chunk: str | None = None) -> DataFrame:
     """Add running sums and maxima in ``order`` within ``keys``.
 
-    ``chunk`` must not decrease along ``order``; None means that every history
-    fits one task.  With ``exclusive`` the row itself is left out.  A maximum
-    over no rows is null, a sum is 0.
+    ``chunk`` must not decrease along ``order``.  With ``exclusive`` the row
+    itself is left out.  A maximum over no rows is null, a sum is 0.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     keys = list(keys)
     last = -1 if exclusive else Window.currentRow
-    if chunk is None:
-        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-        out = df.select("*", *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(n) for n, c in sums.items()],
-                        *[F.max(c).over(whole).alias(n) for n, c in maxes.items()])
-        return out.withColumn(keep_chunk, F.lit(0).cast("bigint")) if keep_chunk else out
     marked = df.withColumn("_chunk", chunk)
     totals = marked.groupBy(*keys, "_chunk").agg(
         *[F.sum(c).alias(n) for n, c in sums.items()],

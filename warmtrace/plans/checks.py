@@ -1312,6 +1312,42 @@ def _(spark, sf_dir):
     return ga.capacity_check(ga.vm_footprint(trace(spark, sf_dir), "owner"), workers=3, mb=1024)
 
 
+# --- the same operators with histories cut into many chunks ------------------------------
+
+CUT = 40
+
+
+@check("cold_starts_cut", ORACLES["cold_starts"])
+def _(spark, sf_dir):
+    return st.cold_starts(trace(spark, sf_dir), KEEPALIVE, chunk_rows=CUT).select("function", "seq", "cold")
+
+
+@check("active_segments_cut", ORACLES["active_segments"])
+def _(spark, sf_dir):
+    return st.active_segments(trace(spark, sf_dir), KEEPALIVE, chunk_rows=CUT).select("function", "seq", "segment")
+
+
+@check("hot_functions_cut", ORACLES["hot_functions_zero_fill"])
+def _(spark, sf_dir):
+    return st.hot_functions(trace(spark, sf_dir), 3, 86_400_000, zero_fill=True, chunk_rows=CUT)
+
+
+@check("gauges_cut", ORACLES["gauges"])
+def _(spark, sf_dir):
+    starts = st.classify_starts(trace(spark, sf_dir), KEEPALIVE, chunk_rows=CUT)
+    return ga.gauges(starts, KEEPALIVE, chunk_rows=CUT).select(*big(*ga.GAUGES))
+
+
+@check("vm_footprint_cut", ORACLES["vm_footprint_owner"])
+def _(spark, sf_dir):
+    return ga.vm_footprint(trace(spark, sf_dir), "owner", chunk_rows=CUT)
+
+
+@check("cap_memory_cut", ORACLES["cap_memory"])
+def _(spark, sf_dir):
+    return down.cap_memory(_longer(spark, sf_dir), 8192, mode="exact", chunk_rows=CUT).select("seq")
+
+
 # --- streams: all rows in one run, then what the watermark has made final --------------------
 
 def _stream_trace(spark, sf_dir):
