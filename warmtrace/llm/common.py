@@ -72,8 +72,8 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return out
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 2048,
-           size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 1024,
+           size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most ``rows`` rows and about ``size`` bytes of text; a longer text is alone."""
     bytes_ = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
     total, first = np.cumsum(bytes_), 0

@@ -25,9 +25,9 @@ from warmtrace.llm.common import slices
 
 BLOCK = 256
 # The bounds of what is learned: labelled rows and letters of a language, and letters it tells apart.
-SAMPLE_ROWS, SAMPLE_LETTERS, ALPHABET = 800, 60_000, 64
+SAMPLE_ROWS, SAMPLE_LETTERS, ALPHABET = 800, 40_000, 64
 SNIPPET = 400
-# More languages than this are refused, not dropped: each takes about 20 MB in a worker.
+# More languages than this are refused, not dropped: each takes about 15 MB in a worker.
 MOST_LANGUAGES = 60
 
 
