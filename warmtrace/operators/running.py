@@ -40,9 +40,11 @@ def with_widths(df: DataFrame, keys: Sequence[str], time: str = "ts_ms",
                                   F.max(time).alias("_hi"))
     span = (F.col("_hi") - F.col("_lo") + 1) * F.lit(chunk_rows).cast("double") / F.col("_n")
     width = F.greatest(F.lit(1), F.ceil(span / F.lit(multiple_of))) * F.lit(multiple_of)
-    cut = stats.where(F.col("_n") > chunk_rows).select(*keys, width.cast("bigint").alias(WIDTH))
+    cut = stats.where(F.col("_n") > chunk_rows).select(*[F.col(k).alias(f"_of_{k}") for k in keys],
+                                                       width.cast("bigint").alias(WIDTH))
     if keys:
-        return df.join(cut, keys, "left")
+        same = [F.col(k) == F.col(f"_of_{k}") for k in keys]
+        return df.join(cut, same, "left").drop(*[f"_of_{k}" for k in keys])
     return df.withColumn(WIDTH, cut.scalar())
 
 
