@@ -175,22 +175,31 @@ def learn(labelled: DataFrame, *, label: str = "lang", text: str = "text", rows:
           letters: int = SAMPLE_LETTERS) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """A sample of each language: at most ``rows`` rows and ``letters`` characters of each.
 
-    The rows are those with the smallest hashes; each gives a stretch of ``SNIPPET`` characters at a
+    The rows are chosen and ordered by hashes, all alike; each gives a stretch of ``SNIPPET`` characters at a
     hashed place, and equal stretches count once.  Rows with a null label, null or empty text are left out.
     """
     h = F.xxhash64(F.lit(1), *labelled.columns)
     usable = labelled.select(F.col(label).cast("string").alias("label"), h.alias("h"), F.col(text).alias("text")).where(
         F.col("label").isNotNull() & (F.length("text") > 0))
+    # Of a frequent label only rows with small hashes are ordered: about four times as many as are taken.
+    often = (labelled.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).count()
+             .limit(MOST_LANGUAGES + 1).collect())
+    if len(often) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
+    if not often:
+        return ()
+    most = F.create_map(*[F.lit(x) for r in often for x in (r["label"], 4.0 * rows * (1 << 32) / r["count"])])
+    near = usable.where(F.pmod("h", F.lit(1 << 32)) < F.element_at(most, F.col("label")))
     start = F.pmod("h", F.greatest(F.char_length("text") - SNIPPET, F.lit(1))) + 1
-    cut = usable.select("label", "h", F.substring(F.col("text"), start.cast("int"), F.lit(SNIPPET)).alias("text"))
+    cut = near.select("label", "h", F.substring(F.col("text"), start.cast("int"), F.lit(SNIPPET)).alias("text"))
+    # Copies of a text have one hash; they are put together before they meet in a task.
+    cut = cut.groupBy("label", "h").agg(F.min("text").alias("text"))
     ordered = cut.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("n") <= rows)
     samples: dict[str, dict[str, None]] = {}
     for row in ordered.orderBy("label", "n").select("label", "text").toLocalIterator():
         own = samples.setdefault(row["label"], {})
         if sum(map(len, own)) < letters:
             own[row["text"]] = None
-        if len(samples) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
     return tuple((name, tuple(texts)) for name, texts in sorted(samples.items()))
 
 
