@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import materialise
+from warmtrace.llm.common import hashed_sample, materialise
 
 # The bounds of the index: vectors that the centroids are learned from, and those of one cluster.
 SAMPLE, CLUSTER = 32_768, 64
@@ -211,7 +211,7 @@ def search(vectors: DataFrame, is_query: Column, *, neighbours: int = 5, sample:
         return spark.createDataFrame([], result)
     sound = sound.where(F.size("embedding") == lengths[0]["d"])
     entries = materialise(classes(sound, neighbours + 1))
-    learned = entries.orderBy(F.xxhash64("embedding"), "entry").select("embedding").limit(sample).toPandas()
+    learned = hashed_sample(entries.select("entry", "embedding"), sample, F.xxhash64("embedding")).select("embedding").toPandas()
     shared = spark.sparkContext.broadcast(Centroids.of_sample(_matrix(learned["embedding"]), cluster))
     asked = vectors.where(is_query).select("vec_id")
     asked = materialise(sound.join(asked.select(F.col("vec_id").cast("bigint").alias("vec_id")).distinct(), "vec_id", "left_semi").distinct()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from warmtrace.llm.common import factorised, slices
+from warmtrace.llm.common import factorised, hashed_sample, slices
 
 # The bounds of what is learned from: rows of positives, and of unlabelled text.
 SAMPLE_ROWS = 15_000
@@ -205,10 +205,10 @@ def learn(measured: DataFrame, positives: DataFrame, rows: int = SAMPLE_ROWS) ->
     """Fit on at most ``rows`` rows of each sample: those with the smallest hashes of their id.
 
     ``measured`` has doc_id and features of all rows to learn from, ``positives`` the doc_id of trusted ones.
-    Rows of one id count once.
+    Rows of one id are taken or left together, but for the last ones.
     """
     def sample(df: DataFrame, seed: int) -> np.ndarray:
-        picked = df.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "features").limit(rows).select("features").collect()
+        picked = hashed_sample(df, rows, F.xxhash64(F.lit(seed), "doc_id")).select("features").collect()
         return np.array([r["features"] for r in picked], np.float32).reshape(-1, len(NAMES))
 
     named = measured.select("doc_id", "features").where("doc_id is not null")
