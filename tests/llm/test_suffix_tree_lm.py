@@ -113,3 +113,24 @@ def test_odd_rows(spark, odd, empty):
     assert lm.score(empty, model, counts).collect() == []
     model, counts = lm.learn(empty.select("text"))
     assert all(r.base_score == r.score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in lm.score(odd, model, counts).collect())
+
+
+def test_rare_and_long_contexts_are_kept_beyond_what_workers_hold(spark):
+    """The model does not depend on the bounds of what workers hold, and has contexts of three words and rare words."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(80)]
+    # Only all three words before it tell the fourth: each pair is followed by both.
+    texts += [f"{a} mid {b} {'even' if (a == 'x') == (b == 'u') else 'odd'}" for a in "xy" for b in "uv"] * 40
+    texts += ["seldom pair"] * 5
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    tests = spark.createDataFrame([(i, t) for i, t in enumerate(["x mid u even", "x mid v odd", "seldom pair", texts[0]])], "doc_id long, text string")
+    scores = []
+    for bounds in ({}, {"context_share": 2.0, "pair_share": 2.0}, {"most_words": 3}):
+        model, counts = lm.learn(df, **bounds)
+        assert model.deepest >= 3
+        scores.append({r.doc_id: (r.score, r.base_score) for r in lm.score(tests, model, counts).collect()})
+    for other in scores[1:]:
+        assert all(abs(a - b) < 1e-9 for i in other for a, b in zip(other[i], scores[0][i]))
+    # "even" is nearly sure behind "x mid u", and "pair" behind "seldom".
+    assert scores[0][0][0] > scores[0][0][1] + 3 and scores[0][2][0] > scores[0][2][1] + 2

@@ -1,21 +1,23 @@
 """Scores of texts by a probabilistic suffix tree over words.
 
-The tree starts from smoothed word probabilities.  A context of one or two words is kept where the
-words behind it differ enough from those behind its own suffix: their divergence, in bits over all
-its occurrences, must pay for the node.  A kept context has the next words seen often enough and gives
-the rest of its probability to its suffix, so every context's probabilities add up to one.  A word is
-scored in the longest kept context that ends before it.
-
-Counts cover all training texts.  What the workers hold is bounded by shares, at every size alike: a
-context has at least ``context_share`` of all tokens, so there are at most its inverse of each length,
-and a listed next word at least ``pair_share``.  Words outside the ``most_words`` most frequent are
-counted too, and meet their counts by a join.
+The tree starts from smoothed word probabilities.  A context, of any number of words and of rare words too,
+is tried when it is there at least twice, and kept where the words behind it differ enough from those
+behind its own suffix: their divergence, in bits over all its occurrences, must pay for the node.  A kept
+context has the next words that follow it at least twice and gives the rest of its probability to its
+suffix, so every context's probabilities add up to one.  A word is scored in the longest kept context that
+ends before it.
+
+Contexts and their next words are tables, made level by level.  A context is made longer while the bits
+that it leaves to one of its next words could pay for that word in a longer one.  A longer one saves at most
+these for a word, and one that pays does so by some word, so none is missed; the levels end by themselves.  Workers hold only the most frequent
+contexts and next words, bounded by shares of the tokens; all others meet the scored texts by a join, as do
+words outside the ``most_words`` most frequent.  Rare words and contexts are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,14 @@ from warmtrace.llm.common import factorised, materialise, slices
 
 ADDED = 0.1          # to every word's count
 DISCOUNT = 0.5       # from every listed next word's count
+TOTAL = 1 << 62      # in the place of a next word: all of them
+SIEVE_BITS = 27      # at most, of the bitmap that tells which keys a table surely has not
+HELD = 2_000_000     # sequences that a task counts before it sends them
 
 
 @dataclass
 class Level:
-    """Kept contexts of one length: sorted keys, the logs of what goes to the suffix, and their next words."""
+    """The frequent kept contexts of one length: sorted keys, the logs of what goes to the suffix, and their next words."""
 
     keys: np.ndarray
     back: np.ndarray
@@ -50,6 +55,9 @@ class Model:
     tokens: int
     different: int
     levels: list[Level]
+    deepest: int = 0                                # words of the longest kept context
+    sieve: np.ndarray | None = None                 # of the keys of ``rest``
+    rest: DataFrame | None = None                   # key, value: log10 factors of all contexts and next words outside ``levels``
 
     @property
     def size(self) -> int:
@@ -60,11 +68,32 @@ class Model:
         return self.tokens + ADDED * (self.different + 1)
 
 
+def _rare(word: bytes) -> int:
+    import xxhash
+
+    return -2 - (xxhash.xxh64_intdigest(word) >> 2)
+
+
+def _joined(names: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit names of sequences, each made longer by a word."""
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    return mixed(names.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(words.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))).view(np.int64)
+
+
+def _pair(contexts: np.ndarray, nexts: np.ndarray) -> np.ndarray:
+    """Names of next words in their contexts; no context has such a name."""
+    return _joined(~contexts, nexts)
+
+
 def _numbered(texts: pa.Array, words: dict[bytes, int], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Numbers of all tokens with the end after each text, -1 for other words; where texts begin; and the words."""
+    """Numbers of all tokens with the end after each text, hashes under -1 for other words; where texts begin; and the words."""
     first, codes, seen = factorised(texts)
     raw = seen.cast(pa.large_binary() if pa.types.is_large_string(seen.type) else pa.binary()).to_pylist()
-    number = np.fromiter((words.get(w, -1) for w in raw), np.int64, len(raw))
+    number = np.fromiter((words[w] if w in words else _rare(w) for w in raw), np.int64, len(raw))
     begins = first + np.arange(len(first))
     out = np.full(begins[-1], end, np.int64)
     at = np.ones(len(out), bool)
@@ -139,63 +168,128 @@ def _most_frequent(counts: DataFrame, most: int) -> int:
     return chosen
 
 
-def _pair_counts(texts: DataFrame, shared, length: int, contexts: np.ndarray, nexts: int) -> DataFrame:
-    """context (a place in ``contexts``), next, n over all texts; next words are the first ``nexts`` and the end."""
-    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """A bitmap with the low bits of all ``key``, of at most ``SIEVE_BITS``: where a bit is not set, the key is not there."""
+    bits = min(SIEVE_BITS, max(12, keys.count().bit_length() + 3))
+    low = keys.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("low"))
+    words = low.groupBy(F.shiftright("low", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(low & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys & (len(sieve) * 64 - 1)
+    return (sieve[low >> 6] >> (low & 63) & 1).astype(bool)
+
+
+def _ids(texts: DataFrame, shared) -> DataFrame:
+    """ids: the numbers and hashes of each text's words and its end, read once for all levels."""
+    def number(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for batch in source:
             for some in slices(batch):
-                numbers, begins, *_ = _numbered(some["text"], model.words, model.size - 1)
-                key = _behind(numbers, begins, 1)
-                if length == 2:
-                    far = _behind(numbers, begins, 2)
-                    key = np.where((key >= 0) & (far >= 0), far * model.size + key, -1)
-                place = _find(contexts, key)
-                # The other next words are one: their total is that of the context.
-                last = np.where((numbers >= 0) & ((numbers < nexts) | (numbers == model.size - 1)), numbers, model.size)
-                found, n = np.unique((place * (model.size + 1) + last)[place >= 0], return_counts=True)
-                held = _merge(held, found, n)
-                if len(held[0]) > 2_000_000:
-                    yield from _sent(held, model.size + 1)
-                    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        yield from _sent(held, shared.value.size + 1)
-
-    return (texts.mapInArrow(count, "context bigint, next bigint, n bigint")
-            .groupBy("context", "next").agg(F.sum("n").alias("n")))
-
-
-def _merge(held: list[np.ndarray], keys: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    both, at = np.unique(np.concatenate([held[0], keys]), return_inverse=True)
-    return [both, np.bincount(at, np.concatenate([held[1], n]), len(both)).astype(np.int64)]
-
-
-def _sent(held: list[np.ndarray], width: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(held[0]), 50_000):
-        keys, n = held[0][at:at + 50_000], held[1][at:at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(n)],
-                                         names=["context", "next", "n"])
-
-
-def _suffix_probability(model: Model, length: int, keys: np.ndarray, nexts: np.ndarray) -> np.ndarray:
-    """The probability of a next word in the longest kept suffix of each context that is shorter."""
-    p = (model.counts[nexts] + ADDED) / model.total
-    if length == 2 and model.levels:
-        level = model.levels[0]
-        place = _find(level.keys, keys % model.size)
-        pair = _find(level.pairs, np.where(place >= 0, place * model.size + nexts, -1))
-        share = np.where(pair >= 0, level.share[np.maximum(pair, 0)] if len(level.share) else 0.0, 0.0)
-        back = 10 ** (level.back[np.maximum(place, 0)] if len(level.back) else np.zeros(len(place)))
-        p = np.where(place >= 0, share + back * p, p)
-    return p
+                ids, begins, *_ = _numbered(some["text"], model.words, model.size - 1)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))], names=["ids"])
+
+    return texts.mapInArrow(number, "ids array<bigint>")
+
+
+def _sequences(texts: DataFrame, sieve, length: int) -> DataFrame:
+    """suffix, far, next, n: contexts ``far`` + ``suffix`` of ``length`` words, seen twice or more, with each next word
+    and with ``TOTAL``; without those that the sieve of longer contexts worth trying holds back."""
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in source:
+            for at in range(0, len(batch), 512):
+                some = batch["ids"].slice(at, 512)
+                ids = some.flatten().to_numpy()
+                begins = np.concatenate([[0], np.cumsum(pc.list_value_length(some).to_numpy())])
+                suffix, far = _context(ids, begins, length - 1), _behind(ids, begins, length)
+                there = far != -1
+                if length > 1:
+                    there &= _passes(sieve.value, suffix)
+                suffix, far, nexts = suffix[there], far[there], ids[there]
+                # A next word that its suffix does not list is no listed one here.
+                listed = _passes(sieve.value, _pair(suffix, nexts)) if length > 1 else np.ones(len(nexts), bool)
+                held.append(_counted(np.stack([suffix, far, np.full(len(far), TOTAL), np.ones(len(far), np.int64)])))
+                held.append(_counted(np.stack([suffix, far, nexts, np.ones(len(far), np.int64)])[:, listed]))
+                if sum(x.shape[1] for x in held) > HELD:
+                    yield from _sent(_counted(np.concatenate(held, axis=1)))
+                    held = []
+        if held:
+            yield from _sent(_counted(np.concatenate(held, axis=1)))
+
+    return (texts.mapInArrow(count, "suffix bigint, far bigint, next bigint, n bigint")
+            .groupBy("suffix", "far", "next").agg(F.sum("n").alias("n")).where("n >= 2"))
+
+
+def _context(ids: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
+    """The name of the ``length`` words before each token; it has no meaning where the text has fewer."""
+    name = np.zeros(len(ids), np.int64)
+    for k in range(1, length + 1):
+        name = _joined(name, _behind(ids, begins, k))
+    return name
+
+
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """Equal columns of suffix, far and next once, their n added up."""
+    _, first, at = np.unique(_pair(_joined(rows[0], rows[1]), rows[2]), return_index=True, return_inverse=True)
+    out = rows[:, first]
+    out[3] = np.bincount(at, rows[3], len(first)).astype(np.int64)
+    return out
+
+
+def _sent(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows.shape[1], 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 50_000]) for x in rows], names=["suffix", "far", "next", "n"])
+
+
+def _named(found: DataFrame, shared, length: int) -> DataFrame:
+    """The columns of ``found`` and the names context, pair and under (the pair of the suffix), and ``number``: the
+    key of the context in a ``Level``, -1 where a word is rare or the context is longer than two words."""
+    def name(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        one = _joined(np.zeros(model.size - 1, np.int64), np.arange(model.size - 1))
+        order = np.argsort(one)
+        for batch in source:
+            suffix, far, nexts = (batch[c].to_numpy() for c in ("suffix", "far", "next"))
+            context = _joined(suffix, far)
+            if length == 1:
+                number = np.maximum(far, -1)
+            elif length == 2:
+                place = _find(one[order], suffix)
+                number = np.where((place >= 0) & (far >= 0), far * model.size + order[place] if len(order) else -1, -1)
+            else:
+                number = np.full(len(far), -1)
+            under = nexts if length == 1 else _pair(suffix, nexts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (context, _pair(context, nexts), under, number))],
+                                             names=[*batch.schema.names, "context", "pair", "under", "number"])
+
+    return found.mapInArrow(name, "suffix bigint, far bigint, next bigint, n bigint, context bigint, pair bigint, under bigint, number bigint")
+
+
+def _base(counts: DataFrame, shared, ends: int) -> DataFrame:
+    """pair, p: the smoothed probability of each word's number or hash, and of the end."""
+    def number(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.words
+        for batch in source:
+            ids = np.fromiter((words[w] if w in words else _rare(w) for w in batch["word"].to_pylist()), np.int64, len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch["n"]], names=["pair", "n"])
+
+    model = shared.value
+    end = counts.sparkSession.createDataFrame([(model.size - 1, ends)], "pair bigint, n bigint")
+    return counts.mapInArrow(number, "pair bigint, n bigint").unionByName(end).select(
+        "pair", ((F.col("n") + F.lit(ADDED)) / F.lit(model.total)).alias("p"))
 
 
 def learn(training: DataFrame, *, most_words: int = 200_000, context_share: float = 1e-4, pair_share: float = 4e-6,
-          next_share: float = 2e-5, depth: int = 2, price: float = 2.0) -> tuple[Model, DataFrame]:
+          depth: int = 2, price: float = 2.0) -> tuple[Model, DataFrame]:
     """The model, and the table word, n of all words of ``training.text``.
 
     A context is kept when its divergence from its suffix, times its occurrences, is over ``price``
-    times the bits of the token count for each listed next word.
+    times the bits of the token count for each listed next word.  ``most_words``, the shares (of all tokens) and
+    ``depth`` bound what the workers hold, not what is counted and kept.
     """
     spark = training.sparkSession
     texts = training.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -208,44 +302,70 @@ def learn(training: DataFrame, *, most_words: int = 200_000, context_share: floa
     frequent.sort(key=lambda r: (-r[1], r[0]))
     model = Model({w: i for i, (w, _) in enumerate(frequent)},
                   np.array([n for _, n in frequent] + [ends], np.int64), tokens, different, [])
-    words = model.counts[:-1]
-    nexts = int((words >= max(2, next_share * tokens)).sum())
-    contexts = np.arange(int((words >= max(2, context_share * tokens)).sum()), dtype=np.int64)
-    for length in range(1, depth + 1):
-        if not len(contexts):
+    shared = spark.sparkContext.broadcast(model)
+    ids = materialise(_ids(texts, shared))
+    bits = price * float(np.log2(max(tokens, 2)))
+    before, sieve, rest, levels, deepest, length = materialise(_base(counts, shared, ends)), None, [], [], 0, 0
+    while True:
+        length += 1
+        found = materialise(_named(_sequences(ids, sieve, length), shared, length))
+        contexts, pairs = _level(found, before, bits)
+        most_frequent = F.lit(length <= depth) & (F.col("number") >= 0) & (F.col("total") >= max(2, context_share * tokens))
+        listed_there = most_frequent & (F.col("next") >= 0) & (F.col("n") >= max(2, pair_share * tokens))
+        kept = contexts.where("kept")
+        deepest = length if not kept.isEmpty() else deepest
+        if length <= depth:
+            levels.append(_held(model, kept.where(most_frequent), pairs.where("kept").where(listed_there)))
+        rest.append(kept.where(~most_frequent).select(F.col("context").alias("key"), F.log10("left").alias("value")))
+        rest.append(pairs.where("kept").where(~listed_there).select(
+            F.col("pair").alias("key"), (F.log10(F.col("p") / F.col("suffix_p")) - F.log10("left")).alias("value")))
+        longer = pairs.where("longer")
+        if longer.isEmpty():
             break
-        shared = spark.sparkContext.broadcast(model)
-        found = materialise(_pair_counts(texts, shared, length, contexts, nexts))
-        often = found.groupBy("context").agg(F.sum("n").alias("total")).orderBy("context").toPandas()
-        listed = found.where((F.col("next") <= model.size - 1) & (F.col("n") >= max(2, pair_share * tokens))).toPandas()
-        shared.unpersist()
-        level, seeds = _kept(model, length, contexts, often, listed, context_share, price)
-        model.levels.append(level)
-        contexts = seeds
-    return model, counts
-
-
-def _kept(model: Model, length: int, contexts: np.ndarray, often, listed, context_share: float, price: float):
-    """The contexts of a length that pay, and the candidates of the next length: pairs seen often enough."""
-    total = np.zeros(len(contexts))
-    total[often["context"].to_numpy(np.int64)] = often["total"].to_numpy(float)
-    place, nexts = listed["context"].to_numpy(np.int64), listed["next"].to_numpy(np.int64)
-    n = listed["n"].to_numpy(float)
-    suffix = _suffix_probability(model, length, contexts[place], nexts)
-    share = (n - DISCOUNT) / total[place]
-    left = np.maximum(1 - np.bincount(place, share, len(contexts)), 1e-9)
-    own = share + left[place] * suffix
-    rest = np.maximum(total - np.bincount(place, n, len(contexts)), 0)
-    gain = np.bincount(place, n * np.log2(own / suffix), len(contexts)) + rest * np.log2(left)
-    paid = gain > price * np.log2(max(model.tokens, 2)) * np.bincount(place, minlength=len(contexts)).clip(1)
-    # A pair whose second word is followed often enough is a context of two words to be tried.
-    often_enough = (n >= max(2, context_share * model.tokens)) & (nexts < model.size - 1)
-    seeds = np.unique(contexts[place][often_enough] * model.size + nexts[often_enough]) if length == 1 else np.zeros(0, np.int64)
-    number = np.cumsum(paid) - 1
-    keep = paid[place]
-    pairs = number[place[keep]] * model.size + nexts[keep]
-    order = np.argsort(pairs)
-    return Level(contexts[paid], np.log10(left[paid]), pairs[order], share[keep][order]), seeds
+        before = longer.select("pair", "p")
+        tried = longer.select(F.col("pair").alias("key")).unionByName(contexts.where("longer").select(F.col("context").alias("key")))
+        if sieve is not None:
+            sieve.destroy()
+        sieve = spark.sparkContext.broadcast(_sieve(tried))
+    every = rest[0]
+    for some in rest[1:]:
+        every = every.unionByName(some)
+    if sieve is not None:
+        sieve.destroy()
+    shared.destroy()
+    return replace(model, levels=levels, deepest=deepest, sieve=_sieve(every), rest=every), counts
+
+
+def _level(found: DataFrame, before: DataFrame, bits: float) -> tuple[DataFrame, DataFrame]:
+    """The contexts of one length, and their listed next words with their probabilities; both tell whether the
+    context is kept, and whether a longer one could pay.  ``before`` has the probabilities of one word less."""
+    total = F.col("total")
+    listed = materialise(found.where(F.col("next") != TOTAL).join(before.select(F.col("pair").alias("under"), F.col("p").alias("suffix_p")), "under")
+                         .select("context", "pair", "next", "n", "suffix_p"))
+    sums = listed.groupBy("context").agg(F.sum("n").alias("times"), F.count("*").alias("words"))
+    whole = (found.where(F.col("next") == TOTAL).select("context", "number", F.col("n").alias("total")).join(sums, "context")
+             .withColumn("left", F.greatest(1 - (F.col("times") - DISCOUNT * F.col("words")) / total, F.lit(1e-9))))
+    own = (F.col("n") - F.lit(DISCOUNT)) / total + F.col("left") * F.col("suffix_p")
+    joined = listed.join(whole, "context").withColumn("own", own)
+    costs = joined.groupBy("context").agg(
+        F.sum(F.col("n") * F.log2(F.col("own") / F.col("suffix_p"))).alias("saved"),
+        F.max(-F.col("n") * F.log2("own")).alias("own_bits"), F.max(-F.col("n") * F.log2("suffix_p")).alias("suffix_bits"))
+    gain = F.col("saved") + (total - F.col("times")) * F.log2("left")
+    contexts = materialise(whole.join(costs, "context").withColumn("kept", gain > bits * F.col("words")).withColumn(
+        "longer", F.when(F.col("kept"), F.col("own_bits")).otherwise(F.col("suffix_bits")) > bits)
+        .where("kept or longer").select("context", "number", "total", "left", "kept", "longer"))
+    pairs = listed.join(contexts, "context").withColumn("p", F.when(F.col("kept"), own).otherwise(F.col("suffix_p")))
+    return contexts, materialise(pairs)
+
+
+def _held(model: Model, contexts: DataFrame, pairs: DataFrame) -> Level:
+    """The frequent part of a level, for the workers."""
+    kept = contexts.select("number", "left").orderBy("number").toArrow()
+    keys = kept["number"].to_numpy()
+    rows = pairs.select("number", "next", ((F.col("n") - F.lit(DISCOUNT)) / F.col("total")).alias("share")).toArrow()
+    keyed = _find(keys, rows["number"].to_numpy()) * model.size + rows["next"].to_numpy()
+    order = np.argsort(keyed)
+    return Level(keys, np.log10(kept["left"].to_numpy()), keyed[order], rows["share"].to_numpy()[order])
 
 
 def _gains(model: Model, numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -261,6 +381,23 @@ def _gains(model: Model, numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.log10(p / plain)
 
 
+def _keys(model: Model, numbers: np.ndarray, begins: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length texts, keys of contexts and of next words that ``rest`` may have, and how often."""
+    name, there = np.zeros(len(numbers), np.int64), np.ones(len(numbers), bool)
+    for length in range(1, model.deepest + 1):
+        word = _behind(numbers, begins, length)
+        there &= word != -1
+        name = _joined(name, word)
+        keys = np.concatenate([name[there], _pair(name[there], numbers[there])])
+        of = np.concatenate([text[there], text[there]])
+        asked = _passes(model.sieve, keys)
+        keys, of = keys[asked], of[asked]
+        order = np.lexsort((keys, of))
+        keys, of = keys[order], of[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]))
+        yield of[first], keys[first], np.diff(np.append(first, len(keys)))
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """The columns of ``docs`` but ``text``, and n_tokens, n_known, train_tokens, base_score, score.
 
@@ -271,11 +408,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in docs.columns if c not in [*made, "text"]]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [*kept, "_row", "n_tokens", "n_known", "_base", "_gain", "_word", "_times", "_key"]
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
     plain = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Rows of rare words have nulls in the other columns.
+    # Rows of rare words, and of keys that the table of contexts may have, have nulls in the other columns.
     schema = (StructType([StructField(f.name, f.dataType) for f in docs.select(*kept).schema]).add("_row", "long").add("n_tokens", "long").add("n_known", "long")
-              .add("_base", "double").add("_gain", "double").add("_word", "binary").add("_times", "long"))
+              .add("_base", "double").add("_gain", "double").add("_word", "binary").add("_times", "long").add("_key", "long"))
 
     def scored(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -296,8 +434,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [*[some[c] for c in kept], rows, pa.array(np.diff(begins)),
              pa.array(np.bincount(text, n_known, texts).astype(np.int64)), pa.array(np.bincount(text, logs, texts)),
-             pa.array(np.bincount(text, _gains(model, numbers, begins), texts)), pa.nulls(texts, pa.binary()), none],
-            names=[*kept, "_row", "n_tokens", "n_known", "_base", "_gain", "_word", "_times"])
+             pa.array(np.bincount(text, _gains(model, numbers, begins), texts)), pa.nulls(texts, pa.binary()), none, none],
+            names=names)
         # Rare words: one row for each text and word.
         at = np.ones(len(numbers), bool)
         at[begins[1:] - 1] = False
@@ -308,8 +446,16 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*[pa.nulls(len(of), some.schema.field(c).type) for c in kept], pa.array(row + of),
                  *[pa.nulls(len(of), pa.int64())] * 2, *[pa.nulls(len(of), pa.float64())] * 2,
-                 pc.take(seen, pa.array(word)).cast(pa.binary()), pa.array(times[begin:begin + 50_000])],
-                names=[*kept, "_row", "n_tokens", "n_known", "_base", "_gain", "_word", "_times"])
+                 pc.take(seen, pa.array(word)).cast(pa.binary()), pa.array(times[begin:begin + 50_000]), pa.nulls(len(of), pa.int64())],
+                names=names)
+        # Contexts and next words that the workers do not hold: one row for each text and key.
+        for of, key, times in _keys(model, numbers, begins, text):
+            for begin in range(0, len(of), 50_000):
+                some_of = of[begin:begin + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.nulls(len(some_of), some.schema.field(c).type) for c in kept], pa.array(row + some_of),
+                     *[pa.nulls(len(some_of), pa.int64())] * 2, *[pa.nulls(len(some_of), pa.float64())] * 2, pa.nulls(len(some_of), pa.binary()),
+                     pa.array(times[begin:begin + 50_000]), pa.array(key[begin:begin + 50_000])], names=names)
 
     rows = materialise(plain.mapInArrow(scored, schema))
     rare = rows.where("_word is not null").select("_row", F.col("_word").alias("word"), "_times")
@@ -318,7 +464,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     more = met.groupBy("_row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("_times")).otherwise(0)).alias("_known"),
         F.sum(F.col("_times") * F.log10(F.col("n") + F.lit(ADDED))).alias("_more"))
+    asked = rows.where("_key is not null").select("_row", F.col("_key").alias("key"), "_times")
+    added = asked.join(model.rest, "key").groupBy("_row").agg(F.sum(F.col("_times") * F.col("value")).alias("_added"))
     base = F.col("_base") + F.coalesce("_more", F.lit(0.0))
-    return rows.where("_word is null").join(more, "_row", "left").select(
+    return rows.where("_word is null and _key is null").join(more, "_row", "left").join(added, "_row", "left").select(
         *kept, "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), (base + F.col("_gain")).alias("score"))
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), (base + F.col("_gain") + F.coalesce("_added", F.lit(0.0))).alias("score"))
