@@ -136,7 +136,7 @@ COLLOCATIONS_SQL = """
     words AS (SELECT lang, piece, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM listed),
     runs AS (SELECT lang, w, w || ' ' || lead(w) OVER p AS two, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS three
         FROM words WINDOW p AS (PARTITION BY piece ORDER BY i)),
-    counted AS (SELECT lang, w AS phrase, 1 AS k, count(*) AS a FROM runs GROUP BY lang, w
+    counted AS MATERIALIZED (SELECT lang, w AS phrase, 1 AS k, count(*) AS a FROM runs GROUP BY lang, w
         UNION ALL SELECT lang, two, 2, count(*) FROM runs WHERE two IS NOT NULL GROUP BY lang, two
         UNION ALL SELECT lang, three, 3, count(*) FROM runs WHERE three IS NOT NULL GROUP BY lang, three),
     totals AS (SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
@@ -144,8 +144,8 @@ COLLOCATIONS_SQL = """
     inner_ones AS (SELECT lang, unnest([words[1] || ' ' || words[2], words[2] || ' ' || words[3]]) AS phrase, a FROM several WHERE k = 3),
     longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ones GROUP BY ALL),
     kept AS (SELECT several.* FROM several LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * longer < 50 * a, true)),
-    cuts AS (SELECT lang, phrase, a, cut, array_to_string(words[1:cut], ' ') AS left_part, array_to_string(words[cut + 1:], ' ') AS right_part
-        FROM kept, unnest(range(1, k)) AS t(cut)),
+    cuts AS (SELECT lang, phrase, a, 1 AS cut, words[1] AS left_part, array_to_string(words[2:], ' ') AS right_part FROM kept
+        UNION ALL SELECT lang, phrase, a, 2, words[1] || ' ' || words[2], words[3] FROM kept WHERE k = 3),
     scored AS (SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
         FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.left_part JOIN counted y ON y.lang = c.lang AND y.phrase = c.right_part),
     best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
