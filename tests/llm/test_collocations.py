@@ -56,16 +56,21 @@ def test_equals_brute_force(spark, burst, held):
 
 
 def test_counts_equal_brute_force_when_numbers_begin_anew(spark, monkeypatch):
-    counter = co.Counter(3, 20, 3)
+    counter = co.Counter(3, 20, 3, 4)
     monkeypatch.setattr(co, "WORDS", 6)
     rows, got = some_rows(7), Counter()
+
+    def note(batch):
+        for row in batch.to_pylist():
+            for r in co._opened(row).to_pylist():
+                got[row["lang"], r["phrase"]] += r["n"]
+
     for at in range(0, len(rows), 10):
         some = rows[at:at + 10]
         for batch in counter.add(pa.array([r[2] or "und" for r in some]), pa.array([r[1] for r in some])):
-            got.update({(r["lang"], r["phrase"]): r["n"] for r in batch.to_pylist()})
+            note(batch)
     for batch in counter.ended():
-        for r in batch.to_pylist():
-            got[r["lang"], r["phrase"]] += r["n"]
+        note(batch)
     want = {(lang, " ".join(p)): n for lang, f in counted(rows).items() for p, n in f.items()}
     assert {k: n for k, n in got.items() if k[1]} == want
 
@@ -88,6 +93,20 @@ def test_trie_bursts_between_prefixes_and_spills_whole_subtrees():
     assert not left & {k >> co.BITS for k in taken[0].tolist()}
 
 
+def test_runs_merge_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(co, "MERGED", 3)
+    rows, out = some_rows(5), []
+    counter = co.Counter(4, 50, 3, 2)
+    for at in range(0, len(rows), 5):
+        out += counter.add(pa.array(["en"] * 5), pa.array([r[1] for r in rows[at:at + 5]]))
+    out += counter.ended()
+    runs = pa.Table.from_batches(out).sort_by([("part", "ascending"), ("lang", "ascending")])
+    got = [r for b in co._merged(iter(runs.to_batches(max_chunksize=3)), 2) for r in b.to_pylist()]
+    f = counted([(0, r[1], "en") for r in rows])["en"]
+    assert {r["phrase"]: r["n"] for r in got if r["phrase"]} == {" ".join(p): n for p, n in f.items() if n >= 2}
+    assert len({r["phrase"] for r in got}) == len(got)
+
+
 def test_large_numbers_are_exact(spark, monkeypatch):
     """Counts whose products pass 64 bits."""
     big = 3_000_000_017

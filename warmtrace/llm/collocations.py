@@ -3,8 +3,9 @@
 A task counts the phrases of one to three words in a trie over word numbers.  The trie is shallow: its leaves are hash
 containers, each for a range of prefixes.  A container that grows too large bursts into two, between two first words
 or else between two second words of one.  A trie that grows too large spills its largest containers, which are whole
-subtrees, as runs sorted by words.  Spark deals the runs by the first two words and merges them, so that a frequent
-first word is spread over many tasks and a phrase arrives once from each spill, however often it is there.
+subtrees, as runs sorted by words.  A run is cut by its phrases' first two words into prefix partitions, each one row of
+compressed text; Spark brings the rows of a partition together and a task merges them, one partition after the other.
+So a frequent first word is spread over many tasks, and a phrase arrives once from each spill, however often it is there.
 
 Phrases seen ``least`` times or more are a table; what scores and drops them are joins of that table with itself, whose
 keys are met once on one side.
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import materialise, slices
+from warmtrace.llm.common import batches, materialise, slices
 
 BITS = 21                    # of a word's number in a packed phrase; 0 is no word
 BURST = 32_768               # different phrases in a container
@@ -32,7 +33,11 @@ CLASS[[0x20, 0x09]] = 1
 CLASS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
-RUN = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+MERGED = 2_000_000           # rows of a prefix partition that are added up at once
+PARTS = 8                    # prefix partitions for each of Spark's shuffle partitions
+RUN = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary()), ("size", pa.int64()), ("rows", pa.int64())])
+RUN_DDL = "part int, lang string, phrases binary, counts binary, size bigint, rows bigint"
+COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 class HatTrie:
@@ -123,8 +128,8 @@ def words_in_pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray,
 class Counter:
     """The tries of a task, one for each language, over the same words."""
 
-    def __init__(self, burst: int, held: int, most_words: int):
-        self.burst, self.held, self.most_words = burst, held, most_words
+    def __init__(self, burst: int, held: int, most_words: int, parts: int):
+        self.burst, self.held, self.most_words, self.parts = burst, held, most_words, parts
         self.tries: dict[str, HatTrie] = {}
         self.numbers: dict[str, int] = {}
         self.total: dict[str, int] = {}
@@ -162,39 +167,92 @@ class Counter:
             keys, counts = trie.spill(most * trie.size // total)
             if len(keys):
                 words = pa.array(self.numbers, pa.string()) if words is None else words
-                yield from _run(lang, keys, counts, words)
+                yield from _run(lang, keys, counts, words, self.parts)
         if not most:
             self.tries = {}
 
     def ended(self) -> Iterator[pa.RecordBatch]:
         yield from self.spilled(0)
-        if self.total:
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(self.total)), pa.array(list(self.total), pa.string()), pa.array([""] * len(self.total)),
-                                              pa.array(list(self.total.values()))], schema=RUN)
+        for lang, n in self.total.items():
+            yield from _rows(lang, pa.array([""]), np.array([n]), np.zeros(1, np.uint16))
 
 
-def _run(lang: str, keys: np.ndarray, counts: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Packed phrases as rows in the order of their words; ``part`` names the first two words."""
+def _run(lang: str, keys: np.ndarray, counts: np.ndarray, words: pa.Array, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed phrases by prefix partition, in the order of their words."""
     import xxhash
 
-    parts = [keys >> 2 * BITS, keys >> BITS & (1 << BITS) - 1, keys & (1 << BITS) - 1]
-    used = np.unique(np.concatenate(parts))
-    used = used[used > 0]
+    mask = (1 << BITS) - 1
+    split = [keys >> 2 * BITS, keys >> BITS & mask, keys & mask]
+    there = np.zeros(len(words) + 1, bool)
+    for w in split:
+        there[w] = True
+    used = np.flatnonzero(there[1:]) + 1
     some = words.take(pa.array(used - 1))
     order = pc.sort_indices(some).to_numpy()
-    rank = np.zeros(int(used[-1]) + 1, np.int64)
+    rank = np.zeros(len(words) + 1, np.int64)
     rank[used[order]] = np.arange(1, len(used) + 1)
     some = pa.concat_arrays([pa.array([None], pa.string()), some.take(pa.array(order))])
-    names = np.fromiter((xxhash.xxh64_intdigest(w or "") >> 1 for w in some.to_pylist()), np.int64, len(some))
-    ranks = [rank[p] for p in parts]
-    order = np.lexsort(ranks[::-1])
-    ranks = [r[order] for r in ranks]
-    for at in range(0, len(order), 50_000):
-        w = [r[at:at + 50_000] for r in ranks]
-        phrase = pc.binary_join_element_wise(*[some.take(pa.array(r)) for r in w], " ", null_handling="skip")
-        part = names[w[0]] ^ np.where(w[1] > 0, names[w[1]] * 31, 0)
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([lang] * len(phrase), pa.string()), phrase,
-                                          pa.array(counts[order[at:at + 50_000]])], schema=RUN)
+    names = np.fromiter((xxhash.xxh64_intdigest(w or "") >> 2 for w in some.to_pylist()), np.int64, len(some))
+    ranks = rank[split[0]] << 2 * BITS | rank[split[1]] << BITS | rank[split[2]]
+    order = np.argsort(ranks)
+    ranks = ranks[order]
+    first, second = ranks >> 2 * BITS, ranks >> BITS & mask
+    part = ((names[first] ^ np.where(second > 0, names[second] >> 1, 0)) % parts).astype(np.uint16)
+    dealt = np.argsort(part, kind="stable")
+    ranks, part = ranks[dealt], part[dealt]
+    phrases = pc.binary_join_element_wise(*[some.take(pa.array(r)) for r in (ranks >> 2 * BITS, ranks >> BITS & mask, ranks & mask)],
+                                          " ", null_handling="skip")
+    yield from _rows(lang, phrases, counts[order[dealt]], part)
+
+
+def _rows(lang: str, phrases: pa.Array, counts: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each partition: its phrases, a line each, and their counts, both compressed."""
+    lines = pc.binary_join_element_wise(phrases, "", "\n").cast(pa.large_string())
+    ends = np.frombuffer(lines.buffers()[1], np.int64)[:len(lines) + 1]
+    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+    rows = []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        text = lines.buffers()[2].slice(int(ends[a]), int(ends[b] - ends[a]))
+        rows.append((int(part[a]), lang, pa.compress(text, "zstd", asbytes=True),
+                     pa.compress(counts[a:b].astype("<i8").tobytes(), "zstd", asbytes=True), text.size, b - a))
+    yield from batches(iter(rows), RUN, weight=lambda r: len(r[2]))
+
+
+def _opened(row: dict) -> pa.Table:
+    """phrase, n of one row of a run."""
+    raw = np.frombuffer(pa.decompress(row["phrases"], row["size"], "zstd"), np.uint8)
+    line = raw == 10
+    ends = np.flatnonzero(line)
+    offsets = np.append(0, ends - np.arange(len(ends))).astype(np.int64)
+    phrases = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(raw[~line]))
+    return pa.table({"phrase": phrases, "n": np.frombuffer(pa.decompress(row["counts"], 8 * row["rows"], "zstd"), "<i8")})
+
+
+def _merged(source: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The counts of every partition and language, whose rows come one behind the other."""
+    def added(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("phrase").aggregate([("n", "sum")]).rename_columns(["phrase", "n"])
+
+    def ended(key, held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        whole = added(held) if held else pa.table({"phrase": pa.array([], pa.large_string()), "n": pa.array([], pa.int64())})
+        whole = whole.filter(pc.or_(pc.greater_equal(whole["n"], least), pc.equal(whole["phrase"], "")))
+        for some in whole.to_batches(max_chunksize=50_000):
+            yield pa.RecordBatch.from_arrays([pa.array([key[1]] * len(some), pa.string()), some["phrase"].cast(pa.string()), some["n"]], schema=COUNT)
+
+    key, held, rows = None, [], 0
+    for batch in source:
+        for at in range(len(batch)):
+            row = batch.slice(at, 1).to_pylist()[0]
+            if (row["part"], row["lang"]) != key:
+                yield from ended(key, held)
+                key, held, rows = (row["part"], row["lang"]), [], 0
+            held.append(_opened(row))
+            rows += len(held[-1])
+            if rows > MERGED:
+                held = [added(held)]
+                # What is different stays; the next time is when as much again has come.
+                rows = 0
+    yield from ended(key, held)
 
 
 def phrase_counts(docs: DataFrame, *, least: int = 1, most_words: int = 3, burst: int = BURST, held: int = HELD,
@@ -207,8 +265,11 @@ def phrase_counts(docs: DataFrame, *, least: int = 1, most_words: int = 3, burst
     if most_words not in (2, 3):
         raise ValueError("most_words is 2 or 3")
 
+    spark = docs.sparkSession
+    parts = min(1 << 16, PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(burst, held, most_words)
+        counter = Counter(burst, held, most_words, parts)
         for batch in source:
             for some in slices(batch, size=1 << 20):
                 yield from counter.add(some["lang"], some["text"])
@@ -216,9 +277,8 @@ def phrase_counts(docs: DataFrame, *, least: int = 1, most_words: int = 3, burst
 
     plain = docs.select(F.coalesce(F.col(f"`{lang_column}`").cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
-    runs = plain.mapInArrow(count, "part bigint, lang string, phrase string, n bigint").repartition("part")
-    return (runs.groupBy("part", "lang", "phrase").agg(F.sum("n").alias("n"))
-            .where((F.col("n") >= least) | (F.col("phrase") == "")).drop("part"))
+    runs = plain.mapInArrow(count, RUN_DDL).repartition("part").sortWithinPartitions("part", "lang")
+    return runs.mapInArrow(lambda source: _merged(source, least), "lang string, phrase string, n bigint")
 
 
 def collocations(docs: DataFrame, *, least: int = 10, share: int = 50, top: int = 2000, most_words: int = 3, **options) -> DataFrame:
