@@ -18,7 +18,9 @@ def odd(spark):
     # Names that operators use inside.
     from pyspark.sql import functions as F
     return df.withColumns({"words": F.lit(1), "spans": F.lit("s"), "score": F.lit("x"), "features": F.lit(2), "fingerprint": F.lit("f"),
-                           "start": F.lit(1), "n": F.lit(1), "class": F.lit("c"), "item_id": F.lit(0), "license": F.lit("l")})
+                           "start": F.lit(1), "n": F.lit(1), "class": F.lit("c"), "item_id": F.lit(0), "license": F.lit("l"),
+                           **{f"_{n}": F.lit(f"own {n}") for n in ("kinds", "leaked", "read", "path", "id", "text", "kept", "kept_id", "kept_text",
+                                                                   "row", "base", "gain", "word", "times", "key", "found", "tested", "hash")}})
 
 
 @pytest.fixture(scope="session")

@@ -20,27 +20,50 @@ def brute_base(training, text):
     return sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(text)), sum(counts[t] > 0 for t in tokens(text))
 
 
-def brute_score(model, text):
-    """Word by word: the longest kept context first, what it leaves goes to its suffix."""
-    number = [model.words.get(t, -1) if t is not None else model.size - 1 for t in tokens(text)]
-
-    def p(at, length):
-        if length == 0:
-            c = model.counts[number[at]] if number[at] >= 0 else None
-            return None if c is None else (c + lm.ADDED) / model.total
-        before = number[max(0, at - length):at]
-        key = -1
-        if len(before) == length and min(before) >= 0:
-            key = before[0] if length == 1 else before[0] * model.size + before[1]
-        level = model.levels[length - 1]
-        place = np.flatnonzero(level.keys == key)
-        if not len(place):
-            return p(at, length - 1)
-        pair = np.flatnonzero(level.pairs == place[0] * model.size + number[at]) if number[at] >= 0 else []
-        shorter = p(at, length - 1)
-        return None if shorter is None else (level.share[pair[0]] if len(pair) else 0.0) + 10 ** level.back[place[0]] * shorter
-
-    return [p(k, len(model.levels)) for k in range(len(number))]
+class Brute:
+    """The tree from its definition: which contexts must be kept, and what each makes of a next word."""
+
+    def __init__(self, training, depth=4, price=2.0):
+        self.texts = [tokens(t) for t in training]
+        self.counts = Counter(t for x in self.texts for t in x)
+        self.n, self.depth = sum(self.counts.values()), depth
+        bits = price * math.log2(max(self.n, 2))
+        self.kept, before = {}, {(t,): self.base(t) for t in self.counts}
+        for length in range(1, depth + 1):
+            follow = {}
+            for x in self.texts:
+                for i in range(length, len(x)):
+                    follow.setdefault(tuple(x[i - length:i]), Counter())[x[i]] += 1
+            after = {}
+            for context, nexts in follow.items():
+                total = sum(nexts.values())
+                listed = {t: (n, before[context[1:] + (t,)]) for t, n in nexts.items() if n > 1 and context[1:] + (t,) in before}
+                if not listed:
+                    continue
+                left = max(1 - sum(n - 0.5 for n, _ in listed.values()) / total, 1e-9)
+                own = {t: (n - 0.5) / total + left * q for t, (n, q) in listed.items()}
+                gain = sum(n * math.log2(own[t] / q) for t, (n, q) in listed.items()) + (total - sum(n for n, _ in listed.values())) * math.log2(left)
+                kept = gain > bits * len(listed)
+                p = own if kept else {t: q for t, (_, q) in listed.items()}
+                if kept:
+                    self.kept[context] = left, own
+                if max(-n * math.log2(p[t]) for t, (n, _) in listed.items()) > bits:
+                    after.update({context + (t,): p[t] for t in listed})
+            before = after
+
+    def base(self, t):
+        return (self.counts[t] + 0.1) / (self.n + 0.1 * (len(self.counts) + 1))
+
+    def p(self, context, t):
+        """The longest kept context first; what it does not list is shared as its suffix has it."""
+        if not context:
+            return self.base(t)
+        left, own = self.kept.get(context, (1.0, {}))
+        return own[t] if t in own else left * self.p(context[1:], t)
+
+    def score(self, text):
+        x = tokens(text)
+        return sum(math.log10(self.p(tuple(x[max(0, i - self.depth):i]), t)) for i, t in enumerate(x))
 
 
 def corpus(rng, n):
@@ -67,28 +90,53 @@ def learned(spark):
 
 def test_scores_equal_brute_force(spark, learned):
     texts, model, counts = learned
-    assert len(model.levels[0].keys) >= 4
+    brute = Brute(texts)
+    assert len(brute.kept) >= 4
     tests = corpus(random.Random(8), 10) + ["der unseen Hund", "", None, "YORK york\tcity", "der"]
     rows = lm.score(spark.createDataFrame([(i, t) for i, t in enumerate(tests)], "doc_id long, text string"), model, counts).collect()
     for r in rows:
         base, known = brute_base(texts, tests[r.doc_id])
         assert abs(r.base_score - base) < 1e-9 and r.n_known == known and r.n_tokens == len(tokens(tests[r.doc_id]))
         assert r.train_tokens == sum(len(tokens(t)) for t in texts)
-        by_token = brute_score(model, tests[r.doc_id])
-        if None not in by_token:
-            assert abs(r.score - sum(map(math.log10, by_token))) < 1e-9
+        assert abs(r.score - brute.score(tests[r.doc_id])) < 1e-9
     held = [r for r in rows if r.doc_id < 10]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 50
 
 
 def test_every_context_adds_up_to_one(learned):
-    _, model, _ = learned
-    plain = (model.counts + lm.ADDED) / model.total
-    assert abs(plain.sum() + lm.ADDED / model.total - 1) < 1e-12
-    for level in model.levels:
-        for k in range(len(level.keys)):
-            listed = level.share[level.pairs // model.size == k].sum()
-            assert abs(listed + 10 ** level.back[k] - 1) < 1e-9
+    brute = Brute(learned[0])
+    words = [*brute.counts, b"never seen"]
+    for context in [(), *brute.kept]:
+        assert abs(sum(brute.p(context, t) for t in words) - 1) < 1e-9
+
+
+def test_long_repeats_end_with_the_memory_of_the_tree(spark, monkeypatch):
+    """A text of 3,000 words three times over: a pass for each length up to the depth, and the kept contexts of the definition."""
+    rng, passes = random.Random(9), []
+    words = [f"w{i}" for i in range(300)]
+    long = " ".join(rng.choice(words) for _ in range(3000))
+    texts = [f"a {long}", f"b {long}", f"c {long} d", "w1 w2", "w2 w1"]
+    level = lm._level
+    monkeypatch.setattr(lm, "_level", lambda *a: passes.append(a) or level(*a))
+    model, counts = lm.learn(spark.createDataFrame([(t,) for t in texts], "text string"), depth=6, price=0.1)
+    brute = Brute(texts, depth=6, price=0.1)
+    assert len(passes) <= 6 and max(map(len, brute.kept)) >= 2
+    tests = [texts[0], " ".join(long.split()[500:700]), "w1 w2 w3"]
+    for r in lm.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model, counts).collect():
+        assert abs(r.score - brute.score(tests[r.doc_id])) < 1e-6
+
+
+def test_runs_in_many_parts_and_blocks_give_the_same(spark, learned, monkeypatch):
+    texts = learned[0]
+    brute = Brute(texts)
+    monkeypatch.setattr(lm, "HELD", 50)
+    parts = [np.array([[1, 2, 5], [1, 2, 3], [2, 2, 3], [1, 1, 2]]), np.array([[1, 1], [1, 1], [2, 2], [1, 1]])]
+    assert lm._added(np.concatenate(parts, axis=1)).tolist() == [[1, 2, 5], [1, 2, 3], [2, 2, 3], [3, 1, 2]]
+    runs = sorted((b.to_pylist()[0] for p in parts for b in lm._sent(p, 1)), key=lambda r: r["part"])
+    import pyarrow as pa
+    merged = [r for b in lm._merged(iter(pa.Table.from_pylist(runs).to_batches()), 2) for r in b.to_pylist()]
+    assert sorted((r["n"], r["total"]) for r in merged) == [(2, 2), (3, 3)]
+    assert brute.kept
 
 
 def test_rare_words_meet_their_counts_by_a_join(spark, learned):
@@ -126,10 +174,13 @@ def test_rare_and_long_contexts_are_kept_beyond_what_workers_hold(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     tests = spark.createDataFrame([(i, t) for i, t in enumerate(["x mid u even", "x mid v odd", "seldom pair", texts[0]])], "doc_id long, text string")
     scores = []
-    for bounds in ({}, {"context_share": 2.0, "pair_share": 2.0}, {"most_words": 3}):
+    for bounds in ({}, {"share": 2.0}, {"most_words": 3}):
         model, counts = lm.learn(df, **bounds)
-        assert model.deepest >= 3
+        assert model.longest >= 4
         scores.append({r.doc_id: (r.score, r.base_score) for r in lm.score(tests, model, counts).collect()})
+    brute = Brute(texts)
+    assert {len(c) for c in brute.kept} >= {1, 3}
+    assert all(abs(scores[0][i][0] - brute.score(t)) < 1e-9 for i, t in enumerate(["x mid u even", "x mid v odd", "seldom pair", texts[0]]))
     for other in scores[1:]:
         assert all(abs(a - b) < 1e-9 for i in other for a, b in zip(other[i], scores[0][i]))
     # "even" is nearly sure behind "x mid u", and "pair" behind "seldom".

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from warmtrace.operators.stages import materialise
 
-__all__ = ["materialise", "table", "remainder", "words_of", "columns", "batches", "slices", "hashed_sample", "factorised", "word_list"]
+__all__ = ["materialise", "own", "table", "remainder", "words_of", "columns", "batches", "slices", "hashed_sample", "factorised", "word_list"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus
 
 
+def own(df: DataFrame) -> str:
+    """A beginning that no column of ``df`` has, for names of columns beside the caller's."""
+    out = "_"
+    while any(c.startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def words_of(text: bytes) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text with A-Z in lower case.
 

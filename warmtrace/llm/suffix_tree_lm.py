@@ -1,63 +1,62 @@
 """Scores of texts by a probabilistic suffix tree over words.
 
-The tree starts from smoothed word probabilities.  A context, of any number of words and of rare words too,
-is tried when it is there at least twice, and kept where the words behind it differ enough from those
-behind its own suffix: their divergence, in bits over all its occurrences, must pay for the node.  A kept
-context has the next words that follow it at least twice and gives the rest of its probability to its
-suffix, so every context's probabilities add up to one.  A word is scored in the longest kept context that
-ends before it.
-
-Contexts and their next words are tables, made level by level.  A context is made longer while the bits
-that it leaves to one of its next words could pay for that word in a longer one.  A longer one saves at most
-these for a word, and one that pays does so by some word, so none is missed; the levels end by themselves.  Workers hold only the most frequent
-contexts and next words, bounded by shares of the tokens; all others meet the scored texts by a join, as do
-words outside the ``most_words`` most frequent.  Rare words and contexts are named by 64-bit hashes.
+The tree starts from smoothed word probabilities.  A context, of up to ``depth`` words and of rare words too, is
+tried when it is there at least twice, and kept where the words behind it differ enough from those behind its own
+suffix: their divergence, in bits over all its occurrences, must pay for the node.  A kept context has the next words
+that follow it at least twice and gives the rest of its probability to its suffix, so every context's probabilities
+add up to one.  A word is scored in the longest kept context that ends before it.
+
+The tree is made level by level, one pass over the texts each; ``depth`` is the memory of the tree and bounds the
+passes, whatever repeats in the texts.  A context is made longer while the bits that it leaves to one of its next words
+could pay for that word in a longer one; a longer one saves at most these for a word, and one that pays does so by some
+word, so none is missed.  Tasks add up sequences of words and send them as sorted, compressed runs to the partition of
+their context, where they are merged.  Nothing is cut by shares of the text: what is kept grows with it.
+
+What a sequence adds to a score, as a context and as a word in its context, does not depend on what else is in the
+text.  Workers hold the most frequent sequences; of the others those that a bitmap does not rule out meet the scored
+texts by a join, as do words outside the ``most_words`` most frequent.  Rare words and sequences are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from warmtrace.llm.common import factorised, materialise, slices
+from warmtrace.llm.common import factorised, materialise, own, slices
 
 ADDED = 0.1          # to every word's count
 DISCOUNT = 0.5       # from every listed next word's count
-TOTAL = 1 << 62      # in the place of a next word: all of them
+OTHER = 1 << 62      # in the place of a next word: one that is listed nowhere
 SIEVE_BITS = 27      # at most, of the bitmap that tells which keys a table surely has not
-HELD = 2_000_000     # sequences that a task counts before it sends them
-
-
-@dataclass
-class Level:
-    """The frequent kept contexts of one length: sorted keys, the logs of what goes to the suffix, and their next words."""
-
-    keys: np.ndarray
-    back: np.ndarray
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))   # context * words + next, sorted
-    share: np.ndarray = field(default_factory=lambda: np.zeros(0))             # of each pair, without the suffix's part
+HELD = 1_000_000     # sequences that a task adds up before it sends them
+PARTS = 4            # partitions of contexts for each of Spark's shuffle partitions
 
 
 @dataclass
 class Model:
-    """``words`` are the frequent ones in the order of their numbers; the last number is the end of a text."""
+    """``words`` are the frequent ones in the order of their numbers; the last number is the end of a text.
+
+    ``keys`` are the names of frequent sequences, sorted, and ``values`` what they add to a score, in log10;
+    ``rest`` has those of all others as a table key, value, and ``sieve`` a bitmap of its keys.
+    """
 
     words: dict[bytes, int]
     counts: np.ndarray
     tokens: int
     different: int
-    levels: list[Level]
-    deepest: int = 0                                # words of the longest kept context
-    sieve: np.ndarray | None = None                 # of the keys of ``rest``
-    rest: DataFrame | None = None                   # key, value: log10 factors of all contexts and next words outside ``levels``
+    keys: np.ndarray
+    values: np.ndarray
+    longest: int = 0                                # words of the longest sequence
+    sieve: np.ndarray | None = None
+    rest: DataFrame | None = None
 
     @property
     def size(self) -> int:
@@ -84,11 +83,6 @@ def _joined(names: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(names.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(words.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))).view(np.int64)
 
 
-def _pair(contexts: np.ndarray, nexts: np.ndarray) -> np.ndarray:
-    """Names of next words in their contexts; no context has such a name."""
-    return _joined(~contexts, nexts)
-
-
 def _numbered(texts: pa.Array, words: dict[bytes, int], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Numbers of all tokens with the end after each text, hashes under -1 for other words; where texts begin; and the words."""
     first, codes, seen = factorised(texts)
@@ -121,18 +115,6 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _contexts(model: Model, numbers: np.ndarray, begins: np.ndarray) -> Iterator[np.ndarray]:
-    """For each length, the place of every token's context among the kept ones, -1 for none."""
-    near = _behind(numbers, begins, 1)
-    for length, level in enumerate(model.levels, 1):
-        if length == 1:
-            key = near
-        else:
-            far = _behind(numbers, begins, 2)
-            key = np.where((near >= 0) & (far >= 0), far * model.size + near, -1)
-        yield _find(level.keys, key)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (binary), n: every word of every text, added up in the tasks first."""
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,101 +177,133 @@ def _ids(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(number, "ids array<bigint>")
 
 
-def _sequences(texts: DataFrame, sieve, length: int) -> DataFrame:
-    """suffix, far, next, n: contexts ``far`` + ``suffix`` of ``length`` words, seen twice or more, with each next word
-    and with ``TOTAL``; without those that the sieve of longer contexts worth trying holds back."""
+def _names(ids: np.ndarray, begins: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For lengths 1 to ``most``: the name of the sequence of so many words that ends at each token, and whether its text has it."""
+    name, there = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+    for k in range(most):
+        word = _behind(ids, begins, k) if k else ids
+        there = there & (word != -1)
+        name = _joined(name, word)
+        yield name, there
+
+
+def _runs(ids: DataFrame, length: int, sieve, parts: int) -> DataFrame:
+    """part, run, rows: contexts of ``length`` words with each next word and how often, in compressed runs.
+
+    Without contexts whose suffix the sieve rules out; next words that it rules out behind the suffix are ``OTHER``.
+    """
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in source:
             for at in range(0, len(batch), 512):
                 some = batch["ids"].slice(at, 512)
-                ids = some.flatten().to_numpy()
+                flat = some.flatten().to_numpy()
                 begins = np.concatenate([[0], np.cumsum(pc.list_value_length(some).to_numpy())])
-                suffix, far = _context(ids, begins, length - 1), _behind(ids, begins, length)
-                there = far != -1
+                words = [_behind(flat, begins, k) for k in range(length, 0, -1)] + [flat]
+                there = words[0] != -1
                 if length > 1:
-                    there &= _passes(sieve.value, suffix)
-                suffix, far, nexts = suffix[there], far[there], ids[there]
-                # A next word that its suffix does not list is no listed one here.
-                listed = _passes(sieve.value, _pair(suffix, nexts)) if length > 1 else np.ones(len(nexts), bool)
-                held.append(_counted(np.stack([suffix, far, np.full(len(far), TOTAL), np.ones(len(far), np.int64)])))
-                held.append(_counted(np.stack([suffix, far, nexts, np.ones(len(far), np.int64)])[:, listed]))
+                    *_, (suffix, _), (under, _) = _names(flat, begins, length)
+                    there[1:] &= _passes(sieve.value, suffix[:-1])
+                    words[-1] = np.where(_passes(sieve.value, under), flat, OTHER)
+                held.append(_added(np.stack([*[w[there] for w in words], np.ones(there.sum(), np.int64)])))
                 if sum(x.shape[1] for x in held) > HELD:
-                    yield from _sent(_counted(np.concatenate(held, axis=1)))
-                    held = []
+                    held = [_added(np.concatenate(held, axis=1))]
+                    if held[0].shape[1] > HELD // 2:
+                        yield from _sent(held.pop(), parts)
         if held:
-            yield from _sent(_counted(np.concatenate(held, axis=1)))
+            yield from _sent(_added(np.concatenate(held, axis=1)), parts)
 
-    return (texts.mapInArrow(count, "suffix bigint, far bigint, next bigint, n bigint")
-            .groupBy("suffix", "far", "next").agg(F.sum("n").alias("n")).where("n >= 2"))
+    return ids.mapInArrow(count, "part int, run binary, rows bigint")
 
 
-def _context(ids: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
-    """The name of the ``length`` words before each token; it has no meaning where the text has fewer."""
-    name = np.zeros(len(ids), np.int64)
-    for k in range(1, length + 1):
-        name = _joined(name, _behind(ids, begins, k))
+def _chain(words: np.ndarray) -> np.ndarray:
+    """Names of sequences given as rows, the first word first."""
+    name = np.zeros(words.shape[1], np.int64)
+    for word in words[::-1]:
+        name = _joined(name, word)
     return name
 
 
-def _counted(rows: np.ndarray) -> np.ndarray:
-    """Equal columns of suffix, far and next once, their n added up."""
-    _, first, at = np.unique(_pair(_joined(rows[0], rows[1]), rows[2]), return_index=True, return_inverse=True)
+def _added(rows: np.ndarray) -> np.ndarray:
+    """Equal sequences once, in the order of their words, their counts in the last row added up."""
+    if not rows.shape[1]:
+        return rows
+    order = np.lexsort(rows[-2::-1])
+    rows = rows[:, order]
+    first = np.flatnonzero(np.append(True, (rows[:-1, 1:] != rows[:-1, :-1]).any(0)))
     out = rows[:, first]
-    out[3] = np.bincount(at, rows[3], len(first)).astype(np.int64)
+    out[-1] = np.add.reduceat(rows[-1], first)
     return out
 
 
-def _sent(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, rows.shape[1], 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 50_000]) for x in rows], names=["suffix", "far", "next", "n"])
+def _sent(rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """One compressed block for each partition of contexts; the rows stay in order."""
+    part = (_chain(rows[:-2]).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], rows[:, order]
+    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+    for at in range(0, len(cuts) - 1, 64):
+        some = list(zip(cuts[at:at + 64].tolist(), cuts[at + 1:at + 65].tolist()))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([int(part[a]) for a, _ in some], pa.int32()),
+            pa.array([pa.compress(np.ascontiguousarray(rows[:, a:b]).tobytes(), "zstd", asbytes=True) for a, b in some], pa.binary()),
+            pa.array([b - a for a, b in some], pa.int64())], names=["part", "run", "rows"])
 
 
-def _named(found: DataFrame, shared, length: int) -> DataFrame:
-    """The columns of ``found`` and the names context, pair and under (the pair of the suffix), and ``number``: the
-    key of the context in a ``Level``, -1 where a word is rare or the context is longer than two words."""
-    def name(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        one = _joined(np.zeros(model.size - 1, np.int64), np.arange(model.size - 1))
-        order = np.argsort(one)
-        for batch in source:
-            suffix, far, nexts = (batch[c].to_numpy() for c in ("suffix", "far", "next"))
-            context = _joined(suffix, far)
-            if length == 1:
-                number = np.maximum(far, -1)
-            elif length == 2:
-                place = _find(one[order], suffix)
-                number = np.where((place >= 0) & (far >= 0), far * model.size + order[place] if len(order) else -1, -1)
-            else:
-                number = np.full(len(far), -1)
-            under = nexts if length == 1 else _pair(suffix, nexts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (context, _pair(context, nexts), under, number))],
-                                             names=[*batch.schema.names, "context", "pair", "under", "number"])
-
-    return found.mapInArrow(name, "suffix bigint, far bigint, next bigint, n bigint, context bigint, pair bigint, under bigint, number bigint")
+def _merged(source: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """context, pair, under, n, total: next words seen twice or more of every context of the partitions, by names.
+
+    ``pair`` names the context with its next word, ``under`` the same without the first word; ``total`` counts the context.
+    """
+    names = ["context", "pair", "under", "n", "total"]
+
+    def ended(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = _added(np.concatenate(held, axis=1))
+        first = np.flatnonzero(np.append(True, (rows[:-2, 1:] != rows[:-2, :-1]).any(0)))
+        total = np.repeat(np.add.reduceat(rows[-1], first), np.diff(np.append(first, rows.shape[1])))
+        listed = (rows[-1] > 1) & (rows[-2] != OTHER)
+        rows, total = rows[:, listed], total[listed]
+        made = _chain(rows[:-2]), _chain(rows[:-1]), _chain(rows[1:-1]), rows[-1], total
+        for at in range(0, len(total), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 50_000]) for x in made], names=names)
+
+    part, held = None, []
+    for batch in source:
+        for at in range(len(batch)):
+            row = batch.slice(at, 1).to_pylist()[0]
+            if row["part"] != part and held:
+                yield from ended(held)
+                held = []
+            part = row["part"]
+            raw = pa.decompress(row["run"], 8 * (length + 2) * row["rows"], "zstd")
+            held.append(np.frombuffer(raw, np.int64).reshape(length + 2, -1))
+            if len(held) > 1 and sum(x.shape[1] for x in held[1:]) > HELD:
+                held = [_added(np.concatenate(held, axis=1))]
+    if held:
+        yield from ended(held)
 
 
 def _base(counts: DataFrame, shared, ends: int) -> DataFrame:
-    """pair, p: the smoothed probability of each word's number or hash, and of the end."""
+    """pair, p: the smoothed probability of each word, and of the end, by name."""
     def number(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value.words
         for batch in source:
             ids = np.fromiter((words[w] if w in words else _rare(w) for w in batch["word"].to_pylist()), np.int64, len(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch["n"]], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_chain(ids[None])), batch["n"]], names=["pair", "n"])
 
     model = shared.value
-    end = counts.sparkSession.createDataFrame([(model.size - 1, ends)], "pair bigint, n bigint")
-    return counts.mapInArrow(number, "pair bigint, n bigint").unionByName(end).select(
+    end = int(_chain(np.array([[model.size - 1]]))[0])
+    ended = counts.sparkSession.createDataFrame([(end, ends)], "pair bigint, n bigint")
+    return counts.mapInArrow(number, "pair bigint, n bigint").unionByName(ended).select(
         "pair", ((F.col("n") + F.lit(ADDED)) / F.lit(model.total)).alias("p"))
 
 
-def learn(training: DataFrame, *, most_words: int = 200_000, context_share: float = 1e-4, pair_share: float = 4e-6,
-          depth: int = 2, price: float = 2.0) -> tuple[Model, DataFrame]:
+def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 4e-6, depth: int = 4, price: float = 2.0) -> tuple[Model, DataFrame]:
     """The model, and the table word, n of all words of ``training.text``.
 
-    A context is kept when its divergence from its suffix, times its occurrences, is over ``price``
-    times the bits of the token count for each listed next word.  ``most_words``, the shares (of all tokens) and
-    ``depth`` bound what the workers hold, not what is counted and kept.
+    A context of up to ``depth`` words is kept when its divergence from its suffix, times its occurrences, is over
+    ``price`` times the bits of the token count for each listed next word.  ``most_words`` and ``share`` (of all tokens)
+    bound what the workers hold, not what is counted and kept.
     """
     spark = training.sparkSession
     texts = training.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -300,102 +314,78 @@ def learn(training: DataFrame, *, most_words: int = 200_000, context_share: floa
     least = _most_frequent(counts, most_words)
     frequent = [(bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= least).collect()]
     frequent.sort(key=lambda r: (-r[1], r[0]))
-    model = Model({w: i for i, (w, _) in enumerate(frequent)},
-                  np.array([n for _, n in frequent] + [ends], np.int64), tokens, different, [])
+    model = Model({w: i for i, (w, _) in enumerate(frequent)}, np.array([n for _, n in frequent] + [ends], np.int64),
+                  tokens, different, np.zeros(0, np.int64), np.zeros(0))
     shared = spark.sparkContext.broadcast(model)
     ids = materialise(_ids(texts, shared))
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = price * float(np.log2(max(tokens, 2)))
-    before, sieve, rest, levels, deepest, length = materialise(_base(counts, shared, ends)), None, [], [], 0, 0
-    while True:
-        length += 1
-        found = materialise(_named(_sequences(ids, sieve, length), shared, length))
-        contexts, pairs = _level(found, before, bits)
-        most_frequent = F.lit(length <= depth) & (F.col("number") >= 0) & (F.col("total") >= max(2, context_share * tokens))
-        listed_there = most_frequent & (F.col("next") >= 0) & (F.col("n") >= max(2, pair_share * tokens))
-        kept = contexts.where("kept")
-        deepest = length if not kept.isEmpty() else deepest
-        if length <= depth:
-            levels.append(_held(model, kept.where(most_frequent), pairs.where("kept").where(listed_there)))
-        rest.append(kept.where(~most_frequent).select(F.col("context").alias("key"), F.log10("left").alias("value")))
-        rest.append(pairs.where("kept").where(~listed_there).select(
-            F.col("pair").alias("key"), (F.log10(F.col("p") / F.col("suffix_p")) - F.log10("left")).alias("value")))
-        longer = pairs.where("longer")
-        if longer.isEmpty():
+    before, sieve, found, longest = _base(counts, shared, ends), None, [], 0
+    for length in range(1, depth + 1):
+        runs = _runs(ids, length, sieve, parts).repartition("part").sortWithinPartitions("part")
+        merged = runs.mapInArrow(lambda source, length=length: _merged(source, length), "context bigint, pair bigint, under bigint, n bigint, total bigint")
+        level = materialise(_level(merged, before, bits))
+        found.append(level.where("kept"))
+        some = level.agg(F.count_if("kept"), F.count_if("longer")).first()
+        longest = length + 1 if some[0] else longest
+        if not some[1] or length == depth:
             break
+        longer = level.where("longer")
         before = longer.select("pair", "p")
-        tried = longer.select(F.col("pair").alias("key")).unionByName(contexts.where("longer").select(F.col("context").alias("key")))
         if sieve is not None:
             sieve.destroy()
-        sieve = spark.sparkContext.broadcast(_sieve(tried))
-    every = rest[0]
-    for some in rest[1:]:
-        every = every.unionByName(some)
+        sieve = spark.sparkContext.broadcast(_sieve(before.select(F.col("pair").alias("key")).unionByName(
+            longer.where("first").select(F.col("context").alias("key")))))
+    every = None
+    for level in found:
+        values = level.where("first").select(F.col("context").alias("key"), F.log10("left").alias("value"), F.col("total").alias("times")).unionByName(
+            level.select(F.col("pair").alias("key"), (F.log10(F.col("p") / F.col("suffix_p")) - F.log10("left")).alias("value"), F.col("n").alias("times")))
+        every = values if every is None else every.unionByName(values)
+    # A sequence can be there twice, as a context and as a word in its context: one value.
+    every = materialise(every.groupBy("key").agg(F.sum("value").alias("value"), F.max("times").alias("times")))
+    often = F.col("times") >= max(2, share * tokens)
+    held = every.where(often).select("key", "value").toArrow().sort_by("key")
+    rest = every.where(~often).select("key", "value")
     if sieve is not None:
         sieve.destroy()
     shared.destroy()
-    return replace(model, levels=levels, deepest=deepest, sieve=_sieve(every), rest=every), counts
-
-
-def _level(found: DataFrame, before: DataFrame, bits: float) -> tuple[DataFrame, DataFrame]:
-    """The contexts of one length, and their listed next words with their probabilities; both tell whether the
-    context is kept, and whether a longer one could pay.  ``before`` has the probabilities of one word less."""
-    total = F.col("total")
-    listed = materialise(found.where(F.col("next") != TOTAL).join(before.select(F.col("pair").alias("under"), F.col("p").alias("suffix_p")), "under")
-                         .select("context", "pair", "next", "n", "suffix_p"))
-    sums = listed.groupBy("context").agg(F.sum("n").alias("times"), F.count("*").alias("words"))
-    whole = (found.where(F.col("next") == TOTAL).select("context", "number", F.col("n").alias("total")).join(sums, "context")
-             .withColumn("left", F.greatest(1 - (F.col("times") - DISCOUNT * F.col("words")) / total, F.lit(1e-9))))
-    own = (F.col("n") - F.lit(DISCOUNT)) / total + F.col("left") * F.col("suffix_p")
-    joined = listed.join(whole, "context").withColumn("own", own)
-    costs = joined.groupBy("context").agg(
-        F.sum(F.col("n") * F.log2(F.col("own") / F.col("suffix_p"))).alias("saved"),
-        F.max(-F.col("n") * F.log2("own")).alias("own_bits"), F.max(-F.col("n") * F.log2("suffix_p")).alias("suffix_bits"))
+    return replace(model, keys=held["key"].to_numpy(), values=held["value"].to_numpy(), longest=longest, sieve=_sieve(rest), rest=rest), counts
+
+
+def _level(found: DataFrame, before: DataFrame, bits: float) -> DataFrame:
+    """Contexts of one length with their listed next words and probabilities, and whether a context is kept, and whether a
+    longer one could pay; ``first`` marks one row of each context.  ``before`` has the probabilities of one word less."""
+    of = Window.partitionBy("context")
+    listed = found.join(before.select(F.col("pair").alias("under"), F.col("p").alias("suffix_p")), "under").withColumns({
+        "times": F.sum("n").over(of), "words": F.count("*").over(of), "first": F.row_number().over(of.orderBy("pair")) == 1})
+    total, n = F.col("total"), F.col("n")
+    listed = listed.withColumn("left", F.greatest(1 - (F.col("times") - F.lit(DISCOUNT) * F.col("words")) / total, F.lit(1e-9)))
+    listed = listed.withColumn("own", (n - F.lit(DISCOUNT)) / total + F.col("left") * F.col("suffix_p"))
+    listed = listed.withColumns({
+        "saved": F.sum(n * F.log2(F.col("own") / F.col("suffix_p"))).over(of),
+        "own_bits": F.max(-n * F.log2("own")).over(of), "suffix_bits": F.max(-n * F.log2("suffix_p")).over(of)})
     gain = F.col("saved") + (total - F.col("times")) * F.log2("left")
-    contexts = materialise(whole.join(costs, "context").withColumn("kept", gain > bits * F.col("words")).withColumn(
-        "longer", F.when(F.col("kept"), F.col("own_bits")).otherwise(F.col("suffix_bits")) > bits)
-        .where("kept or longer").select("context", "number", "total", "left", "kept", "longer"))
-    pairs = listed.join(contexts, "context").withColumn("p", F.when(F.col("kept"), own).otherwise(F.col("suffix_p")))
-    return contexts, materialise(pairs)
-
-
-def _held(model: Model, contexts: DataFrame, pairs: DataFrame) -> Level:
-    """The frequent part of a level, for the workers."""
-    kept = contexts.select("number", "left").orderBy("number").toArrow()
-    keys = kept["number"].to_numpy()
-    rows = pairs.select("number", "next", ((F.col("n") - F.lit(DISCOUNT)) / F.col("total")).alias("share")).toArrow()
-    keyed = _find(keys, rows["number"].to_numpy()) * model.size + rows["next"].to_numpy()
-    order = np.argsort(keyed)
-    return Level(keys, np.log10(kept["left"].to_numpy()), keyed[order], rows["share"].to_numpy()[order])
-
-
-def _gains(model: Model, numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability in its context over that without one."""
-    plain = np.where(numbers >= 0, (model.counts[np.maximum(numbers, 0)] + ADDED) / model.total, 1.0)
-    p = plain.copy()
-    for level, place in zip(model.levels, _contexts(model, numbers, begins)):
-        there = np.nonzero(place >= 0)[0]
-        # The suffix's probability is a factor where the word is not listed, whatever it is.
-        pair = _find(level.pairs, np.where(numbers[there] >= 0, place[there] * model.size + numbers[there], -1))
-        share = np.where(pair >= 0, level.share[np.maximum(pair, 0)] if len(level.share) else 0.0, 0.0)
-        p[there] = share + 10 ** level.back[place[there]] * p[there]
-    return np.log10(p / plain)
-
-
-def _keys(model: Model, numbers: np.ndarray, begins: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length texts, keys of contexts and of next words that ``rest`` may have, and how often."""
-    name, there = np.zeros(len(numbers), np.int64), np.ones(len(numbers), bool)
-    for length in range(1, model.deepest + 1):
-        word = _behind(numbers, begins, length)
-        there &= word != -1
-        name = _joined(name, word)
-        keys = np.concatenate([name[there], _pair(name[there], numbers[there])])
-        of = np.concatenate([text[there], text[there]])
-        asked = _passes(model.sieve, keys)
-        keys, of = keys[asked], of[asked]
+    listed = listed.withColumn("kept", gain > F.lit(bits) * F.col("words"))
+    listed = listed.withColumns({"longer": F.when(F.col("kept"), F.col("own_bits")).otherwise(F.col("suffix_bits")) > bits,
+                                 "p": F.when(F.col("kept"), F.col("own")).otherwise(F.col("suffix_p"))})
+    return listed.where("kept or longer").select("context", "pair", "n", "total", "left", "suffix_p", "p", "kept", "longer", "first")
+
+
+def _values(model: Model, numbers: np.ndarray, begins: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """What held sequences add to each token; and for each length texts, names that ``rest`` may have, and how often."""
+    out, asked = np.zeros(len(numbers)), []
+    for name, there in _names(numbers, begins, model.longest):
+        place = _find(model.keys, name)
+        held = there & (place >= 0)
+        out[held] += model.values[place[held]]
+        open_ = there & ~held
+        open_[open_] = _passes(model.sieve, name[open_])
+        keys, of = name[open_], text[open_]
         order = np.lexsort((keys, of))
         keys, of = keys[order], of[order]
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]))
-        yield of[first], keys[first], np.diff(np.append(first, len(keys)))
+        asked.append((of[first], keys[first], np.diff(np.append(first, len(keys)))))
+    return out, asked
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -408,12 +398,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in docs.columns if c not in [*made, "text"]]
-    names = [*kept, "_row", "n_tokens", "n_known", "_base", "_gain", "_word", "_times", "_key"]
+    row_, known_, base_, gain_, word_, times_, key_, more_, added_ = (
+        own(docs) + n for n in ("row", "known", "base", "gain", "word", "times", "key", "more", "added"))
+    names = [*kept, row_, "n_tokens", "n_known", base_, gain_, word_, times_, key_]
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
     plain = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Rows of rare words, and of keys that the table of contexts may have, have nulls in the other columns.
-    schema = (StructType([StructField(f.name, f.dataType) for f in docs.select(*kept).schema]).add("_row", "long").add("n_tokens", "long").add("n_known", "long")
-              .add("_base", "double").add("_gain", "double").add("_word", "binary").add("_times", "long").add("_key", "long"))
+    schema = (StructType([StructField(f.name, f.dataType) for f in docs.select(*kept).schema]).add(row_, "long").add("n_tokens", "long").add("n_known", "long")
+              .add(base_, "double").add(gain_, "double").add(word_, "binary").add(times_, "long").add(key_, "long"))
 
     def scored(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -431,10 +423,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         n_known = known & (model.counts[np.maximum(numbers, 0)] > 0)
         rows = pa.array(row + np.arange(texts))
         none = pa.nulls(texts, pa.int64())
+        gains, asked = _values(model, numbers, begins, text)
         yield pa.RecordBatch.from_arrays(
-            [*[some[c] for c in kept], rows, pa.array(np.diff(begins)),
+            [*some.columns[:-1], rows, pa.array(np.diff(begins)),
              pa.array(np.bincount(text, n_known, texts).astype(np.int64)), pa.array(np.bincount(text, logs, texts)),
-             pa.array(np.bincount(text, _gains(model, numbers, begins), texts)), pa.nulls(texts, pa.binary()), none, none],
+             pa.array(np.bincount(text, gains, texts)), pa.nulls(texts, pa.binary()), none, none],
             names=names)
         # Rare words: one row for each text and word.
         at = np.ones(len(numbers), bool)
@@ -448,8 +441,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                  *[pa.nulls(len(of), pa.int64())] * 2, *[pa.nulls(len(of), pa.float64())] * 2,
                  pc.take(seen, pa.array(word)).cast(pa.binary()), pa.array(times[begin:begin + 50_000]), pa.nulls(len(of), pa.int64())],
                 names=names)
-        # Contexts and next words that the workers do not hold: one row for each text and key.
-        for of, key, times in _keys(model, numbers, begins, text):
+        # Sequences that the workers do not hold: one row for each text and name.
+        for of, key, times in asked:
             for begin in range(0, len(of), 50_000):
                 some_of = of[begin:begin + 50_000]
                 yield pa.RecordBatch.from_arrays(
@@ -458,15 +451,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                      pa.array(times[begin:begin + 50_000]), pa.array(key[begin:begin + 50_000])], names=names)
 
     rows = materialise(plain.mapInArrow(scored, schema))
-    rare = rows.where("_word is not null").select("_row", F.col("_word").alias("word"), "_times")
+    rare = rows.where(F.col(word_).isNotNull()).select(row_, F.col(word_).alias("word"), times_)
     seldom = counts.where(F.col("n") <= (int(model.counts[:-1].min()) if model.size > 1 else 1 << 62))
-    met = rare.join(seldom, "word", "left").select("_row", "_times", F.coalesce("n", F.lit(0)).alias("n"))
-    more = met.groupBy("_row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("_times")).otherwise(0)).alias("_known"),
-        F.sum(F.col("_times") * F.log10(F.col("n") + F.lit(ADDED))).alias("_more"))
-    asked = rows.where("_key is not null").select("_row", F.col("_key").alias("key"), "_times")
-    added = asked.join(model.rest, "key").groupBy("_row").agg(F.sum(F.col("_times") * F.col("value")).alias("_added"))
-    base = F.col("_base") + F.coalesce("_more", F.lit(0.0))
-    return rows.where("_word is null and _key is null").join(more, "_row", "left").join(added, "_row", "left").select(
-        *kept, "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), (base + F.col("_gain") + F.coalesce("_added", F.lit(0.0))).alias("score"))
+    met = rare.join(seldom, "word", "left").select(row_, times_, F.coalesce("n", F.lit(0)).alias("n"))
+    more = met.groupBy(row_).agg(
+        F.sum(F.when(F.col("n") > 0, F.col(times_)).otherwise(0)).alias(known_),
+        F.sum(F.col(times_) * F.log10(F.col("n") + F.lit(ADDED))).alias(more_))
+    found = rows.where(F.col(key_).isNotNull()).select(row_, F.col(key_).alias("key"), times_)
+    added = found.join(model.rest, "key").groupBy(row_).agg(F.sum(F.col(times_) * F.col("value")).alias(added_))
+    base = F.col(base_) + F.coalesce(more_, F.lit(0.0))
+    whole = rows.where(F.col(word_).isNull() & F.col(key_).isNull()).join(more, row_, "left").join(added, row_, "left")
+    return whole.select(
+        *kept, "n_tokens", (F.col("n_known") + F.coalesce(known_, F.lit(0))).alias("n_known"),
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"),
+        (base + F.col(gain_) + F.coalesce(added_, F.lit(0.0))).alias("score"))
