@@ -3,13 +3,12 @@
 The tree starts from smoothed word probabilities.  A context, of up to ``depth`` words and of rare words too, is
 tried when it is there at least twice, and kept where the words behind it differ enough from those behind its own
 suffix: their divergence, in bits over all its occurrences, must pay for the node.  A kept context has the next words
-that follow it at least twice and gives the rest of its probability to its suffix, so every context's probabilities
-add up to one.  A word is scored in the longest kept context that ends before it.
+that follow it at least twice, and whose own occurrences could pay for them, and gives the rest of its probability to
+its suffix, so every context's probabilities add up to one.  A word is scored in the longest kept context that ends before it.
 
 The tree is made level by level, one pass over the texts each; ``depth`` is the memory of the tree and bounds the
-passes, whatever repeats in the texts.  A context is made longer while the bits that it leaves to one of its next words
-could pay for that word in a longer one; a longer one saves at most these for a word, and one that pays does so by some
-word, so none is missed.  Tasks add up sequences of words and send them as sorted, compressed runs to the partition of
+passes, whatever repeats in the texts.  A next word goes on to longer contexts while the bits that it still costs could
+pay for it there: a longer context saves at most these, so none is missed.  Tasks add up sequences of words and send them as sorted, compressed runs to the partition of
 their context, where they are merged.  Nothing is cut by shares of the text: what is kept grows with it.
 
 What a sequence adds to a score, as a context and as a word in its context, does not depend on what else is in the
@@ -151,9 +150,10 @@ def _most_frequent(counts: DataFrame, most: int) -> int:
 
 
 def _sieve(keys: DataFrame) -> np.ndarray:
-    """A bitmap with the low bits of all ``key``, of at most ``SIEVE_BITS``: where a bit is not set, the key is not there."""
-    bits = min(SIEVE_BITS, max(12, keys.count().bit_length() + 3))
-    low = keys.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("low"))
+    """A bitmap of at most ``SIEVE_BITS`` with two bits for each ``key``: where one is not set, the key is not there."""
+    bits = min(SIEVE_BITS, max(12, keys.count().bit_length() + 4))
+    at = F.explode(F.array(F.col("key"), F.shiftright("key", 32))).alias("key")
+    low = keys.select(at).select(F.col("key").bitwiseAND((1 << bits) - 1).alias("low"))
     words = low.groupBy(F.shiftright("low", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(low & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(1 << bits - 6, np.int64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy()
@@ -161,8 +161,11 @@ def _sieve(keys: DataFrame) -> np.ndarray:
 
 
 def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    low = keys & (len(sieve) * 64 - 1)
-    return (sieve[low >> 6] >> (low & 63) & 1).astype(bool)
+    out = np.ones(len(keys), bool)
+    for low in (keys, keys >> 32):
+        low = low & (len(sieve) * 64 - 1)
+        out &= (sieve[low >> 6] >> (low & 63) & 1).astype(bool)
+    return out
 
 
 def _ids(texts: DataFrame, shared) -> DataFrame:
@@ -225,20 +228,22 @@ def _chain(words: np.ndarray) -> np.ndarray:
 
 
 def _added(rows: np.ndarray) -> np.ndarray:
-    """Equal sequences once, in the order of their words, their counts in the last row added up."""
+    """Equal sequences once, by their names, their counts in the last row added up."""
     if not rows.shape[1]:
         return rows
-    order = np.lexsort(rows[-2::-1])
-    rows = rows[:, order]
-    first = np.flatnonzero(np.append(True, (rows[:-1, 1:] != rows[:-1, :-1]).any(0)))
-    out = rows[:, first]
-    out[-1] = np.add.reduceat(rows[-1], first)
+    name = _chain(rows[:-1])
+    order = np.argsort(name)
+    name = name[order]
+    first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+    out = rows[:, order[first]]
+    out[-1] = np.add.reduceat(rows[-1, order], first)
     return out
 
 
 def _sent(rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """One compressed block for each partition of contexts; the rows stay in order."""
-    part = (_chain(rows[:-2]).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    """One compressed block for each partition of contexts, ordered by the first words."""
+    rows = rows[:, np.argsort(rows[0])]
+    part = (_chain(rows[:-2]).view(np.uint64) % np.uint64(parts)).astype(np.uint16)
     order = np.argsort(part, kind="stable")
     part, rows = part[order], rows[:, order]
     cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
@@ -259,11 +264,14 @@ def _merged(source: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
     def ended(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = _added(np.concatenate(held, axis=1))
-        first = np.flatnonzero(np.append(True, (rows[:-2, 1:] != rows[:-2, :-1]).any(0)))
+        context = _chain(rows[:-2])
+        order = np.argsort(context)
+        rows, context = rows[:, order], context[order]
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         total = np.repeat(np.add.reduceat(rows[-1], first), np.diff(np.append(first, rows.shape[1])))
         listed = (rows[-1] > 1) & (rows[-2] != OTHER)
-        rows, total = rows[:, listed], total[listed]
-        made = _chain(rows[:-2]), _chain(rows[:-1]), _chain(rows[1:-1]), rows[-1], total
+        rows, total, context = rows[:, listed], total[listed], context[listed]
+        made = context, _chain(rows[:-1]), _chain(rows[1:-1]), rows[-1], total
         for at in range(0, len(total), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 50_000]) for x in made], names=names)
 
@@ -298,7 +306,7 @@ def _base(counts: DataFrame, shared, ends: int) -> DataFrame:
         "pair", ((F.col("n") + F.lit(ADDED)) / F.lit(model.total)).alias("p"))
 
 
-def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 4e-6, depth: int = 4, price: float = 2.0) -> tuple[Model, DataFrame]:
+def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 1e-6, depth: int = 3, price: float = 2.0) -> tuple[Model, DataFrame]:
     """The model, and the table word, n of all words of ``training.text``.
 
     A context of up to ``depth`` words is kept when its divergence from its suffix, times its occurrences, is over
@@ -318,7 +326,7 @@ def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 4e-6
                   tokens, different, np.zeros(0, np.int64), np.zeros(0))
     shared = spark.sparkContext.broadcast(model)
     ids = materialise(_ids(texts, shared))
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(1 << 16, PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = price * float(np.log2(max(tokens, 2)))
     before, sieve, found, longest = _base(counts, shared, ends), None, [], 0
     for length in range(1, depth + 1):
@@ -330,12 +338,11 @@ def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 4e-6
         longest = length + 1 if some[0] else longest
         if not some[1] or length == depth:
             break
-        longer = level.where("longer")
-        before = longer.select("pair", "p")
+        before = level.where("longer").select("pair", "p")
         if sieve is not None:
             sieve.destroy()
         sieve = spark.sparkContext.broadcast(_sieve(before.select(F.col("pair").alias("key")).unionByName(
-            longer.where("first").select(F.col("context").alias("key")))))
+            level.where("longer").select(F.col("context").alias("key")).distinct())))
     every = None
     for level in found:
         values = level.where("first").select(F.col("context").alias("key"), F.log10("left").alias("value"), F.col("total").alias("times")).unionByName(
@@ -353,21 +360,20 @@ def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 4e-6
 
 
 def _level(found: DataFrame, before: DataFrame, bits: float) -> DataFrame:
-    """Contexts of one length with their listed next words and probabilities, and whether a context is kept, and whether a
-    longer one could pay; ``first`` marks one row of each context.  ``before`` has the probabilities of one word less."""
+    """Contexts of one length with their listed next words and probabilities, whether a context is kept, and whether a next
+    word could pay in a longer one; ``first`` marks one row of each context.  ``before`` has the probabilities of one word less."""
     of = Window.partitionBy("context")
-    listed = found.join(before.select(F.col("pair").alias("under"), F.col("p").alias("suffix_p")), "under").withColumns({
-        "times": F.sum("n").over(of), "words": F.count("*").over(of), "first": F.row_number().over(of.orderBy("pair")) == 1})
     total, n = F.col("total"), F.col("n")
+    listed = (found.join(before.select(F.col("pair").alias("under"), F.col("p").alias("suffix_p")), "under").drop("under")
+              .where(-n * F.log2("suffix_p") > F.lit(bits)))
+    listed = listed.withColumns({"times": F.sum("n").over(of), "words": F.count("*").over(of), "first": F.row_number().over(of.orderBy("pair")) == 1})
     listed = listed.withColumn("left", F.greatest(1 - (F.col("times") - F.lit(DISCOUNT) * F.col("words")) / total, F.lit(1e-9)))
     listed = listed.withColumn("own", (n - F.lit(DISCOUNT)) / total + F.col("left") * F.col("suffix_p"))
-    listed = listed.withColumns({
-        "saved": F.sum(n * F.log2(F.col("own") / F.col("suffix_p"))).over(of),
-        "own_bits": F.max(-n * F.log2("own")).over(of), "suffix_bits": F.max(-n * F.log2("suffix_p")).over(of)})
+    listed = listed.withColumn("saved", F.sum(n * F.log2(F.col("own") / F.col("suffix_p"))).over(of))
     gain = F.col("saved") + (total - F.col("times")) * F.log2("left")
     listed = listed.withColumn("kept", gain > F.lit(bits) * F.col("words"))
-    listed = listed.withColumns({"longer": F.when(F.col("kept"), F.col("own_bits")).otherwise(F.col("suffix_bits")) > bits,
-                                 "p": F.when(F.col("kept"), F.col("own")).otherwise(F.col("suffix_p"))})
+    listed = listed.withColumn("p", F.when(F.col("kept"), F.col("own")).otherwise(F.col("suffix_p")))
+    listed = listed.withColumn("longer", -n * F.log2("p") > F.lit(bits))
     return listed.where("kept or longer").select("context", "pair", "n", "total", "left", "suffix_p", "p", "kept", "longer", "first")
 
 
