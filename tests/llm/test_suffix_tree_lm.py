@@ -134,7 +134,7 @@ def test_runs_in_many_parts_and_blocks_give_the_same(spark, learned, monkeypatch
     assert sorted(lm._added(np.concatenate(parts, axis=1)).T.tolist()) == [[1, 1, 2, 3], [2, 2, 2, 1], [5, 3, 3, 2]]
     runs = sorted((b.to_pylist()[0] for p in parts for b in lm._sent(p, 1)), key=lambda r: r["part"])
     import pyarrow as pa
-    merged = [r for b in lm._merged(iter(pa.Table.from_pylist(runs).to_batches()), 2) for r in b.to_pylist()]
+    merged = [r for b in lm._merged(iter(pa.Table.from_pylist(runs).to_batches()), 2, np.zeros(0)) for r in b.to_pylist()]
     assert sorted((r["n"], r["total"]) for r in merged) == [(2, 2), (3, 3)]
     assert brute.kept
 

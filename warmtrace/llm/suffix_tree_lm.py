@@ -35,7 +35,7 @@ ADDED = 0.1          # to every word's count
 DISCOUNT = 0.5       # from every listed next word's count
 OTHER = 1 << 62      # in the place of a next word: one that is listed nowhere
 SIEVE_BITS = 27      # at most, of the bitmap that tells which keys a table surely has not
-HELD = 1_000_000     # sequences that a task adds up before it sends them
+HELD = 400_000     # sequences that a task adds up before it sends them
 PARTS = 4            # partitions of contexts for each of Spark's shuffle partitions
 
 
@@ -124,7 +124,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 n = np.bincount(codes, minlength=len(seen))
                 kept = np.nonzero(n)[0]
                 held.append(pa.table({"word": pc.take(seen, pa.array(kept)).cast(pa.binary()), "n": pa.array(n[kept])}))
-                if sum(map(len, held)) > 1_500_000:
+                if sum(map(len, held)) > 500_000:
                     yield from _added(held)
                     held = []
         if held:
@@ -169,15 +169,16 @@ def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _ids(texts: DataFrame, shared) -> DataFrame:
-    """ids: the numbers and hashes of each text's words and its end, read once for all levels."""
+    """ids, sizes, tokens: the numbers and hashes of the words and ends of some texts, compressed, and how many each has."""
     def number(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in source:
             for some in slices(batch):
                 ids, begins, *_ = _numbered(some["text"], model.words, model.size - 1)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))], names=["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([pa.compress(ids.tobytes(), "zstd", asbytes=True)], pa.binary()),
+                    pa.array([np.diff(begins)], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64())], names=["ids", "sizes", "tokens"])
 
-    return texts.mapInArrow(number, "ids array<bigint>")
+    return texts.mapInArrow(number, "ids binary, sizes array<bigint>, tokens bigint")
 
 
 def _names(ids: np.ndarray, begins: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,17 +199,17 @@ def _runs(ids: DataFrame, length: int, sieve, parts: int) -> DataFrame:
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in source:
-            for at in range(0, len(batch), 512):
-                some = batch["ids"].slice(at, 512)
-                flat = some.flatten().to_numpy()
-                begins = np.concatenate([[0], np.cumsum(pc.list_value_length(some).to_numpy())])
+            for at in range(len(batch)):
+                row = batch.slice(at, 1).to_pylist()[0]
+                flat = np.frombuffer(pa.decompress(row["ids"], 8 * row["tokens"], "zstd"), np.int64)
+                begins = np.cumsum([0, *row["sizes"]])
                 words = [_behind(flat, begins, k) for k in range(length, 0, -1)] + [flat]
                 there = words[0] != -1
                 if length > 1:
                     *_, (suffix, _), (under, _) = _names(flat, begins, length)
                     there[1:] &= _passes(sieve.value, suffix[:-1])
                     words[-1] = np.where(_passes(sieve.value, under), flat, OTHER)
-                held.append(_added(np.stack([*[w[there] for w in words], np.ones(there.sum(), np.int64)])))
+                held.append(np.stack([*[w[there] for w in words], np.ones(there.sum(), np.int64)]))
                 if sum(x.shape[1] for x in held) > HELD:
                     held = [_added(np.concatenate(held, axis=1))]
                     if held[0].shape[1] > HELD // 2:
@@ -255,10 +256,11 @@ def _sent(rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
             pa.array([b - a for a, b in some], pa.int64())], names=["part", "run", "rows"])
 
 
-def _merged(source: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _merged(source: Iterator[pa.RecordBatch], length: int, most: np.ndarray) -> Iterator[pa.RecordBatch]:
     """context, pair, under, n, total: next words seen twice or more of every context of the partitions, by names.
 
     ``pair`` names the context with its next word, ``under`` the same without the first word; ``total`` counts the context.
+    ``most`` has the share of the price that one occurrence of each frequent word could pay, if known.
     """
     names = ["context", "pair", "under", "n", "total"]
 
@@ -270,6 +272,9 @@ def _merged(source: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         total = np.repeat(np.add.reduceat(rows[-1], first), np.diff(np.append(first, rows.shape[1])))
         listed = (rows[-1] > 1) & (rows[-2] != OTHER)
+        if len(most):
+            number = rows[-2]
+            listed &= (number < 0) | (rows[-1] * most[np.clip(number, 0, len(most) - 1)] > 1 - 1e-9)
         rows, total, context = rows[:, listed], total[listed], context[listed]
         made = context, _chain(rows[:-1]), _chain(rows[1:-1]), rows[-1], total
         for at in range(0, len(total), 50_000):
@@ -331,7 +336,9 @@ def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 1e-6
     before, sieve, found, longest = _base(counts, shared, ends), None, [], 0
     for length in range(1, depth + 1):
         runs = _runs(ids, length, sieve, parts).repartition("part").sortWithinPartitions("part")
-        merged = runs.mapInArrow(lambda source, length=length: _merged(source, length), "context bigint, pair bigint, under bigint, n bigint, total bigint")
+        # Of a single word's suffix, the empty one, the workers know the frequent words' probabilities.
+        most = -np.log2((model.counts + ADDED) / model.total) / bits if length == 1 else np.zeros(0)
+        merged = runs.mapInArrow(lambda source, length=length, most=most: _merged(source, length, most), "context bigint, pair bigint, under bigint, n bigint, total bigint")
         level = materialise(_level(merged, before, bits))
         found.append(level.where("kept"))
         some = level.agg(F.count_if("kept"), F.count_if("longer")).first()
