@@ -4,7 +4,7 @@ Every stage works on all that its predecessor kept, and its decisions take effec
 return the columns of ``documents``.  A stage written as Parquet and read again is the next one's input.
 
 A document goes where its language cannot be told (no letters, or hardly a letter pair known to any
-learned language), where an earlier document of its class of near copies stays, or where a benchmark item leaked
+learned language), where an earlier document of its group of linked fingerprints stays, or where a benchmark item leaked
 into it.  Secrets are masked, no document goes for them.  All other documents stay, whatever nulls,
 clashing columns or repeated rows there are; an empty table stays empty.
 """
@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmtrace.llm import decontaminate, language_id, packing, queries, secret_scan, shingles
+from warmtrace.llm import decontaminate, language_id, packing, queries, secret_scan, simhash
 from warmtrace.llm.common import materialise, table
 
 # A text that costs more bits a letter than this in its best language is in none of them.
@@ -33,8 +33,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts linked by five-word Jaccard similarity 0.8 or more the document with the smallest id."""
-    return shingles.one_of_each(docs, words=5, similarity=0.8)
+    """Of each group of documents whose fingerprints link the one with the smallest id; rows and bits as in ``op2_simhash``."""
+    return simhash.one_of_each(docs, words=3, radius=2)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
