@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import batches, factorised, materialise, slices
+from warmtrace.llm.common import batches, factorised, materialise, own, slices
 
 BLOCK_WORDS = 500_000
 NGRAM = 4
@@ -253,5 +253,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, n: int =
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with all their columns as they are."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_leaked")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    leaked, hash_ = own(docs) + "leaked", own(docs) + "hash"
+    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(leaked), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col(leaked)) & (F.xxhash64("text") == F.col(hash_)), "left_anti")

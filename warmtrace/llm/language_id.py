@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import slices
+from warmtrace.llm.common import own, slices
 
 BLOCK = 256
 # The bounds of what is learned: labelled rows and letters of a language, and letters it tells apart.
@@ -214,21 +214,21 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...],
     """
     made = ["lang_pred", "score", "bits_per_symbol"]
     kept = [c for c in docs.columns if c not in made]
-    plain = docs.select(*kept, F.col(text_column).cast("string").alias("_read"))
+    plain = docs.select(*kept, F.col(text_column).cast("string").alias(own(docs) + "read"))
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("bits_per_symbol", "double")
     names = sorted(n for n, _ in samples)
 
     def predict(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = _languages(samples) if samples else None
         for batch in source:
-            for some in slices(batch, "_read"):
+            for some in slices(batch, batch.schema.names[-1]):
                 yield _predicted(some, languages)
 
     def _predicted(some: pa.RecordBatch, languages: Languages | None) -> pa.RecordBatch:
         if languages is None:
             found = ["und"] * len(some), np.zeros(len(some)), np.zeros(len(some))
         else:
-            bits, size, lettered = languages.parse(some["_read"])
+            bits, size, lettered = languages.parse(some.column(len(kept)))
             best = bits.argmin(1)
             least = bits.min(1)
             share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(1)

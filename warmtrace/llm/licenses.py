@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import batches, factorised, materialise, slices
+from warmtrace.llm.common import batches, factorised, materialise, own as free, slices
 
 # Notices in common use and the short names of their licenses.
 TEMPLATES = (
@@ -159,7 +159,8 @@ def scan(files: DataFrame, *, templates=TEMPLATES, least_header: float = 0.7, le
     """
     made = ["license", "license_score", "found", "license_path", "line"]
     kept = [c for c in files.columns if c not in made]
-    named = files.select(*kept, F.col(path_column).cast("string").alias("_path"), F.xxhash64(text_column).alias("_hash"))
+    p = free(files)
+    named = files.select(*kept, F.col(path_column).cast("string").alias(p + "path"), F.xxhash64(text_column).alias(p + "hash"))
     read = files.select(F.col(path_column).cast("string").alias("path"), F.xxhash64(text_column).alias("text_hash"),
                         F.col(text_column).cast("string").alias("text"))
     own = materialise(own_licenses(read, templates, least_header, least_file).dropDuplicates(["path", "text_hash"]))
@@ -167,17 +168,17 @@ def scan(files: DataFrame, *, templates=TEMPLATES, least_header: float = 0.7, le
              .groupBy(_directory(F.col("path")).alias("above"))
              .agg(F.min(F.struct((-F.col("score")).alias("cost"), "path", "license")).alias("from")))
     # Directories, not files, look for what is above them: as many rows as directories and steps up.
-    places = named.where("_path is not null").select(_directory(F.col("_path")).alias("place")).distinct()
+    places = named.where(F.col(p + "path").isNotNull()).select(_directory(F.col(p + "path")).alias("place")).distinct()
     steps = places.select("place", F.posexplode(F.reverse(F.transform(
         F.sequence(F.lit(1), F.size(F.split("place", "/"))),
         lambda n: F.array_join(F.slice(F.split("place", "/"), F.lit(1), n), "/")))).alias("up", "above"))
     nearest = (steps.join(given, "above").groupBy("place").agg(F.min_by(F.col("from"), F.col("up")).alias("from")))
-    mine = own.select(*[F.col(c).alias(f"_own_{c}") for c in own.columns])
-    out = named.join(mine, F.col("_path").eqNullSafe(F.col("_own_path")) & (F.col("_hash") == F.col("_own_text_hash")), "left")
-    nearest = nearest.select(F.col("place").alias("_place"), F.col("from").alias("_from"))
-    out = out.join(nearest, _directory(F.col("_path")) == F.col("_place"), "left")
-    inherited = F.col("_own_found").isNull() & F.col("_from").isNotNull()
-    return out.select(*kept, F.coalesce("_own_license", "_from.license").alias("license"),
-                      F.when(inherited, -F.col("_from.cost")).otherwise(F.col("_own_score")).alias("license_score"),
-                      F.when(inherited, "inherited").otherwise(F.col("_own_found")).alias("found"),
-                      F.when(inherited, F.col("_from.path")).alias("license_path"), F.col("_own_line").alias("line"))
+    mine = own.select(*[F.col(c).alias(f"{p}own_{c}") for c in own.columns])
+    out = named.join(mine, F.col(p + "path").eqNullSafe(F.col(p + "own_path")) & (F.col(p + "hash") == F.col(p + "own_text_hash")), "left")
+    nearest = nearest.select(F.col("place").alias(p + "place"), F.col("from").alias(p + "from"))
+    out = out.join(nearest, _directory(F.col(p + "path")) == F.col(p + "place"), "left")
+    inherited = F.col(p + "own_found").isNull() & F.col(p + "from").isNotNull()
+    return out.select(*kept, F.coalesce(p + "own_license", p + "from.license").alias("license"),
+                      F.when(inherited, -F.col(p + "from.cost")).otherwise(F.col(p + "own_score")).alias("license_score"),
+                      F.when(inherited, "inherited").otherwise(F.col(p + "own_found")).alias("found"),
+                      F.when(inherited, F.col(p + "from.path")).alias("license_path"), F.col(p + "own_line").alias("line"))

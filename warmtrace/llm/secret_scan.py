@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from warmtrace.llm.common import own
 from warmtrace.llm.trigrams import trigram_query
 
 
@@ -79,18 +80,18 @@ def _running(numbers: Column, whole: Column, step) -> Column:
         acc, lambda x, i: F.when(i >= d, step(x, F.get(acc, i - d))).otherwise(x)))
 
 
-def _matches(rule: Rule, kind_number: int) -> tuple[Column, Column, Column]:
+def _matches(rule: Rule, kind_number: int, p: str) -> tuple[Column, Column, Column]:
     """The searched pattern, where matches end, and the spans: running totals of matches with what is skipped before.
 
     ``\\G`` holds a match to the end of the one before: these are the leftmost matches, none overlapping.
     """
     pattern = F.lit(f"(?s)\\G.*?({rule.pattern})")
-    ends = _running(F.col("_lengths"), F.size("_lengths"), lambda a, b: a + b)
+    ends = _running(F.col(p + "lengths"), F.size(p + "lengths"), lambda a, b: a + b)
     kept = F.filter(
-        F.transform(F.col("_ends"), lambda end, i: F.struct(
-            (end - F.char_length(F.get("_found", i))).alias("start"), F.lit(kind_number).alias("kind_number"),
-            end.alias("end"), F.lit(rule.kind).alias("kind"), F.get("_found", i).alias("text"),
-            F.char_length(F.get("_tested", i)).alias("tested"))),
+        F.transform(F.col(p + "ends"), lambda end, i: F.struct(
+            (end - F.char_length(F.get(p + "found", i))).alias("start"), F.lit(kind_number).alias("kind_number"),
+            end.alias("end"), F.lit(rule.kind).alias("kind"), F.get(p + "found", i).alias("text"),
+            F.char_length(F.get(p + "tested", i)).alias("tested"))),
         lambda s: s["tested"] >= rule.least)
     return pattern, ends, F.transform(kept, lambda s: s.dropFields("tested"))
 
@@ -103,27 +104,27 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "spans")
     its own.  An empty table gives no rows.  ``docs`` needs doc_id and text; a column named ``into``
     is replaced, no other is looked at.
     """
-    found = candidates(docs, rules)
+    found, p = candidates(docs, rules), own(docs)
     out = docs.drop(into)
     if found is None:
-        out = out.withColumn("_kinds", F.array().cast("array<string>"))
+        out = out.withColumn(p + "kinds", F.array().cast("array<string>"))
     else:
-        found = found.withColumnRenamed("doc_id", "_candidate")
-        out = out.join(found, out["doc_id"].eqNullSafe(found["_candidate"]), "left").withColumnRenamed("kinds", "_kinds").drop("_candidate")
+        found = found.select(F.col("doc_id").alias(p + "candidate"), F.col("kinds").alias(p + "kinds"))
+        out = out.join(found, F.col("doc_id").eqNullSafe(F.col(p + "candidate")), "left").drop(p + "candidate")
     spans = F.array().cast(SPANS)
     names = []
     for n, rule in enumerate(rules):
-        pattern, ends, kept = _matches(rule, n)
-        wanted = (F.array_contains("_kinds", rule.kind) if all(trigram_query(rule.pattern)) else F.lit(True))
+        pattern, ends, kept = _matches(rule, n, p)
+        wanted = (F.array_contains(p + "kinds", rule.kind) if all(trigram_query(rule.pattern)) else F.lit(True))
         hit = F.coalesce(wanted, F.lit(False)) & F.rlike("text", F.lit(rule.pattern))
-        names.append(f"_spans{n}")
-        out = out.withColumn("_hit", hit).withColumns({
-            "_lengths": F.when(F.col("_hit"), F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), F.char_length)),
-            "_found": F.when(F.col("_hit"), F.regexp_extract_all("text", pattern, F.lit(1))),
-            "_tested": F.when(F.col("_hit"), F.regexp_extract_all("text", pattern, F.lit(1 + rule.group)))})
-        out = out.withColumn("_ends", ends).withColumn(names[-1], F.coalesce(kept, spans)).drop(
-            "_hit", "_lengths", "_found", "_tested", "_ends")
-    return out.withColumn(into, F.array_sort(F.concat(*names))).drop("_kinds", *names)
+        names.append(f"{p}spans{n}")
+        out = out.withColumn(p + "hit", hit).withColumns({
+            p + "lengths": F.when(F.col(p + "hit"), F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), F.char_length)),
+            p + "found": F.when(F.col(p + "hit"), F.regexp_extract_all("text", pattern, F.lit(1))),
+            p + "tested": F.when(F.col(p + "hit"), F.regexp_extract_all("text", pattern, F.lit(1 + rule.group)))})
+        out = out.withColumn(p + "ends", ends).withColumn(names[-1], F.coalesce(kept, spans)).drop(
+            *[p + c for c in ("hit", "lengths", "found", "tested", "ends")])
+    return out.withColumn(into, F.array_sort(F.concat(*names))).drop(p + "kinds", *names)
 
 
 def listed(spans: Column) -> Column:
@@ -133,13 +134,14 @@ def listed(spans: Column) -> Column:
 
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every stretch of overlapping spans replaced by ``mark``; all rows stay, null texts too."""
-    found = scan(docs, rules, "_masked")
-    reach = _running(F.transform("_masked", lambda s: s["end"]), F.size("_masked"), F.greatest)
-    pieces = F.transform("_masked", lambda s, i: F.struct(
-        s["start"].alias("start"), F.when(i == 0, 0).otherwise(F.get("_reach", i - 1)).alias("before")))
-    kept = F.transform(F.filter("_pieces", lambda p: p["start"] >= p["before"]), lambda p: F.concat(
+    spans, reached, parts, kept_ = (own(docs) + n for n in ("masked", "reach", "pieces", "kept"))
+    found = scan(docs, rules, spans)
+    reach = _running(F.transform(spans, lambda s: s["end"]), F.size(spans), F.greatest)
+    pieces = F.transform(spans, lambda s, i: F.struct(
+        s["start"].alias("start"), F.when(i == 0, 0).otherwise(F.get(reached, i - 1)).alias("before")))
+    kept = F.transform(F.filter(parts, lambda p: p["start"] >= p["before"]), lambda p: F.concat(
         F.substring("text", p["before"] + 1, p["start"] - p["before"]), F.lit(mark)))
-    rest = F.substring(F.col("text"), F.element_at("_reach", -1) + 1, F.char_length("text"))
-    text = F.when(F.size("_masked") == 0, F.col("text")).otherwise(F.concat(F.array_join("_kept", ""), rest))
-    return (found.withColumn("_reach", reach).withColumn("_pieces", pieces).withColumn("_kept", kept)
+    rest = F.substring(F.col("text"), F.element_at(reached, -1) + 1, F.char_length("text"))
+    text = F.when(F.size(spans) == 0, F.col("text")).otherwise(F.concat(F.array_join(kept_, ""), rest))
+    return (found.withColumn(reached, reach).withColumn(parts, pieces).withColumn(kept_, kept)
             .withColumn("text", text).select(*docs.columns))

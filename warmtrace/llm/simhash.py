@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import materialise, slices
+from warmtrace.llm.common import materialise, own, slices
 from warmtrace.llm.components import components
 
 BITS = 64
@@ -244,9 +244,10 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     and text any one.  A class without ids keeps one of its texts.  All columns come back as they are;
     an empty table gives no rows.
     """
+    id_, text_, kept_id, kept_text = (own(docs) + n for n in ("id", "text", "kept_id", "kept_text"))
     found = classes(docs, id_column=id_column, text_column=text_column, **options)
     stays = (found.groupBy("class").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash")).alias("k"))
-             .select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_text")))
-    marked = docs.withColumns({"_id": F.col(id_column).cast("bigint"), "_text": F.xxhash64(text_column)})
-    kept = marked.join(stays, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text") == F.col("_kept_text")), "left_semi")
-    return kept.dropDuplicates(["_id", "_text"]).drop("_id", "_text")
+             .select(F.col("k.doc_id").alias(kept_id), F.col("k.text_hash").alias(kept_text)))
+    marked = docs.withColumns({id_: F.col(id_column).cast("bigint"), text_: F.xxhash64(text_column)})
+    kept = marked.join(stays, F.col(id_).eqNullSafe(F.col(kept_id)) & (F.col(text_) == F.col(kept_text)), "left_semi")
+    return kept.dropDuplicates([id_, text_]).drop(id_, text_)
