@@ -6,7 +6,8 @@ so nothing is rescanned per sample: steps are added up per instant, accumulated
 over time chunks, and read off at the sample instants.  Gauges that count
 distinct keys or VMs first turn each key's level into steps of the gauge.
 
-There is one sample per grid second with an arrival, taken at its last arrival.
+There is one sample per grid second with an arrival, taken at its last arrival, unless ``samples`` names the
+instants (``samples.sample_times``).  Those must be arrivals; counts are then since the sample before.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ def is_active(level: Column) -> Column:
 
 
 def _at_samples(steps: DataFrame, sums: list[str], counts: list[str], grid_ms: int,
-                chunk_rows: int) -> DataFrame:
-    """Accumulate steps per instant and read them at the last arrival of each grid bucket.
+                chunk_rows: int, samples: DataFrame | None = None) -> DataFrame:
+    """Accumulate steps per instant and read them at the last arrival of each grid bucket, or at ``samples``.
 
     ``sums`` are levels; ``counts`` are totals of the bucket.  ``steps`` has one
     row per change with ``time``, those columns and ``arrivals``.
@@ -60,6 +61,8 @@ def _at_samples(steps: DataFrame, sums: list[str], counts: list[str], grid_ms: i
     at = steps.groupBy("time").agg(*[F.sum(c).alias(c) for c in [*sums, *counts, "arrivals"]])
     # At most one row per millisecond is left, and it is read twice.
     at = materialise(at)
+    if samples is not None:
+        return _at_instants(at, sums, counts, samples, chunk_rows)
     cut = with_widths(at.withColumn("_bucket", time_chunk("time", grid_ms)), [], "time",
                       chunk_rows, multiple_of=grid_ms)
     levels = running(cut, keys=[], chunk=chunk_of(cut, "time"), order=["time"],
@@ -72,6 +75,21 @@ def _at_samples(steps: DataFrame, sums: list[str], counts: list[str], grid_ms: i
             .select(F.col("time").alias("ts_ms"), *sums, *counts))
 
 
+def _at_instants(at: DataFrame, sums: list[str], counts: list[str], samples: DataFrame, chunk_rows: int) -> DataFrame:
+    """Read levels at given instants; what is counted there is what came since the instant before."""
+    cut = with_widths(at, [], "time", chunk_rows)
+    levels = running(cut, keys=[], chunk=chunk_of(cut, "time"), order=["time"],
+                     sums={f"_{c}": F.col(c) for c in [*sums, *counts]})
+    there = levels.join(samples.select(F.col("ts_ms").alias("time")), "time", "left_semi")
+    there = materialise(there.select("time", *[F.col(f"_{c}").alias(c) for c in [*sums, *counts]]))
+    if counts:
+        cut = with_widths(there, [], "time", chunk_rows)
+        there = running(cut, keys=[], chunk=chunk_of(cut, "time"), order=["time"],
+                        maxes={f"_{c}": F.col(c) for c in counts}, exclusive=True)
+    return there.select(F.col("time").alias("ts_ms"), *sums,
+                        *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in counts])
+
+
 def sample_counts(starts: DataFrame, grid_ms: int = SAMPLE_MS) -> DataFrame:
     """Invocations and cold starts since the previous sample."""
     return (starts.groupBy(time_chunk("ts_ms", grid_ms).alias("_bucket"))
@@ -87,7 +105,8 @@ def per_sample_delta(samples: DataFrame, total: str, name: str, chunk_rows: int
             .drop("_before", WIDTH))
 
 
-def running_gauges(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def running_gauges(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS,
+                   samples: DataFrame | None = None) -> DataFrame:
     """Running invocations and memory at each sample."""
     changes = tr.select(F.explode(F.array(
         F.struct(F.col("ts_ms").alias("time"), F.lit(1).alias("n"),
@@ -95,7 +114,7 @@ def running_gauges(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_rows: int = CH
         F.struct(end_ms().alias("time"), F.lit(-1).alias("n"),
                  (-F.col("memory_mb")).cast("bigint").alias("mb"), F.lit(0).alias("arrivals"))))
         .alias("_c")).select("_c.*")
-    out = _at_samples(changes, ["n", "mb"], [], grid_ms, chunk_rows)
+    out = _at_samples(changes, ["n", "mb"], [], grid_ms, chunk_rows, samples)
     return out.select("ts_ms", F.col("n").alias("running_invocations"), F.col("mb").alias("running_mb"))
 
 
@@ -103,12 +122,13 @@ def _arrival_marks(tr: DataFrame) -> DataFrame:
     return tr.select(F.col("ts_ms").alias("time"), F.lit(1).alias("arrivals"))
 
 
-def running_distinct(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def running_distinct(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS,
+                     samples: DataFrame | None = None) -> DataFrame:
     """Distinct users and functions running at each sample."""
     moves = _key_moves(tr, [("ts_ms", {"running": 1}), (end_ms(), {"running": -1})], ["running"])
     wide = _active_steps(moves, ["running"], chunk_rows)
     marked = wide.unionByName(_arrival_marks(tr), allowMissingColumns=True)
-    return _at_samples(marked, ["running_users", "running_functions"], [], grid_ms, chunk_rows)
+    return _at_samples(marked.fillna(0), ["running_users", "running_functions"], [], grid_ms, chunk_rows, samples)
 
 
 def _key_moves(rows: DataFrame, changes: list, names: list[str]) -> DataFrame:
@@ -134,7 +154,7 @@ def _active_steps(moves: DataFrame, names: list[str], chunk_rows: int) -> DataFr
 
 
 def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = SAMPLE_MS,
-           chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+           chunk_rows: int = CHUNK_ROWS, samples: DataFrame | None = None) -> DataFrame:
     """All gauges from classified starts; with optimised gauges when the starts have them."""
     starts = materialise(starts)
     optimised = "optimised" in starts.columns
@@ -174,7 +194,7 @@ def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = S
     sums = ["running_invocations", "running_mb", "cached_mb"]
     counts = ["invocations", *flags]
     both = per_row.unionByName(by_key, allowMissingColumns=True)
-    at = _at_samples(both.fillna(0), [*sums, *names], counts, grid_ms, chunk_rows)
+    at = _at_samples(both.fillna(0), [*sums, *names], counts, grid_ms, chunk_rows, samples)
     out = (at.withColumn("cached_users", F.col("held_users") - F.col("running_users"))
            .withColumn("cached_functions", F.col("held_functions") - F.col("running_functions")))
     return out.select(*GAUGES, *(OPTIMISED_GAUGES if optimised else []))
@@ -191,20 +211,20 @@ def _vm_moves(tr: DataFrame, rule: str) -> DataFrame:
 
 
 def vm_footprint(tr: DataFrame, rule: str = "owner", vm_mb: int = VM_MB,
-                 grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                 grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS, samples: DataFrame | None = None) -> DataFrame:
     """Memory taken by VMs at each sample under an isolation rule.
 
     ``invocation``: the plain sum.  ``function`` and ``owner``: the group's
     running memory, each function at its first-seen size, in whole VMs.
     """
     if rule == "invocation":
-        plain = running_gauges(tr, grid_ms, chunk_rows)
+        plain = running_gauges(tr, grid_ms, chunk_rows, samples)
         return plain.select("ts_ms", F.floor(F.col("running_mb") / vm_mb).alias("vms"),
                             F.col("running_mb").alias("footprint_mb"))
     steps = level_steps(_vm_moves(tr, rule), [rule], ["vms"], lambda mb: ceil_div(mb, vm_mb), chunk_rows)
     marked = steps.select("time", "vms").unionByName(
         _arrival_marks(tr), allowMissingColumns=True).fillna(0)
-    at = _at_samples(marked, ["vms"], [], grid_ms, chunk_rows)
+    at = _at_samples(marked, ["vms"], [], grid_ms, chunk_rows, samples)
     return at.select("ts_ms", "vms", (F.col("vms") * vm_mb).alias("footprint_mb"))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash32, shuffle_key
 from ..model import arrival_order
-from .running import running
+from .running import CHUNK_ROWS, WIDTH, chunk_of, running, with_widths
+from .stages import materialise
 
 # Share of invocations per language, in assignment order.
 LANGUAGE_SHARES = {"javascript": 48, "python": 24, "java": 28}
@@ -89,6 +90,37 @@ def nearest_benchmark(fn: DataFrame, durations: Mapping[str, Mapping[str, int]]
             .withColumn("benchmark", F.get("_names", pick)).drop("_names"))
 
 
+def nearest_in_catalogue(fn: DataFrame, catalogue: DataFrame, seed: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``nearest_benchmark`` against a table ``language, benchmark, duration_ms`` of any size.
+
+    An as-of join to both sides: the different durations of functions and catalogue are one order for each language,
+    along which the last and the next known duration are carried across chunks.  Of equal distances the shorter, of
+    benchmarks with one duration a drawn one counts; a function without a duration, or whose language the catalogue
+    has not, gets null.  All rows of ``fn`` stay; a column ``benchmark`` is replaced.
+    """
+    named = catalogue.where("duration_ms is not null and benchmark is not null").select(
+        F.lower("language").alias("_language"), F.col("duration_ms").cast("bigint").alias("_ms"), F.col("benchmark").alias("_name")).distinct()
+    place = F.row_number().over(Window.partitionBy("_language", "_ms").orderBy("_name")) - 1
+    named = materialise(named.withColumn("_place", place))
+    known = named.groupBy("_language", "_ms").agg(F.count("*").alias("_names"))
+    fn = fn.drop("benchmark").withColumn("_language", F.lower("language"))
+    asked = fn.where("duration_ms is not null and _language is not null").select("_language", F.col("duration_ms").cast("bigint").alias("_at")).distinct()
+    both = known.select("_language", F.col("_ms").alias("_at"), F.col("_ms").alias("_known"), F.lit(0).alias("_side")).unionByName(
+        asked.select("_language", "_at", F.lit(None).cast("bigint").alias("_known"), F.lit(1).alias("_side")))
+    up = with_widths(both, ["_language"], "_at", chunk_rows)
+    floors = running(up, keys=["_language"], chunk=chunk_of(up, "_at"), order=["_at", "_side"], maxes={"_floor": F.col("_known")}).drop(WIDTH)
+    back = floors.withColumns({"_back": -F.col("_at"), "_from": -F.col("_known")})
+    down = with_widths(back, ["_language"], "_back", chunk_rows)
+    sides = running(down, keys=["_language"], chunk=chunk_of(down, "_back"), order=["_back", "_side"], maxes={"_ceiling": F.col("_from")})
+    floor, ceiling, at = F.col("_floor"), -F.col("_ceiling"), F.col("_at")
+    nearest = sides.where("_side = 1").select("_language", "_at", F.when(ceiling.isNull() | (at - floor <= ceiling - at), floor)
+                                              .otherwise(ceiling).alias("_ms")).join(known, ["_language", "_ms"]).withColumnRenamed("_language", "_of")
+    out = fn.join(nearest, (F.col("_language") == F.col("_of")) & (F.col("duration_ms") == F.col("_at")), "left").drop("_of")
+    out = out.withColumn("_place", F.pmod(hash32(F.col("function"), seed, F.lit("pick")), F.col("_names")).cast("int"))
+    picked = named.select("_language", "_ms", "_place", F.col("_name").alias("benchmark"))
+    return out.join(picked, ["_language", "_ms", "_place"], "left").drop("_language", "_ms", "_place", "_at", "_names")
+
+
 def language_stats(fn: DataFrame, shares: Mapping[str, int] = LANGUAGE_SHARES) -> DataFrame:
     """Functions and invocations per language beside the expected invocations."""
     per = fn.groupBy("language").agg(F.count("*").alias("functions"),

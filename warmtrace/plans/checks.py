@@ -18,6 +18,7 @@ from ..operators import downscale as down
 from ..operators import expand as ex
 from ..operators import gauges as ga
 from ..operators import language as lang
+from ..operators import samples as sa
 from ..operators import series as ser
 from ..operators import starts as st
 from ..operators.running import running, time_chunk
@@ -569,6 +570,40 @@ def _(spark, sf_dir):
     return lang.nearest_benchmark(rows, seed=3).select("seq", "benchmark")
 
 
+# A catalogue from the table of parts: many durations, some of several entries.
+@check("nearest_in_catalogue", BASE + f""", known AS (
+  SELECT DISTINCT 'p' || p_partkey AS benchmark, CASE p_size % 3 WHEN 0 THEN 'java' WHEN 1 THEN 'python' ELSE 'javascript' END AS language,
+         CAST(floor(p_retailprice) AS BIGINT) * 4 AS ms FROM part),
+short AS (
+  SELECT function || '_' || seq AS function, seq, duration_ms % 9000 AS duration_ms,
+         CASE app WHEN 'click' THEN 'java' WHEN 'view' THEN 'python' ELSE 'javascript' END AS language FROM trace),
+distances AS (
+  SELECT a.*, b.benchmark, b.ms, rank() OVER (PARTITION BY seq ORDER BY abs(b.ms - duration_ms), b.ms) AS r
+  FROM short a JOIN known b ON a.language = b.language),
+picked AS (SELECT function, seq, list(benchmark ORDER BY benchmark) AS names FROM distances WHERE r = 1 GROUP BY ALL)
+SELECT seq, names[1 + {hash_sql('function', '3', "'pick'")} % len(names)] AS benchmark FROM picked""")
+def _(spark, sf_dir):
+    return lang.nearest_in_catalogue(*_catalogue_rows(spark, sf_dir), seed=3).select("seq", "benchmark")
+
+
+def _catalogue_rows(spark, sf_dir):
+    language = (F.when(F.col("app") == "click", "java").when(F.col("app") == "view", "python")
+                .otherwise("javascript"))
+    rows = based_trace(spark, sf_dir).select(F.concat_ws("_", "function", "seq").alias("function"), "seq",
+                                             (F.col("duration_ms") % 9000).alias("duration_ms"), language.alias("language"))
+    third = F.col("p_size") % 3
+    known = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.concat(F.lit("p"), "p_partkey").alias("benchmark"),
+        F.when(third == 0, "java").when(third == 1, "python").otherwise("javascript").alias("language"),
+        (F.floor("p_retailprice").cast("bigint") * 4).alias("duration_ms"))
+    return rows, known
+
+
+@check("nearest_in_catalogue_cut", ORACLES["nearest_in_catalogue"])
+def _(spark, sf_dir):
+    return lang.nearest_in_catalogue(*_catalogue_rows(spark, sf_dir), seed=3, chunk_rows=40).select("seq", "benchmark")
+
+
 @check("attach_language", BASE + LANGUAGES + """
 SELECT t.function, t.seq, fn.language, fn.benchmark FROM trace t JOIN fn USING (function)""")
 def _(spark, sf_dir):
@@ -1276,6 +1311,32 @@ def _(spark, sf_dir):
     return ga.gauges(_optimised(spark, sf_dir), KEEPALIVE).select(*big(*ga.GAUGES, *ga.OPTIMISED_GAUGES))
 
 
+# The rule itself: every sample is the first arrival more than the gap after the last one, the first after 0.
+GAP = 600_000
+JUMPS = f""", instants AS (SELECT DISTINCT ts_ms FROM trace UNION SELECT 0),
+jumps AS (SELECT a.ts_ms AS s, min(b.ts_ms) AS next FROM instants a ASOF JOIN instants b ON a.ts_ms + {GAP} < b.ts_ms GROUP BY ALL),
+orbit AS (SELECT next AS s FROM jumps WHERE s = 0 UNION ALL SELECT jumps.next FROM orbit JOIN jumps USING (s)),
+samples AS (SELECT s FROM orbit UNION SELECT max(ts_ms) FROM trace)"""
+
+
+@check("sample_times", BASE + JUMPS + " SELECT s AS ts_ms FROM samples")
+def _(spark, sf_dir):
+    return sa.sample_times(trace(spark, sf_dir), GAP)
+
+
+@check("sample_times_cut", ORACLES["sample_times"])
+def _(spark, sf_dir):
+    return sa.sample_times(trace(spark, sf_dir), GAP, chunk_ms=400_000)
+
+
+@check("gauges_at_samples", BASE + _starts_sql() + _gauge_sql("starts").replace(SAMPLES, JUMPS).replace(
+    "SELECT max(ts_ms) AS s, count(*) AS invocations", "SELECT s, count(*) AS invocations").replace(
+    "FROM rec GROUP BY ts_ms // 1000)", "FROM rec ASOF JOIN samples ON rec.ts_ms <= samples.s GROUP BY s)"))
+def _(spark, sf_dir):
+    tr = trace(spark, sf_dir)
+    return ga.gauges(st.classify_starts(tr, KEEPALIVE), KEEPALIVE, samples=sa.sample_times(tr, GAP)).select(*big(*ga.GAUGES))
+
+
 def _vm_sql(inner):
     return SAMPLES + f""", sized AS (
   SELECT *, first_value(memory_mb) OVER (PARTITION BY owner, function ORDER BY ts_ms, seq) AS mb FROM trace),
