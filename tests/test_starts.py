@@ -193,3 +193,30 @@ def test_gauges_match_model(spark):
         same = [x for x in full if x[4] // 1000 == r.ts_ms // 1000]
         assert r.invocations == len(same)
         assert r.cold == sum(model[x[1], x[5]][0] for x in same)
+
+
+def test_roots_by_pointer_doubling_equal_following():
+    import numpy as np
+
+    from warmtrace.operators.starts import _head_step, _roots
+    rng = np.random.default_rng(2)
+    rows, expected = [], []
+    for key in range(6):
+        heads = {}
+        for seq in rng.permutation(120).tolist():
+            link = int(rng.choice(list(heads))) if heads and rng.random() < 0.8 else None
+            head = heads.pop(link) if link is not None else seq
+            if link is None and rng.random() < 0.2:
+                link = 1000 + seq   # a row of an earlier run
+            heads[seq] = head
+            rows.append((f"f{key // 2}", key % 2, seq, link))
+            expected.append(head)
+    import pyarrow as pa
+    kept = [any(o[:2] == r[:2] and o[3] == r[2] for o in rows) for r in rows]
+    table = pa.table({"function": [r[0] for r in rows], "chunk": [r[1] for r in rows], "seq": pa.array([r[2] for r in rows], pa.int64()),
+                      "previous": pa.array([r[3] for r in rows], pa.int64()), "_kept": kept})
+    for size in (1, 7, 100, 1000):
+        step, _ = _head_step(["function", "chunk"], "")
+        assert [h for b in step(iter(table.to_batches(max_chunksize=size))) for h in b.column(b.num_columns - 1).to_pylist()] == expected
+    parent, taken = _roots(np.zeros(4, int), np.array([5, 6, 7, 8]), np.array([0, 5, 6, 99]), np.array([False, True, True, True]))
+    assert parent.tolist() == [0, 0, 0, 3] and sorted(taken.tolist()) == [0, 1]

@@ -17,6 +17,7 @@ result as one pass over its history.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,6 @@ def _clamp_scan(keys: list[str], schema: str):
     names, widest = list(keys), WIDEST
 
     def steps(batches):
-        import numpy as np
         import pyarrow as pa
 
         carried = None  # (key, lo, hi) after the last row of the previous batch
@@ -186,47 +186,81 @@ def _linked(tr: DataFrame, keepalive_ms: int, chunk_rows: int, previous: bool) -
     return out
 
 
-def _head_step(keys: list[str], follow: str, kept: str | None, schema: str):
-    """Arrow step: follow ``follow`` links back to the first row of each run of ``keys``.
+def _roots(run: np.ndarray, seq: np.ndarray, link: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the first row of each row's chain, and the places that are linked to, by pointer doubling.
 
-    Rows come in time order, so the row a link points at was seen before or
-    belongs to an earlier run.  Only rows that will be followed are remembered.
+    A link points at the row of that ``seq`` in the same run; one that points at none begins a chain.
+    """
+    values, code = np.unique(np.concatenate([seq, link[linked]]), return_inverse=True)
+    names = run * len(values) + code[:len(seq)]
+    order = np.argsort(names)
+    wanted = run[linked] * len(values) + code[len(seq):]
+    at = np.minimum(np.searchsorted(names[order], wanted), len(seq) - 1)
+    found = names[order][at] == wanted
+    parent = np.arange(len(seq))
+    targets = order[at[found]]
+    parent[np.flatnonzero(linked)[found]] = targets
+    while True:
+        above = parent[parent]
+        if (above == parent).all():
+            return parent, targets
+        parent = above
+
+
+def _head_step(keys: list[str], schema: str):
+    """Arrow step: the first row of each row's container in its run of ``keys``, by the links ``previous``.
+
+    Rows come in time order, so that a link points at a row before, or out of the run.  Between batches only the rows of
+    the open run that will still be taken (``_kept``) are remembered.
     """
-    names = list(keys)
-
     def steps(batches):
         import pyarrow as pa
 
-        key, heads = None, {}
+        last, held_seq, held_head = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            keys_of_rows = zip(*[batch.column(n).to_pylist() for n in names])
-            seqs = batch.column("seq").to_pylist()
-            links = batch.column(follow).to_pylist()
-            keeps = batch.column(kept).to_pylist() if kept else [True] * len(seqs)
-            found = []
-            for row_key, seq, link, keep in zip(keys_of_rows, seqs, links, keeps):
-                if row_key != key:
-                    key, heads = row_key, {}
-                if link is None:
-                    head = seq
-                elif kept:
-                    head = heads.pop(link, seq)
-                else:
-                    head = heads.pop(link, link)
-                if keep:
-                    heads[seq] = head
-                found.append(head)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())],
-                                             [*batch.schema.names, "head"])
+            if not len(batch):
+                continue
+            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in keys]
+            new = np.zeros(len(batch), bool)
+            for column in columns:
+                new[1:] |= column[1:] != column[:-1]
+            if last != tuple(c[0] for c in columns):
+                held_seq, held_head = held_seq[:0], held_head[:0]
+            n = len(held_seq)
+            run = np.concatenate([np.zeros(n, np.int64), np.cumsum(new)])
+            seq = np.concatenate([held_seq, batch.column("seq").to_numpy()])
+            links = batch.column("previous")
+            linked = np.concatenate([np.zeros(n, bool), links.is_valid().to_numpy(zero_copy_only=False)])
+            link = np.concatenate([held_seq, links.fill_null(0).to_numpy()])
+            root, taken = _roots(run, seq, link, linked)
+            head = np.concatenate([held_head, seq[n:]])[root]
+            stays = np.concatenate([np.ones(n, bool), batch.column("_kept").to_numpy(zero_copy_only=False)]) & (run == run[-1])
+            stays[taken] = False
+            last, held_seq, held_head = tuple(c[-1] for c in columns), seq[stays], head[stays]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head[n:], pa.int64())], [*batch.schema.names, "head"])
 
     return steps, schema + ", head bigint"
 
 
+def _ranked(enter: DataFrame) -> DataFrame:
+    """function, head, container_id: where the pointers ``above`` of first rows end, by pointer doubling.
+
+    Each round joins the pointers with themselves, and doubles how far they reach: as many rounds as the chunks that the
+    longest container lives through have binary digits.  A row is a container in a chunk; no function is in one task.
+    """
+    pointers = materialise(enter.select("function", F.col("seq").alias("head"), "above"))
+    while True:
+        hop = pointers.select("function", F.col("head").alias("above"), F.col("above").alias("_next"))
+        pointers = materialise(pointers.select("function", "head", "above").join(hop, ["function", "above"], "left").select(
+            "function", "head", F.coalesce("_next", "above").alias("above"), F.col("_next").isNotNull().alias("moved")))
+        if pointers.where("moved").isEmpty():
+            return pointers.select("function", "head", F.col("above").alias("container_id"))
+
+
 def _chains(linked: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows with the first row of their container in their time chunk, and a table of those first rows.
 
-    Each chunk is followed apart; then only the first rows, one per container
-    and chunk, are followed through a function's chunks.
+    Each chunk is followed apart; then only the first rows, one per container and chunk, are followed from chunk to chunk.
     """
     keys = ["function", "chunk"]
     linked = materialise(linked)
@@ -234,17 +268,11 @@ def _chains(linked: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
     rows = (cut.withColumn("chunk", chunk_of(cut, "ts_ms")).drop(WIDTH)
             .withColumn("_kept", F.col("reused_by").isNotNull())
             .repartition(*keys).sortWithinPartitions(*keys, *FUNCTION_ORDER))
-    step, schema = _head_step(keys, "previous", "_kept", _ddl(rows))
+    step, schema = _head_step(keys, _ddl(rows))
     rows = materialise(rows.mapInArrow(step, schema).drop("_kept"))
     enter = rows.where(F.col("previous").isNotNull() & (F.col("head") == F.col("seq")))
     above = rows.select("function", F.col("seq").alias("previous"), F.col("head").alias("above"))
-    enter = (enter.select("function", "ts_ms", "seq", "previous")
-             .join(above, ["function", "previous"])
-             .select("function", "ts_ms", "seq", "above")
-             .repartition("function").sortWithinPartitions("function", *FUNCTION_ORDER))
-    step, schema = _head_step(["function"], "above", None, _ddl(enter))
-    entered = enter.mapInArrow(step, schema).select(
-        "function", F.col("seq").alias("head"), F.col("head").alias("container_id"))
+    entered = _ranked(enter.select("function", "seq", "previous").join(above, ["function", "previous"]))
     begun = rows.where("cold").select("function", F.col("seq").alias("head"),
                                       F.col("seq").alias("container_id"))
     return rows, begun.unionByName(entered)
