@@ -49,7 +49,7 @@ def test_odd_rows_pass_all_stages(spark, odd, empty):
 def test_all_operators_are_registered():
     names = entry.queries()
     assert [n for n, _ in cp.STAGES] and "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
 
 
