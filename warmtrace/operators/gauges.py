@@ -13,6 +13,7 @@ instants (``samples.sample_times``).  Those must be arrivals; counts are then si
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,28 +201,44 @@ def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = S
     return out.select(*GAUGES, *(OPTIMISED_GAUGES if optimised else []))
 
 
-def _vm_moves(tr: DataFrame, rule: str) -> DataFrame:
+@dataclass(frozen=True)
+class IsolationRule:
+    """Which invocations share VMs: those with equal ``keys``, columns of the trace.
+
+    ``vms`` makes a number of VMs of a group's running memory in MB, 0 of 0; without it they are whole VMs of ``vm_mb``.
+    """
+
+    keys: tuple[str, ...]
+    vms: Callable[[Column], Column] | None = None
+
+
+RULES = {"function": IsolationRule(("function",)), "owner": IsolationRule(("owner",))}
+
+
+def _vm_moves(tr: DataFrame, keys: list[str]) -> DataFrame:
     """Moves of the level each VM count is taken from, each function at its first-seen size."""
-    keys = ["owner", "function"] if rule == "owner" else ["function"]
-    first = tr.groupBy(*keys).agg(F.min_by("memory_mb", arrival_order()).cast("bigint").alias("_mb"))
-    sized = tr.select("owner", "function", "ts_ms", "duration_ms").join(first, keys)
-    return sized.select(rule, F.explode(F.array(
+    sized_by = list(dict.fromkeys([*keys, "function"]))
+    first = tr.groupBy(*sized_by).agg(F.min_by("memory_mb", arrival_order()).cast("bigint").alias("_mb"))
+    sized = tr.select(*sized_by, "ts_ms", "duration_ms").join(first, sized_by)
+    return sized.select(*keys, F.explode(F.array(
         F.struct(F.col("ts_ms").alias("time"), F.col("_mb").alias("vms")),
-        F.struct(end_ms().alias("time"), (-F.col("_mb")).alias("vms")))).alias("_m")).select(rule, "_m.*")
+        F.struct(end_ms().alias("time"), (-F.col("_mb")).alias("vms")))).alias("_m")).select(*keys, "_m.*")
 
 
-def vm_footprint(tr: DataFrame, rule: str = "owner", vm_mb: int = VM_MB,
+def vm_footprint(tr: DataFrame, rule: str | IsolationRule = "owner", vm_mb: int = VM_MB,
                  grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS, samples: DataFrame | None = None) -> DataFrame:
     """Memory taken by VMs at each sample under an isolation rule.
 
-    ``invocation``: the plain sum.  ``function`` and ``owner``: the group's
-    running memory, each function at its first-seen size, in whole VMs.
+    ``invocation``: the plain sum.  ``function``, ``owner`` or a rule of one's own: the group's
+    running memory, each function at its first-seen size in the group, in VMs.
     """
     if rule == "invocation":
         plain = running_gauges(tr, grid_ms, chunk_rows, samples)
         return plain.select("ts_ms", F.floor(F.col("running_mb") / vm_mb).alias("vms"),
                             F.col("running_mb").alias("footprint_mb"))
-    steps = level_steps(_vm_moves(tr, rule), [rule], ["vms"], lambda mb: ceil_div(mb, vm_mb), chunk_rows)
+    rule = RULES[rule] if isinstance(rule, str) else rule
+    vms = rule.vms or (lambda mb: ceil_div(mb, vm_mb))
+    steps = level_steps(_vm_moves(tr, list(rule.keys)), list(rule.keys), ["vms"], vms, chunk_rows)
     marked = steps.select("time", "vms").unionByName(
         _arrival_marks(tr), allowMissingColumns=True).fillna(0)
     at = _at_samples(marked, ["vms"], [], grid_ms, chunk_rows, samples)

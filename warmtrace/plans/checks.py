@@ -17,6 +17,7 @@ from ..operators import aggregate as agg
 from ..operators import downscale as down
 from ..operators import expand as ex
 from ..operators import gauges as ga
+from ..functions import ceil_div
 from ..operators import language as lang
 from ..operators import samples as sa
 from ..operators import series as ser
@@ -1352,6 +1353,14 @@ def _(spark, sf_dir):
     return ga.vm_footprint(trace(spark, sf_dir), "function")
 
 
+# A rule that is not built in: an application's functions share VMs, which come in pairs.
+@check("vm_footprint_rule", BASE + _vm_sql("SELECT s, split_part(function, '_', 2) AS app, sum(mb) AS load FROM live GROUP BY ALL").replace(
+    "sum(ceil(load / 1024))", "sum(2 * ceil(load / 2048))") + " SELECT ts_ms, vms, vms * 1024 AS footprint_mb FROM vm")
+def _(spark, sf_dir):
+    pairs = ga.IsolationRule(("app",), lambda mb: 2 * ceil_div(mb, 2048))
+    return ga.vm_footprint(based_trace(spark, sf_dir), pairs)
+
+
 OWNER_VMS = _vm_sql("SELECT s, owner, sum(mb) AS load FROM live GROUP BY ALL")
 
 
