@@ -12,7 +12,7 @@ import pyarrow as pa
 from warmtrace.llm.common import factorised
 
 # A worker remembers the ids of at most twice this many different pieces of text, about 100 bytes each.
-CACHED = 100_000
+CACHED = 200_000
 # ASCII and Latin-1 letters, then ASCII punctuation but the apostrophe: two tokens' words for sure.
 PLAIN = re.compile("[a-z]*|[!-&(-/:-@\\[-`{-~]*")
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
