@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from warmtrace.llm.common import factorised, materialise, own, slices
+from warmtrace.llm.lookup import Lookup, Words, mixed
 
 ADDED = 0.1          # to every word's count
 DISCOUNT = 0.5       # from every listed next word's count
@@ -43,15 +44,15 @@ PARTS = 4            # partitions of contexts for each of Spark's shuffle partit
 class Model:
     """``words`` are the frequent ones in the order of their numbers; the last number is the end of a text.
 
-    ``keys`` are the names of frequent sequences, sorted, and ``values`` what they add to a score, in log10;
+    ``keys`` has the names of frequent sequences, and ``values`` what they add to a score, in log10;
     ``rest`` has those of all others as a table key, value, and ``sieve`` a bitmap of its keys.
     """
 
-    words: dict[bytes, int]
+    words: Words
     counts: np.ndarray
     tokens: int
     different: int
-    keys: np.ndarray
+    keys: Lookup
     values: np.ndarray
     longest: int = 0                                # words of the longest sequence
     sieve: np.ndarray | None = None
@@ -66,27 +67,21 @@ class Model:
         return self.tokens + ADDED * (self.different + 1)
 
 
-def _rare(word: bytes) -> int:
-    import xxhash
-
-    return -2 - (xxhash.xxh64_intdigest(word) >> 2)
+def _ids_of(words: Words, seen: pa.Array) -> np.ndarray:
+    """Numbers of words, hashes under -1 for other words than the frequent ones."""
+    number, hashes = words.numbers(seen)
+    return np.where(number >= 0, number, -2 - (hashes >> np.uint64(2)).view(np.int64))
 
 
 def _joined(names: np.ndarray, words: np.ndarray) -> np.ndarray:
     """64-bit names of sequences, each made longer by a word."""
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
     return mixed(names.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(words.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))).view(np.int64)
 
 
-def _numbered(texts: pa.Array, words: dict[bytes, int], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+def _numbered(texts: pa.Array, words: Words, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Numbers of all tokens with the end after each text, hashes under -1 for other words; where texts begin; and the words."""
     first, codes, seen = factorised(texts)
-    raw = seen.cast(pa.large_binary() if pa.types.is_large_string(seen.type) else pa.binary()).to_pylist()
-    number = np.fromiter((words[w] if w in words else _rare(w) for w in raw), np.int64, len(raw))
+    number = _ids_of(words, seen)
     begins = first + np.arange(len(first))
     out = np.full(begins[-1], end, np.int64)
     at = np.ones(len(out), bool)
@@ -106,14 +101,6 @@ def _behind(numbers: np.ndarray, begins: np.ndarray, steps: int) -> np.ndarray:
     return out
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of ``wanted`` in sorted ``keys``, -1 where absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (binary), n: every word of every text, added up in the tasks first."""
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +230,9 @@ def _added(rows: np.ndarray) -> np.ndarray:
 
 def _sent(rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """One compressed block for each partition of contexts, ordered by the first words."""
-    rows = rows[:, np.argsort(rows[0])]
     part = (_chain(rows[:-2]).view(np.uint64) % np.uint64(parts)).astype(np.uint16)
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(rows[0])
+    order = order[np.argsort(part[order], kind="stable")]
     part, rows = part[order], rows[:, order]
     cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
     for at in range(0, len(cuts) - 1, 64):
@@ -299,9 +286,8 @@ def _merged(source: Iterator[pa.RecordBatch], length: int, most: np.ndarray) ->
 def _base(counts: DataFrame, shared, ends: int) -> DataFrame:
     """pair, p: the smoothed probability of each word, and of the end, by name."""
     def number(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value.words
         for batch in source:
-            ids = np.fromiter((words[w] if w in words else _rare(w) for w in batch["word"].to_pylist()), np.int64, len(batch))
+            ids = _ids_of(shared.value.words, batch["word"])
             yield pa.RecordBatch.from_arrays([pa.array(_chain(ids[None])), batch["n"]], names=["pair", "n"])
 
     model = shared.value
@@ -327,8 +313,8 @@ def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 1e-6
     least = _most_frequent(counts, most_words)
     frequent = [(bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= least).collect()]
     frequent.sort(key=lambda r: (-r[1], r[0]))
-    model = Model({w: i for i, (w, _) in enumerate(frequent)}, np.array([n for _, n in frequent] + [ends], np.int64),
-                  tokens, different, np.zeros(0, np.int64), np.zeros(0))
+    model = Model(Words.of([w for w, _ in frequent]), np.array([n for _, n in frequent] + [ends], np.int64),
+                  tokens, different, Lookup.of(np.zeros(0, np.int64)), np.zeros(0))
     shared = spark.sparkContext.broadcast(model)
     ids = materialise(_ids(texts, shared))
     parts = min(1 << 16, PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -363,7 +349,7 @@ def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 1e-6
     if sieve is not None:
         sieve.destroy()
     shared.destroy()
-    return replace(model, keys=held["key"].to_numpy(), values=held["value"].to_numpy(), longest=longest, sieve=_sieve(rest), rest=rest), counts
+    return replace(model, keys=Lookup.of(held["key"].to_numpy()), values=held["value"].to_numpy(), longest=longest, sieve=_sieve(rest), rest=rest), counts
 
 
 def _level(found: DataFrame, before: DataFrame, bits: float) -> DataFrame:
@@ -388,7 +374,7 @@ def _values(model: Model, numbers: np.ndarray, begins: np.ndarray, text: np.ndar
     """What held sequences add to each token; and for each length texts, names that ``rest`` may have, and how often."""
     out, asked = np.zeros(len(numbers)), []
     for name, there in _names(numbers, begins, model.longest):
-        place = _find(model.keys, name)
+        place = model.keys.find(name)
         held = there & (place >= 0)
         out[held] += model.values[place[held]]
         open_ = there & ~held
