@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from warmtrace.operators.stages import materialise
 
-__all__ = ["materialise", "own", "table", "remainder", "words_of", "columns", "batches", "slices", "hashed_sample", "factorised", "word_list"]
+__all__ = ["materialise", "own", "table", "remainder", "words_of", "columns", "batches", "slices", "freeing", "hashed_sample", "factorised", "word_list"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,17 @@ def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 1024,
         first = max(first + 1, last)
 
 
+def freeing(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same step of ``mapInArrow``; a worker that waits for its next task keeps no free memory of this one."""
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(source)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, most_bytes: int = 16 << 20,
             weight=None) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of at most ``most`` rows and about ``most_bytes``; ``weight`` gives a row's bytes."""

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from warmtrace.llm.common import factorised, materialise, own, slices
+from warmtrace.llm.common import factorised, freeing, materialise, own, slices
 from warmtrace.llm.lookup import Lookup, Words, mixed
 
 ADDED = 0.1          # to every word's count
@@ -37,6 +37,7 @@ DISCOUNT = 0.5       # from every listed next word's count
 OTHER = 1 << 62      # in the place of a next word: one that is listed nowhere
 SIEVE_BITS = 27      # at most, of the bitmap that tells which keys a table surely has not
 HELD = 400_000     # sequences that a task adds up before it sends them
+BLOCK = 3 << 19      # bytes of text that a worker has as arrays at a time
 PARTS = 4            # partitions of contexts for each of Spark's shuffle partitions
 
 
@@ -106,7 +107,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in source:
-            for some in slices(batch):
+            for some in slices(batch, size=BLOCK):
                 _, codes, seen = factorised(some["text"])
                 n = np.bincount(codes, minlength=len(seen))
                 kept = np.nonzero(n)[0]
@@ -121,7 +122,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         whole = pa.concat_tables(tables).combine_chunks().group_by("word").aggregate([("n", "sum")])
         yield from whole.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(max_chunksize=50_000)
 
-    return texts.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(freeing(count), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _most_frequent(counts: DataFrame, most: int) -> int:
@@ -160,12 +161,12 @@ def _ids(texts: DataFrame, shared) -> DataFrame:
     def number(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in source:
-            for some in slices(batch):
+            for some in slices(batch, size=BLOCK):
                 ids, begins, *_ = _numbered(some["text"], model.words, model.size - 1)
                 yield pa.RecordBatch.from_arrays([pa.array([pa.compress(ids.tobytes(), "zstd", asbytes=True)], pa.binary()),
                     pa.array([np.diff(begins)], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64())], names=["ids", "sizes", "tokens"])
 
-    return texts.mapInArrow(number, "ids binary, sizes array<bigint>, tokens bigint")
+    return texts.mapInArrow(freeing(number), "ids binary, sizes array<bigint>, tokens bigint")
 
 
 def _names(ids: np.ndarray, begins: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -204,7 +205,7 @@ def _runs(ids: DataFrame, length: int, sieve, parts: int) -> DataFrame:
         if held:
             yield from _sent(_added(np.concatenate(held, axis=1)), parts)
 
-    return ids.mapInArrow(count, "part int, run binary, rows bigint")
+    return ids.mapInArrow(freeing(count), "part int, run binary, rows bigint")
 
 
 def _chain(words: np.ndarray) -> np.ndarray:
@@ -324,7 +325,7 @@ def learn(training: DataFrame, *, most_words: int = 200_000, share: float = 1e-6
         runs = _runs(ids, length, sieve, parts).repartition("part").sortWithinPartitions("part")
         # Of a single word's suffix, the empty one, the workers know the frequent words' probabilities.
         most = -np.log2((model.counts + ADDED) / model.total) / bits if length == 1 else np.zeros(0)
-        merged = runs.mapInArrow(lambda source, length=length, most=most: _merged(source, length, most), "context bigint, pair bigint, under bigint, n bigint, total bigint")
+        merged = runs.mapInArrow(freeing(lambda source, length=length, most=most: _merged(source, length, most)), "context bigint, pair bigint, under bigint, n bigint, total bigint")
         level = materialise(_level(merged, before, bits))
         found.append(level.where("kept"))
         some = level.agg(F.count_if("kept"), F.count_if("longer")).first()
@@ -409,7 +410,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def scored(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in source:
-            for some in slices(batch):
+            for some in slices(batch, size=BLOCK):
                 yield from _scored(some, shared.value, row)
                 row += len(some)
 
@@ -449,7 +450,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                      *[pa.nulls(len(some_of), pa.int64())] * 2, *[pa.nulls(len(some_of), pa.float64())] * 2, pa.nulls(len(some_of), pa.binary()),
                      pa.array(times[begin:begin + 50_000]), pa.array(key[begin:begin + 50_000])], names=names)
 
-    rows = materialise(plain.mapInArrow(scored, schema))
+    rows = materialise(plain.mapInArrow(freeing(scored), schema))
     rare = rows.where(F.col(word_).isNotNull()).select(row_, F.col(word_).alias("word"), times_)
     seldom = counts.where(F.col("n") <= (int(model.counts[:-1].min()) if model.size > 1 else 1 << 62))
     met = rare.join(seldom, "word", "left").select(row_, times_, F.coalesce("n", F.lit(0)).alias("n"))
