@@ -804,6 +804,35 @@ def _(spark, sf_dir):
     return tr.withColumn("memory_mb", F.col("memory_mb").cast("bigint"))
 
 
+REPORTED = """, rows AS (
+  SELECT owner, function, seq, ts_ms < 5040 * 60000 AS inside, memory_mb > 0 AS sized, floor(duration_ms / 4 + 0.5) > 0 AS timed
+  FROM trace WHERE app <> 'error'),
+loaded AS (SELECT * FROM rows WHERE inside AND sized AND timed),
+best AS (SELECT owner, count(DISTINCT function) AS f FROM loaded GROUP BY owner ORDER BY f DESC, owner LIMIT 7),
+generated AS (SELECT * FROM loaded WHERE owner IN (SELECT owner FROM best))"""
+
+
+def _reported(spark, sf_dir):
+    rows = rd.parse_event_rows(_event_lines(spark, sf_dir)).withColumnRenamed("row_pos", "seq")
+    return pipe.generate_reported(rows, 0, 5039, {"users": 7})
+
+
+@check("generate_report", BASE + REPORTED + """
+SELECT 0 AS pos, 'read' AS step, count(*) AS rows FROM rows
+UNION ALL SELECT 1, 'outside_range', count(*) FILTER (NOT inside) FROM rows
+UNION ALL SELECT 2, 'no_memory', count(*) FILTER (inside AND NOT sized) FROM rows
+UNION ALL SELECT 3, 'no_duration', count(*) FILTER (inside AND sized AND NOT timed) FROM rows
+UNION ALL SELECT 4, 'loaded', count(*) FROM loaded
+UNION ALL SELECT 5, 'generated', count(*) FROM generated""")
+def _(spark, sf_dir):
+    return _reported(spark, sf_dir)[1]
+
+
+@check("generate_reported", BASE + REPORTED + " SELECT owner, function, seq FROM generated")
+def _(spark, sf_dir):
+    return _reported(spark, sf_dir)[0].select("owner", "function", "seq")
+
+
 @check("align_matrices", BASE + POSITIONS + """
 SELECT time_s, pos, CAST(n AS DOUBLE) AS count, round(delay, 6) AS delay_ms, round(memory, 6) AS memory
 FROM cells WHERE memory IS NOT NULL""")

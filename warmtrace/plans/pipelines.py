@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import KEEPALIVE_MS, MINUTES_PER_DAY, MINUTES_PER_WEEK, as_trace
-from ..operators.aggregate import dense_ids, replace_ids
+from ..model import KEEPALIVE_MS, MS_PER_MINUTE, MINUTES_PER_DAY, MINUTES_PER_WEEK, as_trace
+from ..operators.aggregate import dense_ids, load_report, replace_ids
 from ..operators.downscale import downscale
 from ..operators.expand import (align_matrices, attach_app_memory, attach_profile,
                                 drop_empty_minutes, drop_incomplete, expand_counts,
@@ -17,6 +18,7 @@ from ..operators.expand import (align_matrices, attach_app_memory, attach_profil
                                 zip_event_arrays)
 from ..operators.gauges import gauges
 from ..operators.language import assign_language, nearest_benchmark
+from ..operators.stages import materialise
 from ..operators.starts import classify_optimised, classify_starts
 from ..functions import convert_units, round_py
 from ..sources import readers
@@ -137,6 +139,26 @@ def generate(spark: SparkSession, source: Source, limits: dict | None = None, co
     return replace_ids(replace_ids(out, owners, "owner"), functions, "function"), owners, functions
 
 
+def generate_reported(rows: DataFrame, first: int, last: int, limits: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """A downscaled trace of flat events, and its report ``pos, step, rows``.
+
+    Every row that is read counts once: as loaded, or under the first reason to skip it, a null being a reason too.  The
+    counts come with the passes that write the loaded and the generated trace; nothing is scanned to count.
+    """
+    inside = F.col("ts_ms").between(first * MS_PER_MINUTE, (last + 1) * MS_PER_MINUTE - 1)
+    skipped, before = {}, F.lit(True)
+    for name, fine in {"outside_range": inside, "no_memory": F.col("memory_mb") > 0, "no_duration": F.col("duration_ms") > 0}.items():
+        fine = F.coalesce(fine, F.lit(False))
+        skipped[name], before = before & ~fine, before & fine
+    read, seen = load_report(rows, f"read-{uuid.uuid4().hex}", **skipped, loaded=before)
+    loaded = materialise(event_rows_to_trace(read, first, last))
+    left, kept = load_report(downscale(loaded, **(limits or {})), f"generated-{uuid.uuid4().hex}")
+    out = materialise(left)
+    counts = {"read": seen.get["rows"], **{n: seen.get[n] for n in [*skipped, "loaded"]}, "generated": kept.get["rows"]}
+    report = rows.sparkSession.createDataFrame([(i, n, c) for i, (n, c) in enumerate(counts.items())], "pos bigint, step string, rows bigint")
+    return out, report
+
+
 def languages(tr: DataFrame, seed: int = 0) -> DataFrame:
     """Language and benchmark of every function."""
     return nearest_benchmark(assign_language(tr, seed=seed), seed=seed)
