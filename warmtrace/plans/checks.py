@@ -1447,7 +1447,7 @@ def _(spark, sf_dir):
     return down.cap_memory(_longer(spark, sf_dir), 8192, mode="exact", chunk_rows=CUT).select("seq")
 
 
-# --- streams: all rows in one run, then what the watermark has made final --------------------
+# --- streams: all rows in one run, then a closing row ---------------------------------------
 
 def _stream_trace(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -1466,8 +1466,11 @@ def _finished(df):
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
-FINAL = """, mark AS (SELECT max(raw_ms) - 10000 AS w FROM raw),
-timed AS (SELECT seq, owner, function, memory_mb, duration_ms, raw_ms AS ts_ms FROM raw)"""
+def _whole(spark, sf_dir, step):
+    return strm.run_to_end(_stream_trace(spark, sf_dir), step, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
+TIMED = """, timed AS (SELECT seq, owner, function, memory_mb, duration_ms, raw_ms AS ts_ms FROM raw)"""
 
 
 @check("stream_load", BASE + """
@@ -1516,27 +1519,26 @@ def _(spark, sf_dir):
     return pipe.generate(spark, day, compress=True, first=1, last=60)[2]
 
 
-@check("stream_sample_counts", BASE + FINAL + """
-SELECT max(ts_ms) AS ts_ms, count(*) AS invocations FROM timed, mark
-GROUP BY ts_ms // 1000, w HAVING (ts_ms // 1000 + 1) * 1000 <= w""")
+@check("stream_sample_counts", BASE + TIMED + """
+SELECT max(ts_ms) AS ts_ms, count(*) AS invocations FROM timed GROUP BY ts_ms // 1000""")
 def _(spark, sf_dir):
-    return _finished(strm.stream_sample_counts(_stream_trace(spark, sf_dir)))
+    return _whole(spark, sf_dir, strm.stream_sample_counts)
 
 
-@check("stream_classify_starts", BASE + FINAL + _starts_sql("timed") + """
+@check("stream_classify_starts", BASE + TIMED + _starts_sql("timed") + """
 SELECT starts.function, starts.seq, cold, sim.previous, container_id
-FROM starts JOIN sim ON sim.function = starts.function AND sim.seq = starts.seq, mark WHERE ts_ms <= w""")
+FROM starts JOIN sim ON sim.function = starts.function AND sim.seq = starts.seq""")
 def _(spark, sf_dir):
-    out = _finished(strm.stream_classify_starts(_stream_trace(spark, sf_dir), KEEPALIVE))
+    out = _whole(spark, sf_dir, lambda tr: strm.stream_classify_starts(tr, KEEPALIVE))
     return out.select("function", "seq", "cold", "previous", "container_id")
 
 
-@check("stream_hot_functions", BASE + FINAL + f""", hits AS (
+@check("stream_hot_functions", BASE + TIMED + f""", hits AS (
   SELECT function, ts_ms, lag(ts_ms, {HOT_N}) OVER (PARTITION BY function ORDER BY ts_ms) >= ts_ms - 86400000 * 2 AS hit
   FROM timed)
-SELECT function, min(ts_ms) AS hot_since FROM hits, mark WHERE hit AND ts_ms <= w GROUP BY function""")
+SELECT function, min(ts_ms) AS hot_since FROM hits WHERE hit GROUP BY function""")
 def _(spark, sf_dir):
-    return _finished(strm.stream_hot_functions(_stream_trace(spark, sf_dir), HOT_N, 86_400_000 * 2))
+    return _whole(spark, sf_dir, lambda tr: strm.stream_hot_functions(tr, HOT_N, 86_400_000 * 2))
 
 
 SESSIONS = f""", gaps AS (
@@ -1548,13 +1550,57 @@ sessions AS (SELECT function, min(ts_ms) AS first_ms, max(ts_ms + duration_ms +
              count(*) AS invocations FROM numbered GROUP BY function, n)"""
 
 
-@check("active_sessions", BASE + FINAL + SESSIONS + " SELECT * FROM sessions")
+@check("active_sessions", BASE + TIMED + SESSIONS + " SELECT * FROM sessions")
 def _(spark, sf_dir):
     timed = event_trace(spark, sf_dir).withColumn("event_time", F.timestamp_millis("ts_ms"))
     return strm.active_sessions(timed, KEEPALIVE)
 
 
-@check("stream_active_sessions", BASE + FINAL + SESSIONS + """
-SELECT sessions.* FROM sessions, mark WHERE until_ms <= w""")
+@check("stream_active_sessions", BASE + TIMED + SESSIONS + " SELECT * FROM sessions")
+def _(spark, sf_dir):
+    return _whole(spark, sf_dir, lambda tr: strm.stream_active_sessions(tr, KEEPALIVE))
+
+
+# Four deliveries of a quarter of the time each; every seventh row comes with the next one.
+DELIVERIES = TIMED + """, span AS (SELECT min(ts_ms) AS a, max(ts_ms) - min(ts_ms) + 1 AS n FROM timed),
+delivered AS (SELECT timed.*, least(3, 4 * (ts_ms - a) // n + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END) AS round FROM timed, span),
+tops AS (SELECT round, max(max(ts_ms)) OVER (ORDER BY round) - 10000 AS mark FROM delivered GROUP BY round),
+marked AS (SELECT delivered.*, coalesce(ts_ms <= mark, false) AS late FROM delivered LEFT JOIN tops ON tops.round = delivered.round - 1)"""
+
+
+def _delivered(spark, sf_dir, after):
+    """Deliver a trace in four rounds into a folder that is a stream, and call ``after`` with the stream each time."""
+    tr = event_trace(spark, sf_dir).select(*TRACE)
+    first, last = tr.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    quarter = F.floor((F.col("ts_ms") - first) * 4 / F.lit(last - first + 1))
+    rounds = tr.withColumn("round", F.least(F.lit(3), quarter + (F.col("seq") % 7 == 0).cast("int")))
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    for n in range(4):
+        rounds.where(F.col("round") == n).drop("round").write.mode("append").parquet(folder)
+        out = after(spark.readStream.schema(tr.schema).parquet(folder))
+    return out
+
+
+@check("stream_late_rows", BASE + DELIVERIES + " SELECT function, seq, ts_ms FROM marked WHERE late")
 def _(spark, sf_dir):
-    return _finished(strm.stream_active_sessions(_stream_trace(spark, sf_dir), KEEPALIVE))
+    """Rows that come behind the watermark are kept apart, none is lost."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _, late = _delivered(spark, sf_dir, lambda tr: strm.split_late(tr, folder))
+    return late.select("function", "seq", "ts_ms")
+
+
+@check("stream_starts_on_time", BASE + DELIVERIES + ", on_time AS (SELECT * FROM marked WHERE NOT late)" + _starts_sql("on_time") + """
+SELECT starts.function, starts.seq, cold, sim.previous, container_id
+FROM starts JOIN sim ON sim.function = starts.function AND sim.seq = starts.seq""")
+def _(spark, sf_dir):
+    """The starts of all rows that came in time, of a trace delivered out of order."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    starts = lambda tr: strm.stream_classify_starts(tr, KEEPALIVE)
+
+    def follow(tr):
+        on_time, _ = strm.split_late(tr, folder)
+        strm.advance(on_time, starts, f"{folder}-starts")
+        return on_time
+
+    out = strm.run_to_end(_delivered(spark, sf_dir, follow), starts, f"{folder}-starts")
+    return out.select("function", "seq", "cold", "previous", "container_id")

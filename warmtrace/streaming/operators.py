@@ -3,19 +3,28 @@
 Event time is the millisecond time of a row.  Rows may come in any order up to
 the watermark delay; the stateful operators hold a function's rows until the
 watermark has passed them, so they see each function in time order and agree
-with the batch operators on the same rows.  Later rows are dropped by Spark.
+with the batch operators on the same rows.  Spark drops later rows; ``mark_late``
+tells them apart before that, so that they can be kept and counted.  An input
+that ends is run by ``run_to_end``, which also gives what the watermark alone
+would leave held.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..model import (HOT_COLD_STARTS, HOT_PERIOD_MS, KEEPALIVE_MS, SAMPLE_MS, end_ms)
 from ..sources.readers import parse_trace
 
 DELAY = "10 seconds"
 TRACE_STREAM_SCHEMA = "value string"
+# Rows at this time or later (the year 9999) only say that the input has ended.
+CLOSING_MS = 253_370_764_800_000
+LATE_GROUPS = 256
 
 
 def _numbered(batches):
@@ -48,8 +57,80 @@ def stream_load(spark: SparkSession, folder: str, files_per_trigger: int = 16) -
 
 
 def with_event_time(tr: DataFrame, delay: str = DELAY) -> DataFrame:
-    return (tr.withColumn("event_time", F.timestamp_millis("ts_ms"))
-            .withWatermark("event_time", delay))
+    """Event time and its watermark; closing rows move the watermark and go no further."""
+    timed = (tr.withColumn("event_time", F.timestamp_millis("ts_ms"))
+             .withWatermark("event_time", delay))
+    # A filter on the event time itself stays behind the watermark.
+    return timed.where(F.col("event_time") < F.timestamp_millis(F.lit(CLOSING_MS)))
+
+
+def advance(tr: DataFrame, step: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Run ``step`` over what is new in a stream; its rows go to a table under ``folder``, and it waits there for more."""
+    spark = tr.sparkSession
+    closing = f"{folder}/closing"
+    spark.createDataFrame([], tr.schema).write.mode("ignore").parquet(closing)
+    out = step(tr.unionByName(spark.readStream.schema(tr.schema).parquet(closing)))
+    _run(out, folder)
+    return out
+
+
+def run_to_end(tr: DataFrame, step: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """All rows of ``step`` over a stream whose input is complete, as a table under ``folder``.
+
+    The stream runs over what is there.  Then a closing row comes in and the same query, from its own
+    checkpoint, gives what it still held.  A run that was broken off goes on where it was when called again.
+    """
+    spark = tr.sparkSession
+    out = advance(tr, step, folder)
+    values = [F.lit(CLOSING_MS if f.name == "ts_ms" else None).cast(f.dataType).alias(f.name) for f in tr.schema.fields]
+    spark.range(1).select(*values).write.mode("append").parquet(f"{folder}/closing")
+    _run(out, folder)
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
+def _run(out: DataFrame, folder: str, by: str | None = None) -> None:
+    writer = (out.writeStream.format("parquet").option("path", f"{folder}/rows")
+              .option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True))
+    (writer.partitionBy(by) if by else writer).start().awaitTermination()
+
+
+def _with_late(tr: DataFrame) -> StructType:
+    return StructType([*tr.schema.fields, StructField("late", BooleanType())])
+
+
+def mark_late(tr: DataFrame, delay: str = DELAY) -> DataFrame:
+    """All rows, with ``late``: at or before the watermark when they came in.
+
+    Nothing is held and no row is dropped, not even one without a time; rows are spread by a hash, so that
+    a frequent function is no group of its own.
+    """
+    fields = tr.columns
+
+    def step(key, frames, state):
+        watermark = state.getCurrentWatermarkMs()
+        for frame in frames:
+            yield frame[fields].assign(late=frame["ts_ms"] <= watermark)
+
+    timed = tr.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", delay)
+    spread = F.pmod(F.xxhash64(*fields), F.lit(LATE_GROUPS))
+    # Without a timeout Spark leaves late rows in.
+    return (timed.select("event_time", spread.alias("_spread"), *fields).groupBy("_spread")
+            .applyInPandasWithState(step, _with_late(tr), "none int", "append", "NoTimeout")
+            .withColumn("late", F.coalesce("late", F.lit(False))))
+
+
+def split_late(tr: DataFrame, folder: str, delay: str = DELAY) -> tuple[DataFrame, DataFrame]:
+    """Run ``mark_late`` over what is there: a stream of the rows on time, and a table of the late ones.
+
+    Called again with the same folder, only what is new is read, against the watermark of all before.
+    A stream that is advanced after each call, with the same delay, loses none of the rows on time.
+    """
+    spark, schema = tr.sparkSession, _with_late(tr)
+    _run(mark_late(tr, delay), folder, "late")
+    # Read through the sink's own log, so that files of lost tasks are left out.
+    rows = f"{folder}/rows"
+    return (spark.readStream.schema(schema).parquet(rows).where("not late").drop("late"),
+            spark.read.schema(schema).parquet(rows).where("late").drop("late"))
 
 
 def stream_sample_counts(tr: DataFrame, grid_ms: int = SAMPLE_MS, delay: str = DELAY) -> DataFrame:
