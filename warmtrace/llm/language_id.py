@@ -11,21 +11,22 @@ of ``BLOCK`` symbols, many blocks side by side: a phrase ends where its block do
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from warmtrace.llm.common import own, slices
 
 BLOCK = 256
-# The bounds of what is learned: labelled rows and letters of a language, and letters it tells apart.
-SAMPLE_ROWS, SAMPLE_LETTERS, ALPHABET = 800, 40_000, 64
+# The bounds of what is learned: labelled rows and letters of a language.
+SAMPLE_ROWS, SAMPLE_LETTERS = 800, 40_000
+# So many symbols have a code of their own, the rarer ones two codes each.
+SINGLE = 192
 SNIPPET = 400
 # More languages than this are refused, not dropped: each takes about 15 MB in a worker.
 MOST_LANGUAGES = 60
@@ -57,34 +58,61 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(word, points, 0)[kept], place[first], letters[first[1:]] > letters[first[:-1]]
 
 
+class Alphabet:
+    """Codes of all symbols of the samples: one for each frequent symbol, two in a row for each other; 0 for the rest."""
+
+    def __init__(self, sample: list[np.ndarray], single: int = SINGLE):
+        symbol, count = np.unique(np.concatenate([np.zeros(0, np.uint32), *sample]), return_counts=True)
+        symbol = symbol[np.lexsort((symbol, -count))]
+        rare = np.arange(max(0, len(symbol) - single))
+        side = int(np.ceil(np.sqrt(len(rare))))
+        self.first, self.second = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
+        self.first[symbol[:single]] = np.arange(1, min(single, len(symbol)) + 1)
+        if side:
+            self.first[symbol[single:]] = single + 1 + rare // side
+            self.second[symbol[single:]] = single + 1 + side + rare % side
+        self.width = 1 + min(single, len(symbol)) + 2 * side
+        self.double = side > 0
+
+    def codes(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of the symbols, and where each text begins among them."""
+        one = self.first[points]
+        if not self.double:
+            return one, first
+        two = self.second[points]
+        place = np.concatenate([[0], np.cumsum(1 + (two > 0))])
+        out = np.zeros(place[-1], np.uint16)
+        out[place[:-1]] = one
+        out[place[1:][two > 0] - 1] = two[two > 0]
+        return out, place[first]
+
+
 class Automaton:
-    """The suffix automaton of a sequence of symbols as a table: ``next[state * width + code]``, -1 for none.
+    """The suffix automaton of sequences of codes as tables; state 0 is the start, and code 0 matches nothing.
 
-    State 0 is the start.  Code 0 matches nothing: letters outside the alphabet, and the seams of the sample.
+    A state with one arrow keeps it beside it, a state with more has a row of ``branch``; row 0 has no arrows.
     """
 
-    def __init__(self, sample: list[np.ndarray], alphabet: int = ALPHABET):
-        counts = Counter()
-        for snippet in sample:
-            counts.update(snippet.tolist())
-        known = sorted(counts, key=lambda s: (-counts[s], s))[:alphabet - 1]
-        self.code_of = {s: n for n, s in enumerate(known, 1)}
-        self.width = len(known) + 1
+    def __init__(self, sample: list[np.ndarray], width: int):
+        self.width = width
         self.length = max(2, sum(map(len, sample)))
         follow: list[dict[int, int]] = [{}]
         link, size, last = [-1], [0], 0
         for snippet in sample:
             last = 0
-            for symbol in snippet.tolist():
-                code = self.code_of.get(symbol, 0)
-                if not code:
-                    last = 0
-                    continue
+            for code in snippet.tolist():
                 last = self._extend(follow, link, size, last, code)
-        self.next = np.full(len(follow) * self.width, -1, np.int32)
+        self.only = np.zeros(len(follow), np.uint16)
+        self.to, self.row = np.zeros(len(follow), np.int32), np.zeros(len(follow), np.int32)
+        many = [state for state, arrows in enumerate(follow) if len(arrows) > 1 or not state]
+        self.branch = np.full((len(many) + 1) * self.width, -1, np.int32)
+        for n, state in enumerate(many, 1):
+            self.row[state] = n
+            for code, to in follow[state].items():
+                self.branch[n * self.width + code] = to
         for state, arrows in enumerate(follow):
-            for code, to in arrows.items():
-                self.next[state * self.width + code] = to
+            if len(arrows) == 1:
+                self.only[state], self.to[state] = next(iter(arrows.items()))
 
     @staticmethod
     def _extend(follow, link, size, last, code) -> int:
@@ -118,14 +146,16 @@ class Automaton:
     def phrases(self, codes: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """How many phrases each block takes; the blocks are ordered from long to short."""
         count, state = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int32)
+        start = self.branch[self.width:2 * self.width]
         active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
         for step, n in enumerate(active):
             code = codes[begins[:n] + step]
             now = state[:n]
-            after = self.next[now * self.width + code]
+            after = self.branch[self.row[now] * self.width + code]
+            after = np.where((self.only[now] == code) & (code > 0), self.to[now], after)
             stuck = np.nonzero(after < 0)[0]
             count[stuck] += now[stuck] > 0
-            again = self.next[code[stuck]]
+            again = start[code[stuck]]
             count[stuck] += again < 0
             after[stuck] = np.maximum(again, 0)
             state[:n] = after
@@ -137,32 +167,28 @@ class Languages:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        self.automata, self.tables = [], []
-        for name in self.names:
-            codes, first, _ = symbols(pa.array(samples[name], pa.string()))
-            parts = [codes[a:b] for a, b in zip(first, first[1:])]
-            automaton = Automaton(parts)
-            table = np.zeros(0x110000, np.uint8)
-            for symbol, code in automaton.code_of.items():
-                table[symbol] = code
-            self.automata.append(automaton)
-            self.tables.append(table)
+        points, first, _ = symbols(pa.array([t for n in self.names for t in samples[n]], pa.string()))
+        self.alphabet = Alphabet([points])
+        codes, first = self.alphabet.codes(points, first)
+        parts = iter([codes[a:b] for a, b in zip(first, first[1:])])
+        self.automata = [Automaton([next(parts) for _ in samples[n]], self.alphabet.width) for n in self.names]
 
     def parse(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits by text and language, symbols of each text, and whether it has a letter."""
         points, first, lettered = symbols(texts)
-        size = np.diff(first)
+        codes, begin = self.alphabet.codes(points, first)
+        size = np.diff(begin)
         blocks = -(-size // BLOCK)
         text = np.repeat(np.arange(len(size)), blocks)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         lengths = np.minimum(size[text] - nth * BLOCK, BLOCK)
         order = np.argsort(-lengths, kind="stable")
-        begins, lengths, text = (first[:-1][text] + nth * BLOCK)[order], lengths[order], text[order]
+        begins, lengths, text = (begin[:-1][text] + nth * BLOCK)[order], lengths[order], text[order]
         bits = np.empty((len(size), len(self.names)))
-        for n, (automaton, table) in enumerate(zip(self.automata, self.tables)):
-            found = automaton.phrases(table[points], begins, lengths)
+        for n, automaton in enumerate(self.automata):
+            found = automaton.phrases(codes, begins, lengths)
             bits[:, n] = np.bincount(text, found, len(size)) * np.log2(automaton.length)
-        return bits, size, lettered
+        return bits, np.diff(first), lettered
 
 
 @lru_cache(2)
@@ -171,12 +197,21 @@ def _languages(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Languages:
     return Languages({name: list(texts) for name, texts in samples})
 
 
-def learn(labelled: DataFrame, *, label: str = "lang", text: str = "text", rows: int = SAMPLE_ROWS,
-          letters: int = SAMPLE_LETTERS) -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """A sample of each language: at most ``rows`` rows and ``letters`` characters of each.
+Samples = tuple[tuple[str, tuple[str, ...]], ...]
+
+
+def learn(labelled: DataFrame, **options) -> Samples:
+    """The samples of ``sample`` with nothing held out."""
+    return sample(labelled, **options)[0]
+
+
+def sample(labelled: DataFrame, *, label: str = "lang", text: str = "text", rows: int = SAMPLE_ROWS,
+           letters: int = SAMPLE_LETTERS, held_out: int = 0) -> tuple[Samples, Samples]:
+    """A sample of each language, at most ``rows`` rows and ``letters`` characters of each, and what is held out.
 
     The rows are chosen and ordered by hashes, all alike; each gives a stretch of ``SNIPPET`` characters at a
     hashed place, and equal stretches count once.  Rows with a null label, null or empty text are left out.
+    Every tenth stretch is held out until there are ``held_out`` of a language.
     """
     h = F.xxhash64(F.lit(1), *labelled.columns)
     usable = labelled.select(F.col(label).cast("string").alias("label"), h.alias("h"), F.col(text).alias("text")).where(
@@ -187,7 +222,7 @@ def learn(labelled: DataFrame, *, label: str = "lang", text: str = "text", rows:
     if len(often) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
     if not often:
-        return ()
+        return (), ()
     most = F.create_map(*[F.lit(x) for r in often for x in (r["label"], 4.0 * rows * (1 << 32) / r["count"])])
     near = usable.where(F.pmod("h", F.lit(1 << 32)) < F.element_at(most, F.col("label")))
     start = F.pmod("h", F.greatest(F.char_length("text") - SNIPPET, F.lit(1))) + 1
@@ -195,15 +230,27 @@ def learn(labelled: DataFrame, *, label: str = "lang", text: str = "text", rows:
     # Copies of a text have one hash; they are put together before they meet in a task.
     cut = cut.groupBy("label", "h").agg(F.min("text").alias("text"))
     ordered = cut.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("n") <= rows)
-    samples: dict[str, dict[str, None]] = {}
+    taken: dict[str, dict[str, bool]] = {}
+    size: dict[str, int] = {}
     for row in ordered.orderBy("label", "n").select("label", "text").toLocalIterator():
-        own = samples.setdefault(row["label"], {})
-        if sum(map(len, own)) < letters:
-            own[row["text"]] = None
-    return tuple((name, tuple(texts)) for name, texts in sorted(samples.items()))
+        texts = taken.setdefault(row["label"], {})
+        if size.get(row["label"], 0) < letters and row["text"] not in texts:
+            apart = len(texts) % 10 == 9 and len(texts) < 10 * held_out
+            texts[row["text"]] = apart
+            size[row["label"]] = size.get(row["label"], 0) + (0 if apart else len(row["text"]))
+    learned, held = (tuple((name, tuple(t for t, apart in texts.items() if apart == side)) for name, texts in sorted(taken.items()))
+                     for side in (False, True))
+    return learned, held
+
+
+def usual_bits(spark: SparkSession, samples: Samples, held: Samples) -> dict[str, float]:
+    """What text that is held out costs in its own language, in bits a symbol; languages without such text have none."""
+    rows = [(name, text) for name, texts in held for text in texts]
+    found = identify(spark.createDataFrame(rows, "label string, text string"), samples).where("label = lang_pred")
+    return {r["label"]: r["bits"] for r in found.groupBy("label").agg(F.avg("bits_per_symbol").alias("bits")).collect()}
 
 
-def identify(docs: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...], *, text_column: str = "text") -> DataFrame:
+def identify(docs: DataFrame, samples: Samples, *, text_column: str = "text") -> DataFrame:
     """The columns of ``docs`` and lang_pred, score, bits_per_symbol.
 
     ``lang_pred`` is the language with the fewest weighed phrases over the whole text, of equal ones the
