@@ -18,17 +18,22 @@ from pyspark.sql import functions as F
 from warmtrace.llm import decontaminate, language_id, packing, queries, secret_scan, simhash
 from warmtrace.llm.common import materialise, table
 
-# A text that costs more bits a letter than this in its best language is in none of them.
-MOST_BITS = 8.0
+# A text that costs more bits a letter than this in its best language is in none of them, unless labelled
+# text of that language that is held out costs about as much: then it may cost half as much again.
+MOST_BITS, MOST_TIMES = 8.0, 1.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is labelled somewhere; a null ``lang`` is filled in.  Without labels all stay."""
-    samples = language_id.learn(docs.select("text", "lang"))
+    samples, held = language_id.sample(docs.select("text", "lang"), held_out=20)
     if not samples:
         return docs
     found = language_id.identify(docs, samples)
-    known = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_symbol") <= MOST_BITS))
+    most = F.lit(MOST_BITS)
+    for name, bits in language_id.usual_bits(spark, samples, held).items():
+        if MOST_TIMES * bits > MOST_BITS:
+            most = F.when(F.col("lang_pred") == name, MOST_TIMES * bits).otherwise(most)
+    known = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_symbol") <= most))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
