@@ -20,7 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import own, slices
+from warmtrace.llm.common import freeing, own, slices
+
+Samples = tuple[tuple[str, tuple[str, ...]], ...]
 
 BLOCK = 256
 # The bounds of what is learned: labelled rows and letters of a language.
@@ -191,13 +193,15 @@ class Languages:
         return bits, np.diff(first), lettered
 
 
-@lru_cache(2)
-def _languages(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Languages:
-    """Built once in each worker: the samples are small, the automata are not."""
-    return Languages({name: list(texts) for name, texts in samples})
+_built: dict[Samples, Languages] = {}
 
 
-Samples = tuple[tuple[str, tuple[str, ...]], ...]
+def _languages(samples: Samples) -> Languages:
+    """Built once in each worker: the samples are small, the automata are not.  Others go before these are built."""
+    if samples not in _built:
+        _built.clear()
+        _built[samples] = Languages({name: list(texts) for name, texts in samples})
+    return _built[samples]
 
 
 def learn(labelled: DataFrame, **options) -> Samples:
@@ -284,4 +288,4 @@ def identify(docs: DataFrame, samples: Samples, *, text_column: str = "text") ->
         columns = [some[c] for c in kept] + [pa.array(found[0], pa.string()), pa.array(found[1]), pa.array(found[2])]
         return pa.RecordBatch.from_arrays(columns, names=kept + made)
 
-    return plain.mapInArrow(predict, schema)
+    return plain.mapInArrow(freeing(predict), schema)
