@@ -86,3 +86,28 @@ def test_thin_random_does_not_depend_on_partitions(spark):
 def test_downscale_without_limits_keeps_everything(spark):
     tr = make_trace(spark, rows_for(2))
     assert down.downscale(tr).count() == 600
+
+
+def test_one_piece_that_spans_blocks(spark):
+    # Two of three rows overlap the next ones at all times: no row begins free, so this is one piece.
+    rows = [("o" if i % 5 else None, "f", 128 * (1 + i % 3), 25 + i % 7, 10 * i) for i in range(3 * down.BLOCK_ROWS)]
+    tr = make_trace(spark, rows)
+    got = [r.seq for r in down.cap_memory(tr, 400, mode="exact", chunk_rows=700).collect()]
+    full = [(o or "", *r, i) for i, (o, *r) in enumerate(rows)]
+    assert sorted(got) == cap_model(full, 400, lambda r: r[2])
+    got = [r.seq for r in down.cap_concurrency(tr, 2, mode="exact", by=["owner"], chunk_rows=700).collect()]
+    want = [s for o in ("", "o") for s in cap_model([r for r in full if r[0] == o], 2, lambda r: 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_the_rows_of_a_piece_are_packed(spark):
+    n = 4 * down.BLOCK_ROWS
+    rows = spark.range(n).selectExpr("id AS _place", "0L AS _piece", "10 * id AS ts_ms", "10 * id + 30 AS _end",
+                                     "128L AS _weight", "0L AS _sure_load", "256L AS _limit")
+    got = down._admitted(rows, [])
+    assert [r._place for r in got.orderBy("_place").collect()] == [i for i in range(n) if i % 3 < 2]
+    keys, schema = ["_home", "_block"], "`_home` bigint, `_block` bigint, `_place` bigint"
+    blocks = rows.selectExpr("0L AS _home", f"_place DIV {down.BLOCK_ROWS} AS _block", "*").coalesce(1)
+    step, schema = down._packed(keys, schema)
+    size = blocks.mapInArrow(step, schema).selectExpr("count(*) AS n", "sum(length(_rows)) AS bytes").first()
+    assert size.n < 16 and size.bytes < 16 * n
