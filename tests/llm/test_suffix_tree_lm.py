@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import glob
 import math
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -185,3 +188,36 @@ def test_rare_and_long_contexts_are_kept_beyond_what_workers_hold(spark):
         assert all(abs(a - b) < 1e-9 for i in other for a, b in zip(other[i], scores[0][i]))
     # "even" is nearly sure behind "x mid u", and "pair" behind "seldom".
     assert scores[0][0][0] > scores[0][0][1] + 3 and scores[0][2][0] > scores[0][2][1] + 2
+
+
+def test_workers_hold_as_many_sequences_as_their_bound_allows(spark, learned):
+    """Sequences below ``share`` are held too while there is room; beyond it the rest meets the texts by a join, with the same scores."""
+    texts, whole, _ = learned
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    tests = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:5])], "doc_id long, text string")
+    brute, every = Brute(texts), len(whole.keys.keys) + whole.rest.count()
+    assert every > 8
+    for share in (3.5 / every, 1.0):
+        model, counts = lm.learn(df, share=share)
+        held = len(model.keys.keys)
+        assert held <= 4 / share and held + model.rest.count() == every
+        assert (held == every) == (share < 1)
+        for r in lm.score(tests, model, counts).collect():
+            assert abs(r.score - brute.score(texts[r.doc_id])) < 1e-9
+
+
+def test_shuffle_files_go_with_each_table(spark):
+    def files():
+        return {f for d in {spark.conf.get("spark.local.dir", "/tmp"), os.environ.get("SPARK_LOCAL_DIRS", "/tmp")}
+                for f in glob.glob(f"{d}/**/blockmgr-*/*/shuffle_*.data", recursive=True) if os.stat(f).st_size}
+
+    before, setting = files(), spark.conf.get(lm.CLEANUP)
+    counts = lm.word_counts(spark.createDataFrame([("a b c",), ("b c d",)], "text string"))
+    made = lm._written(counts)
+    assert spark.conf.get(lm.CLEANUP) == setting
+    for _ in range(50):   # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert made.count() == 4
