@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import re
+import weakref
 
+import public_tokenizers
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
 from compare import compare, connect
+from warmtrace.llm import language_id, queries, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +67,14 @@ def test_query_covers_its_table(spark, name):
     rows = cp.QUERIES[name](spark, SF).collect()
     found = {i for r in rows for i in r.doc_ids} if name.startswith("op5") else {r.doc_id for r in rows}
     assert found <= docs and (found == docs or name.startswith("op3"))
+
+
+def test_a_worker_keeps_what_one_stage_needs():
+    """The automata of the language stage are gone when the tokenizer of the packing stage is there, and the other way round."""
+    samples = (("de", ("der Hund und die Katze",)), ("en", ("the dog and the cat",)))
+    automata = weakref.ref(language_id._languages(samples))
+    assert language_id._languages(samples) is automata()
+    words = weakref.ref(tokens.word_tokenizer(public_tokenizers.path(queries.TOKENIZER)))
+    assert automata() is None and tokens.word_tokenizer(public_tokenizers.path(queries.TOKENIZER)) is words()
+    language_id._languages(samples)
+    assert words() is None

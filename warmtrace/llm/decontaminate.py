@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import batches, factorised, materialise, own, slices
+from warmtrace.llm.common import batches, factorised, freeing, materialise, own, slices
 
 BLOCK_WORDS = 500_000
 NGRAM = 4
@@ -129,8 +129,8 @@ def _passages(docs: DataFrame, items, n: int) -> DataFrame:
                 yield (some["doc_id"][t].as_py(), some["text_hash"][t].as_py(), begin - int(first[t]),
                        hashes[begin:end].tobytes(), words, place[hits].tolist(), (at[hits] - begin).tolist())
 
-    return docs.mapInArrow(find, "doc_id bigint, text_hash bigint, first_word bigint, words binary, text string, "
-                                 "grams array<int>, places array<int>")
+    return docs.mapInArrow(freeing(find), "doc_id bigint, text_hash bigint, first_word bigint, words binary, text string, "
+                                          "grams array<int>, places array<int>")
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -198,7 +198,7 @@ def _aligned(passages: DataFrame, shared) -> DataFrame:
 
         yield from batches(rows(), schema, weight=lambda r: len(r[7]))
 
-    return passages.mapInArrow(run, FOUND)
+    return passages.mapInArrow(freeing(run), FOUND)
 
 
 def _blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[int, str]]]:

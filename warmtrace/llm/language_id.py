@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import freeing, own, slices
+from warmtrace.llm.common import freeing, held, own, slices
 
 Samples = tuple[tuple[str, tuple[str, ...]], ...]
 
@@ -193,15 +193,9 @@ class Languages:
         return bits, np.diff(first), lettered
 
 
-_built: dict[Samples, Languages] = {}
-
-
 def _languages(samples: Samples) -> Languages:
     """Built once in each worker: the samples are small, the automata are not.  Others go before these are built."""
-    if samples not in _built:
-        _built.clear()
-        _built[samples] = Languages({name: list(texts) for name, texts in samples})
-    return _built[samples]
+    return held(("languages", samples), lambda: Languages({name: list(texts) for name, texts in samples}))
 
 
 def learn(labelled: DataFrame, **options) -> Samples:

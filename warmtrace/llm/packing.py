@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import batches, materialise, slices
+from warmtrace.llm.common import batches, free, freeing, materialise, slices
 from warmtrace.llm.tokens import word_tokenizer
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -30,6 +30,8 @@ DDL = ("doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint
        "sequence_id bigint, offset bigint, part bigint, full boolean")
 # Remainders of so many tasks are merged by one task: at most one window each.
 MERGED = 512
+# Bytes of text that are split into words at once, and of ids that are handed on at once: what a worker needs beside its windows.
+SLICE, WRITTEN = 1 << 20, 4 << 20
 
 
 class Windows:
@@ -124,17 +126,18 @@ def pack(docs: DataFrame, *, tokenizer: str, window: int = 2048, open_windows: i
 
         def made() -> Iterator[tuple[list, bool]]:
             for batch in source:
-                for some in slices(batch):
+                for some in slices(batch, size=SLICE):
                     for doc_id, ids in zip(some["doc_id"].to_pylist(), words.encode(some["text"])):
                         for full in windows.add(doc_id, np.concatenate([ids, end])):
                             yield full, True
+                free()
             yield from windows.merge()
 
-        yield from batches(_rows(made(), 0, TaskContext.get().partitionId()), PIECES, weight=lambda r: 4 * r[2])
+        yield from batches(_rows(made(), 0, TaskContext.get().partitionId()), PIECES, most_bytes=WRITTEN, weight=lambda r: 4 * r[2])
 
     named = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     # Written once: the remainders and the full windows must come from the same run of each task.
-    placed = materialise(named.mapInArrow(place, DDL))
+    placed = materialise(named.mapInArrow(freeing(place), DDL))
     done, open_ = [placed.where("full")], placed.where("not full")
     tasks = (placed.agg(F.max("part")).first()[0] or 0) + 1
     round_ = 0

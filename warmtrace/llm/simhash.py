@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warmtrace.llm.common import materialise, own, slices
+from warmtrace.llm.common import freeing, materialise, own, slices
 from warmtrace.llm.components import components
 
 BITS = 64
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = 42, id_column:
 
     named = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(text_column).alias("text_hash"),
                         F.col(text_column).alias("text"))
-    return named.mapInArrow(hashed, "doc_id bigint, text_hash bigint, fingerprint bigint")
+    return named.mapInArrow(freeing(hashed), "doc_id bigint, text_hash bigint, fingerprint bigint")
 
 
 def _words(texts: pa.Array) -> Iterator[list[bytes]]:
@@ -101,7 +101,7 @@ def bit_counts(prints: DataFrame) -> np.ndarray:
                 sums += bits.T @ bits
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS)), pa.array(sums.ravel())], names=["at", "n"])
 
-    rows = prints.mapInArrow(count, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = prints.mapInArrow(freeing(count), "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BITS * BITS)
     for row in rows:
         out[row["at"]] = row["n"]

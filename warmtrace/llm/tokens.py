@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from warmtrace.llm.common import factorised
+from warmtrace.llm.common import factorised, held
 
 # A worker remembers the ids of at most twice this many different pieces of text, about 100 bytes each.
 CACHED = 200_000
@@ -93,11 +93,6 @@ class WordTokenizer:
             known[chunk] = ids[word] + ids[marks] if marks else ids[word]
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for each worker and file: what it remembers serves later tasks too."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    return held(("word_tokenizer", path), lambda: WordTokenizer(path))
