@@ -30,6 +30,35 @@ def test_ids_are_the_librarys(reference):
     assert list(WordTokenizer(PATH).encode(pa.array([], pa.string()))) == []
 
 
+def test_pieces_are_learned_once_and_by_the_model_alone():
+    words = WordTokenizer(PATH)
+    asked, library = [], words.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    words.tokenizer = Watched()
+    texts = ["Same same, SAME. (same) same;same", "Über den Übeln, être; Être.", "10,000 a1b22", None, "tel: 555-0207"]
+    found = [ids.tolist() for ids in words.encode(pa.array(texts))]
+    assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert asked == [] and len(words.known.young) < 30
+    assert [p for p in words.known.young if b"same" in p.lower()] == [b"same"]
+
+
+def test_ids_next_to_marks_and_apostrophes(reference):
+    # H, T, W, J and Y have composed forms with these marks in lower case only.
+    odd = ["H\u0331 T\u0308 W\u030a J\u030c Y\u030a h\u0331", "=\u0338 <\u0338, 1\u0301", "x's 'rex ''re .'s 5's é's 's's",
+           "a×b c÷d µ ª\xa0b\x85c", "\u212a \u037e\u037f \x1c\x00 a\x7fb", "ÀÉÞß.ÿ,Ā…x…"]
+    parts = [t[k:] for t in odd for k in range(len(t))]
+    for kind in (pa.string(), pa.large_string()):
+        words = WordTokenizer(PATH, cached=20)
+        for some in [odd, *([t] for t in odd), parts]:
+            array = pa.array([None, "before", *some], kind).slice(2)
+            assert [ids.tolist() for ids in words.encode(array)] == [reference(t) for t in some]
+
+
 def test_remembered_is_bounded_and_right():
     cache = Remembered(10)
     for k in range(100):
