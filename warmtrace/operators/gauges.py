@@ -126,8 +126,7 @@ def _arrival_marks(tr: DataFrame) -> DataFrame:
 def running_distinct(tr: DataFrame, grid_ms: int = SAMPLE_MS, chunk_rows: int = CHUNK_ROWS,
                      samples: DataFrame | None = None) -> DataFrame:
     """Distinct users and functions running at each sample."""
-    moves = _key_moves(tr, [("ts_ms", {"running": 1}), (end_ms(), {"running": -1})], ["running"])
-    wide = _active_steps(moves, ["running"], chunk_rows)
+    wide = _active_steps(tr, {"running": end_ms()}, chunk_rows)
     marked = wide.unionByName(_arrival_marks(tr), allowMissingColumns=True)
     return _at_samples(marked.fillna(0), ["running_users", "running_functions"], [], grid_ms, chunk_rows, samples)
 
@@ -147,11 +146,65 @@ def _as_move(by) -> Column:
     return by.cast("int") if isinstance(by, Column) else F.lit(by)
 
 
-def _active_steps(moves: DataFrame, names: list[str], chunk_rows: int) -> DataFrame:
-    """Steps of the number of active users and functions, one column each per name."""
-    steps = level_steps(moves, ["kind", "key"], names, is_active, chunk_rows)
+def _of_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of these keys, or of all others; sent to every task, as a key's rows would meet in one."""
+    named = F.broadcast(keys.select(F.col("kind").alias("_kind"), F.col("key").alias("_key")))
+    return rows.join(named, (F.col("kind") == F.col("_kind")) & F.col("key").eqNullSafe(F.col("_key")), how)
+
+
+def _span_steps(spans: DataFrame, names: list[str], chunk_rows: int) -> DataFrame:
+    """Steps of 1 at the first and the last instant of each key's stretches without a gap, one column per name.
+
+    A row lasts from ``time`` to its end in the column of that name, null for none.  A stretch begins at a row behind all
+    ends so far, which closes the one before.
+    """
+    keys = ["kind", "key"]
+    cut = with_widths(spans, keys, "time", chunk_rows)
+    past = running(cut, keys=keys, chunk=chunk_of(cut, "time"), order=["time"],
+                   maxes={f"_{n}": F.col(n) for n in names}, exclusive=True)
+
+    def step(name, time, by):
+        return F.struct(time.alias("time"), *[F.lit(by if n == name else 0).alias(n) for n in names])
+
+    steps = []
+    for n in names:
+        begins = F.col(n).isNotNull() & (F.col(f"_{n}").isNull() | (F.col("time") > F.col(f"_{n}")))
+        steps += [F.when(begins, step(n, F.col("time"), 1)), F.when(begins & F.col(f"_{n}").isNotNull(), step(n, F.col(f"_{n}"), -1))]
+    last = spans.groupBy(*keys).agg(*[F.max(n).alias(n) for n in names])
+    closing = [F.when(F.col(n).isNotNull(), step(n, F.col(n), -1)) for n in names]
+    return (past.select("kind", F.explode(F.array_compact(F.array(*steps))).alias("_s"))
+            .unionByName(last.select("kind", F.explode(F.array_compact(F.array(*closing))).alias("_s")))
+            .select("kind", "_s.*"))
+
+
+def _active_steps(rows: DataFrame, ends: dict[str, Column], chunk_rows: int, where: dict[str, Column] | None = None) -> DataFrame:
+    """Steps of the number of active users and functions, one column each per name.
+
+    A key is active from the start of each of its rows, ``where`` that holds, to the row's end of that name.  A key with a
+    row that has no end, or one before its start, has no such stretches: its moves are added up one by one.
+    """
+    where, names = where or {}, list(ends)
+    regular = F.lit(True)
+    for end in ends.values():
+        regular = regular & F.coalesce(end >= F.col("ts_ms"), F.lit(False))
+    kinds = {"users": "owner", "functions": "function"}
+
+    def by_kind(of, *columns):
+        return of.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), *columns)
+                                             for kind, key in kinds.items()])).alias("_k")).select("_k.*")
+
+    odd = materialise(by_kind(rows.where(~regular)).distinct())
+    spans = by_kind(rows, F.col("ts_ms").alias("time"), *[F.when(where.get(n, F.lit(True)), end).alias(n) for n, end in ends.items()])
+    if odd.isEmpty():
+        steps = _span_steps(spans, names, chunk_rows)
+    else:
+        by = {n: where[n].cast("int") if n in where else F.lit(1) for n in names}
+        moves = _key_moves(rows, [("ts_ms", by), *[(end, {n: -by[n]}) for n, end in ends.items()]], names)
+        levels = level_steps(_of_keys(moves, odd, "left_semi"), ["kind", "key"], names, is_active, chunk_rows)
+        steps = (_span_steps(_of_keys(spans, odd, "left_anti"), names, chunk_rows)
+                 .unionByName(levels.select("kind", "time", *names)))
     return steps.select("time", *[F.when(F.col("kind") == kind, F.col(n)).otherwise(0).alias(f"{n}_{kind}")
-                                  for n in names for kind in ("users", "functions")])
+                                  for n in names for kind in kinds])
 
 
 def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = SAMPLE_MS,
@@ -161,14 +214,10 @@ def gauges(starts: DataFrame, keepalive_ms: int = KEEPALIVE_MS, grid_ms: int = S
     optimised = "optimised" in starts.columns
     freed = F.least(F.coalesce("reused_at", end_ms() + F.lit(keepalive_ms)),
                     end_ms() + F.lit(keepalive_ms))
-    levels = ["running", "held"]
-    begins, ends = {"running": 1, "held": 1}, {"running": -1}
+    ends, where = {"running": end_ms(), "held": freed}, {}
     if optimised:
-        levels.append("running_optimised")
-        begins["running_optimised"] = F.col("optimised").cast("int")
-        ends["running_optimised"] = -F.col("optimised").cast("int")
-    moves = _key_moves(starts, [("ts_ms", begins), (end_ms(), ends), (freed, {"held": -1})], levels)
-    by_key = _active_steps(moves, levels, chunk_rows)
+        ends["running_optimised"], where["running_optimised"] = end_ms(), F.col("optimised")
+    by_key = _active_steps(starts, ends, chunk_rows, where)
     names = ["running_users", "running_functions", "held_users", "held_functions"]
     if optimised:
         names.append("running_optimised_functions")
